@@ -18,6 +18,20 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")))
 
 
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import deduplicate
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return deduplicate(docs, outputs=("n_words", "n_removed", "kept_sha256")).drop("text")
+
+
+def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
+
+
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -29,7 +43,9 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": decontamination,
+    "op4_substring_dedup": substring_dedup,
     "op7_byte_bpe": byte_bpe,
+    "op8_simhash": simhash,
 }
 
 SQL: dict[str, str] = {
@@ -45,4 +61,14 @@ hw AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i +
 hi AS (SELECT r, count(*) AS n_items, sha256(string_agg(x, ',' ORDER BY x)) AS items_sha256 FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM h) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hw USING (r) LEFT JOIN hi USING (r)""",
+    "op4_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, w FROM d WHERE len(w) >= 20),
+s AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM x),
+o AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM s),
+g AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 20)))) AS gone FROM o WHERE k > 1 GROUP BY doc_id),
+r AS (SELECT doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN g USING (doc_id)),
+p AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i, gone FROM r),
+k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept FROM p LEFT JOIN (SELECT doc_id, unnest(gone) AS i, true AS z FROM g) USING (doc_id, i) WHERE z IS NULL GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM r LEFT JOIN k USING (doc_id)""",
 }
