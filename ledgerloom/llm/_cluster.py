@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +60,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sieve(names: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each hash of a name; 2**bits bits, whatever the input."""
+    at = F.shiftrightunsigned("name", 64 - bits)
+    parts = names.groupBy(F.shiftright(at, 6).alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(name, {64 - bits}) % 64 as int)))").alias("b"))
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    got = parts.toArrow()
+    out[got.column("w").to_numpy()] = got.column("b").to_numpy().astype(np.uint64)
+    return out
+
+
 def components(scratch: Scratch, links: DataFrame, name: str = "components") -> DataFrame:
     """(node, component: its smallest node) of undirected links (a, b), by alternating
     large-star and small-star steps. Every step joins nothing: it groups by node, with the

@@ -12,6 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import deduplicate
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return deduplicate(docs, outputs=("n_lines", "n_removed", "kept_sha256"), drop_text=True)
+
+
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import contamination, digest
 
@@ -22,7 +29,22 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import deduplicate
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return deduplicate(docs, outputs=("n_words", "n_removed", "kept_sha256")).drop("text")
+    return deduplicate(docs, outputs=("n_words", "n_removed", "kept_sha256"), drop_text=True)
+
+
+def warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ._cluster import Scratch
+    from .warc import read_archives, write_archives
+
+    index, folder = write_archives(table(spark, sf_dir, "pages"), Scratch(spark, "warc"))
+    return read_archives(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import classify, fit
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return classify(docs, fit(docs, table(spark, sf_dir, "labels"))).drop("text")
 
 
 def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,10 +64,13 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": line_dedup,
     "op3_decontamination": decontamination,
     "op4_substring_dedup": substring_dedup,
+    "op5_warc_archive": warc_archive,
     "op7_byte_bpe": byte_bpe,
     "op8_simhash": simhash,
+    "op10_toxicity": toxicity,
 }
 
 SQL: dict[str, str] = {
@@ -71,4 +96,8 @@ r AS (SELECT doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN g USING (doc
 p AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i, gone FROM r),
 k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept FROM p LEFT JOIN (SELECT doc_id, unnest(gone) AS i, true AS z FROM g) USING (doc_id, i) WHERE z IS NULL GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM r LEFT JOIN k USING (doc_id)""",
+    "op5_warc_archive": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
+k AS (SELECT page_id, n, sha1(h) AS d, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY h) END AS kept FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN kept IS NOT NULL AND page_id IS DISTINCT FROM kept THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id IS DISTINCT FROM kept THEN kept END AS refers_to FROM k""",
 }
