@@ -6,9 +6,12 @@ same document) is removed with all its words.
 1. Winnowing names each window by the least of its word k-grams' hashes, so equal windows
    have equal names. Names with two places or more go to a bit array of a fixed size, which is
    all that is broadcast; what it lets pass wrongly costs time only.
-2. Passages (runs of windows of one name) with such names are dealt to reference shards by
-   their name. Of equal passages in a batch only the first is sent; the others are removed there.
-3. Each shard keeps the first of every distinct passage, builds suffix automata of at most
+2. Passages (runs of windows of one name) with such names are dealt by their name with a
+   digest of their words. All but the first of equal passages are removed: they match that
+   first one from end to end. Equal ones of a batch are removed before anything is sent.
+3. Names with passages of several kinds go to a second such bit array. Their passages are dealt,
+   with their words, to reference shards by name. A shard keeps the first of every distinct
+   passage, builds suffix automata of at most
    `shard_words` words over them in the order of their places, and streams the passages through
    for matching statistics: where at least `span` words match, the state that holds just those
    words knows where they first ended. A window that first ended elsewhere is removed.
@@ -33,8 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._arrays import WHITE, blocks, grams, winnow, words
-from ._cluster import Scratch, partitions
+from ._arrays import WHITE, blocks, grams, mix, winnow, words
+from ._cluster import Scratch, partitions, sieve
 
 K = 10
 SIEVE_BITS = 26
@@ -124,26 +127,22 @@ def _names(span: int):
     return run
 
 
-def _sieve(names: DataFrame, bits: int) -> np.ndarray:
-    """A bit for each hash of a repeated name; 2**bits bits, whatever the input."""
-    repeated = names.groupBy("name").agg(F.sum("n").alias("n")).where("n > 1")
-    at = F.shiftrightunsigned("name", 64 - bits)
-    parts = repeated.groupBy(F.shiftright(at, 6).alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(name, {64 - bits}) % 64 as int)))").alias("b"))
-    out = np.zeros(1 << (bits - 6), np.uint64)
-    got = parts.toArrow()
-    out[got.column("w").to_numpy()] = got.column("b").to_numpy().astype(np.uint64)
-    return out
-
-
 PASSAGE = "doc long, h long, lo int, hi int, name long, shift int, words binary"
-"""Windows lo to hi - 1 of a document, with their words; without words: they are removed."""
+"""Windows lo to hi - 1 of a document, with their words or a digest of them; without: they are removed."""
 
 COLUMNS = [x.split()[0] for x in PASSAGE.split(", ")]
 
 
-def _passages(sieve, span: int, bits: int):
+def _digest(words: bytes) -> bytes:
+    """With the name, 128 bits."""
+    return hashlib.blake2b(words, digest_size=8).digest()
+
+
+def _passages(marked, span: int, bits: int, whole: bool):
+    """Passages with names in the sieve; whole: with their words, without the removed ones."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bit = sieve.value
+        bit = marked.value
         for batch in batches:
             order = np.argsort(batch.column("doc").to_numpy(), kind="stable")
             batch = batch.take(pa.array(order))
@@ -174,18 +173,56 @@ def _passages(sieve, span: int, bits: int):
                     else:
                         kept[i] = True
                         sent.append(own)
-                order2 = np.concatenate([np.flatnonzero(kept), np.flatnonzero(gone)])
+                lo, hi = lo - base, hi - base + 1
+                stay = np.flatnonzero(kept)
+                if whole:
+                    lo, hi, t, name, shift = lo[stay], hi[stay], t[stay], name[first][stay], shift[stay]
+                else:
+                    sent = [_digest(x) for x in sent]
+                    g0, g1, gt = lo[gone], hi[gone], t[gone]
+                    new = np.flatnonzero(np.concatenate([[True], (gt[1:] != gt[:-1]) | (g0[1:] != g1[:-1])]))[: len(g0)]
+                    end = np.concatenate([new[1:], [len(g0)]]) - 1 if len(g0) else new
+                    sent += [None] * len(new)
+                    none = np.zeros(len(new), np.int64)
+                    lo, hi, t = np.concatenate([lo[stay], g0[new]]), np.concatenate([hi[stay], g1[end]]), np.concatenate([t[stay], gt[new]])
+                    name, shift = np.concatenate([name[first][stay].astype(np.int64), mix(gt[new].astype(np.uint64)).astype(np.int64)]), np.concatenate([shift[stay], none])
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(doc[t[order2]]), pa.array(h[t[order2]]), pa.array((lo - base)[order2].astype(np.int32)), pa.array((hi - base + 1)[order2].astype(np.int32)),
-                        pa.array(name[first][order2].astype(np.int64)), pa.array(shift[order2].astype(np.int32)), pa.array(sent + [None] * int(gone.sum()), pa.binary()),
-                    ],
+                    [pa.array(doc[t]), pa.array(h[t]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(name.astype(np.int64)), pa.array(shift.astype(np.int32)), pa.array(sent, pa.binary())],
                     names=COLUMNS,
-                )
+                )
 
     return run
 
 
+def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From passages sorted by name, shift, digest and place: those with an equal one before
+    them (name null), and a row for each name with passages of several kinds (lo null)."""
+    last = None  # name, shift, digest, doc, lo of the first of the current kind
+    told = None
+    for b in batches:
+        sent = b.column("words").is_valid().to_numpy(zero_copy_only=False)
+        doc, h, lo, hi, name, shift = (b.column(c).to_numpy() for c in COLUMNS[:6])
+        gone, names = ~sent, []
+        digest = b.column("words").to_pylist()
+        for i, (ok, n, k, x, d, p) in enumerate(zip(sent.tolist(), name.tolist(), shift.tolist(), digest, doc.tolist(), lo.tolist())):
+            if not ok:
+                continue
+            if last is not None and last[0] == n:
+                if last[1] == k and last[2] == x:
+                    gone[i] = last[3] < d or (last[3] == d and last[4] < p)
+                    continue
+                if told != n:
+                    told = n
+                    names.append(n)
+            last = (n, k, x, d, p)
+        at = np.flatnonzero(gone)
+        m, n = len(at), len(names)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([*x[at].tolist(), *[None] * n], kind) for x, kind in ((doc, pa.int64()), (h, pa.int64()), (lo, pa.int32()), (hi, pa.int32()))] + [pa.array([None] * m + names, pa.int64())],
+            names=["doc", "h", "lo", "hi", "name"],
+        )
+
+
 def _judge(span: int, shard_words: int):
     """Spans to remove, from passages sorted by name, shift, words and place."""
 
@@ -250,30 +287,37 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, span: int = 20, sieve_bits
     """docs(doc, h, text) -> doc, h, cover: [first, past last] of the windows' starts to remove."""
     spark = docs.sparkSession
     n = partitions(spark)
-    sieve = spark.sparkContext.broadcast(_sieve(docs.select("text").mapInArrow(_names(span), "name long, n tinyint"), sieve_bits))
-    found = scratch.save(docs.mapInArrow(_passages(sieve, span, sieve_bits), PASSAGE), "passages")
-    dealt = found.where("words is not null").repartition(n, "name").sortWithinPartitions("name", "shift", "words", "doc", "lo")
+    send = spark.sparkContext.broadcast
+    counted = docs.select("text").mapInArrow(_names(span), "name long, n tinyint").groupBy("name").agg(F.sum("n").alias("n")).where("n > 1")
+    found = docs.mapInArrow(_passages(send(sieve(counted, sieve_bits)), span, sieve_bits, False), PASSAGE)
+    dealt = found.repartition(n, "name").sortWithinPartitions("name", "shift", "words", "doc", "lo")
+    copies = scratch.save(dealt.mapInArrow(_copies, "doc long, h long, lo int, hi int, name long"), "copies")
+    several = send(sieve(copies.where("name is not null").select("name"), sieve_bits))
+    found = docs.mapInArrow(_passages(several, span, sieve_bits, True), PASSAGE)
+    dealt = found.repartition(n, "name").sortWithinPartitions("name", "shift", "words", "doc", "lo")
     judged = dealt.mapInArrow(_judge(span, shard_words), "doc long, h long, lo int, hi int")
-    every = found.where("words is null").select("doc", "h", "lo", "hi").unionByName(judged)
+    every = copies.where("lo is not null").select("doc", "h", "lo", "hi").unionByName(judged)
     return every.groupBy("doc", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("cover"))
 
 
 OWN = ("kept", "n_words", "n_removed", "kept_sha256")
 
 
-def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = 20, outputs: tuple[str, ...] = OWN, sieve_bits: int = SIEVE_BITS, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """df with kept (the words left, joined by one space), n_words, n_removed, kept_sha256."""
+def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = 20, outputs: tuple[str, ...] = OWN, drop_text: bool = False, sieve_bits: int = SIEVE_BITS, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """df (drop_text: but for its text) with kept (the words left, joined by one space), n_words, n_removed, kept_sha256."""
     if span <= K:
         raise ValueError(f"span must be over {K} words")
     scratch = Scratch(df.sparkSession, "substring")
     kinds = {"kept": T.StringType(), "n_words": T.LongType(), "n_removed": T.LongType(), "kept_sha256": T.StringType()}
-    keep = [c for c in df.columns if c not in outputs]
+    keep = [c for c in df.columns if c not in outputs and not (drop_text and c == text)]
     doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))
     h = F.coalesce(F.xxhash64(text), F.lit(0))
     spans = repeated_spans(df.select(doc.alias("doc"), h.alias("h"), F.col(text).alias("text")), scratch, span, sieve_bits, shard_words)
-    row = df.select(F.struct(*keep).alias("row"), F.col(text).alias("text"), doc.alias("doc"), h.alias("h"))
+    others = [c for c in keep if c != text]
+    row = df.select(F.struct(F.lit(0).alias("_"), *others).alias("row"), F.col(text).alias("text"), doc.alias("doc"), h.alias("h"))
     met = row.join(spans, ["doc", "h"], "left").select("row", "text", "cover")
-    schema = T.StructType([met.schema["row"]] + [T.StructField(c, kinds[c]) for c in outputs])
+    same = ["text"] if text in keep else []
+    schema = T.StructType([met.schema["row"], *[met.schema[c] for c in same]] + [T.StructField(c, kinds[c]) for c in outputs])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,6 +336,6 @@ def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", span:
                 kept.append(b" ".join(w))
                 sha.append(hashlib.sha256(kept[-1]).hexdigest())
             made = {"kept": lambda: pa.array([x.decode() for x in kept], pa.string()), "n_words": lambda: pa.array(n, pa.int64()), "n_removed": lambda: pa.array(less, pa.int64()), "kept_sha256": lambda: pa.array(sha, pa.string())}
-            yield pa.RecordBatch.from_arrays([batch.column("row")] + [made[c]() for c in outputs], names=["row", *outputs])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("row", *same)] + [made[c]() for c in outputs], names=["row", *same, *outputs])
 
-    return met.mapInArrow(run, schema).select("row.*", *outputs)
+    return met.mapInArrow(run, schema).select(*[F.col("text").alias(c) if c == text else F.col(f"row.{c}") for c in keep], *outputs)
