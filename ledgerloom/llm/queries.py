@@ -12,6 +12,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+ARRIVAL_DOCS = 2048
+
+
+def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arrive ARRIVAL_DOCS ids at a time; each is returned with its shard after compaction."""
+    from ._cluster import Scratch
+    from .sharding import ShardStore
+
+    store = ShardStore(spark, Scratch(spark, "shards").path)
+    store.append(table(spark, sf_dir, "documents"), F.floor(F.col("doc_id") / ARRIVAL_DOCS))
+    version = store.compact()
+    store.vacuum()
+    shards = store.manifest(version)
+    rows = store.read(version).select("doc_id", "run", "shard", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    return rows.join(shards.select("shard", F.col("tier"), F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes")), "shard")
+
+
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import deduplicate
 
@@ -47,6 +64,12 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, fit(docs, table(spark, sf_dir, "labels"))).drop("text")
 
 
+def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -63,17 +86,35 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, outputs=("n_tokens", "ids_sha256", "decoded_sha256")).drop("text")
 
 
+def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .katz import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": sharding,
     "op2_line_dedup": line_dedup,
     "op3_decontamination": decontamination,
     "op4_substring_dedup": substring_dedup,
     "op5_warc_archive": warc_archive,
+    "op6_nearest_neighbours": nearest_neighbours,
     "op7_byte_bpe": byte_bpe,
     "op8_simhash": simhash,
+    "op9_katz_backoff": language_model,
     "op10_toxicity": toxicity,
 }
 
 SQL: dict[str, str] = {
+    "op1_sharding": """
+WITH d AS (SELECT doc_id, coalesce(CAST(floor(doc_id / 2048) AS BIGINT), -1) AS run, sha256(coalesce(text, '')) AS text_sha256, coalesce(strlen(text), 0) AS b FROM documents),
+r AS (SELECT run, sum(b) AS bytes, CAST(floor(ln(greatest(sum(b) / 262144, 1.0)) / ln(4.0) + 1e-9) AS INTEGER) AS tier FROM d GROUP BY run),
+s AS (SELECT *, coalesce(sum(bytes) OVER (PARTITION BY tier ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 67108864 AS bin FROM r WHERE bytes < 67108864 OR bytes > 134217728),
+g AS (SELECT tier, bin, greatest(1, sum(bytes) // 67108864) AS pieces, count(*) AS n FROM s GROUP BY ALL),
+m AS (SELECT s.run, 't' || CAST(tier AS VARCHAR) || '-' || CAST(CAST(bin AS BIGINT) AS VARCHAR) AS name, pieces FROM s JOIN g USING (tier, bin) WHERE n > 1 OR pieces > 1),
+o AS (SELECT doc_id, run, text_sha256, b, CASE WHEN name IS NULL THEN 'run-' || CAST(run AS VARCHAR) WHEN pieces > 1 THEN name || '.' || CAST(coalesce(doc_id % CAST(pieces AS BIGINT), 0) AS VARCHAR) ELSE name END AS shard FROM d LEFT JOIN m USING (run)),
+z AS (SELECT shard, count(*) AS shard_rows, CAST(sum(b) AS BIGINT) AS shard_bytes, CAST(floor(ln(greatest(sum(b) / 262144, 1.0)) / ln(4.0) + 1e-9) AS INTEGER) AS tier FROM o GROUP BY shard)
+SELECT doc_id, run, text_sha256, shard, shard_rows, shard_bytes, tier FROM o JOIN z USING (shard)""",
     "op3_decontamination": r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT DISTINCT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
