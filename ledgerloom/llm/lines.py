@@ -150,7 +150,7 @@ def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", outpu
     marked = spark.sparkContext.broadcast(sieve(counted, sieve_bits))
     dealt = texts.mapInArrow(_candidates(marked, sieve_bits), CHUNK).repartition(partitions(spark), "name", F.when(F.col("bytes").isNull(), F.col("doc")))
     gone = scratch.save(dealt.sortWithinPartitions("name", "bytes", "doc", "lo").mapInArrow(_copies, "doc long, h long, lo int, hi int"), "gone")
-    met = row.join(gone.groupBy("doc", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("cover")), ["doc", "h"], "left").select("row", "text", "cover")
+    met = row.join(gone.groupBy("doc", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("cover")).hint("merge"), ["doc", "h"], "left").select("row", "text", "cover")
     same = ["text"] if text in keep else []
     schema = T.StructType([met.schema["row"], *[met.schema[c] for c in same]] + [T.StructField(c, kinds[c]) for c in outputs])
 
