@@ -93,7 +93,7 @@ class ShardStore:
         return version
 
     def plan(self, version: int | None = None, target_bytes: int = TARGET_BYTES) -> DataFrame:
-        """shard, folder -> into, pieces, new_tier, new_run: what compaction would rewrite."""
+        """shard, folder -> into, pieces: what compaction would rewrite."""
         runs = self.manifest(version).where(F.col("bytes") < target_bytes).unionByName(self.manifest(version).where(F.col("bytes") > 2 * target_bytes))
         runs = runs.withColumn("block", F.floor(F.col("run") / BLOCK_RUNS))
         ahead = runs.groupBy("tier", "block").agg(F.sum("bytes").alias("size"))
@@ -101,9 +101,9 @@ class ShardStore:
         inside = Window.partitionBy("tier", "block").orderBy("run", "shard", "folder").rowsBetween(Window.unboundedPreceding, -1)
         runs = runs.withColumn("before", F.coalesce(F.sum("bytes").over(inside), F.lit(0))).join(ahead, ["tier", "block"])
         runs = runs.withColumn("bin", F.floor((F.col("before") + F.col("ahead")) / target_bytes))
-        bins = runs.groupBy("tier", "bin").agg(F.count("*").alias("n"), F.sum("bytes").alias("size"), F.min("run").alias("new_run"))
+        bins = runs.groupBy("tier", "bin").agg(F.count("*").alias("n"), F.sum("bytes").alias("size"))
         bins = bins.withColumn("pieces", F.greatest(F.lit(1), F.floor(F.col("size") / target_bytes)).cast("int")).where("n > 1 or pieces > 1")
-        return runs.join(bins, ["tier", "bin"]).select("shard", "folder", F.format_string("t%d-%d", "tier", "bin").alias("into"), "pieces", "new_run")
+        return runs.join(bins, ["tier", "bin"]).select("shard", "folder", F.format_string("t%d-%d", "tier", "bin").alias("into"), "pieces")
 
     def read(self, version: int | None = None) -> DataFrame:
         """All rows of a version, with their shard."""
@@ -132,14 +132,14 @@ class ShardStore:
         rows = None
         for name in parts:
             one = self.spark.read.parquet(f"{self.path}/{name}").withColumn("shard", F.col("shard").cast("string"))
-            one = one.join(self._sent(plan.where(F.col("folder") == name).select("shard", "into", "pieces", "new_run")), "shard").drop("shard")
+            one = one.join(self._sent(plan.where(F.col("folder") == name).select("shard", "into", "pieces")), "shard").drop("shard")
             rows = one if rows is None else rows.unionByName(one)
         piece = F.coalesce(F.pmod(F.col(self.key), F.col("pieces")), F.lit(0))
         shard = F.when(F.col("pieces") > 1, F.concat("into", F.format_string(".%d", piece))).otherwise(F.col("into"))
         rows = rows.withColumn("shard", shard).drop("into", "pieces")
         rows.repartition("shard").write.partitionBy("shard").option("compression", "zstd").parquet(f"{self.path}/{folder}")
         own = self.spark.read.schema(rows.select(*[c for c in rows.columns if c != "shard"], "shard").schema).parquet(f"{self.path}/{folder}")
-        new = own.groupBy("shard").agg(F.min("new_run").alias("run"), F.count("*").alias("rows"), F.sum(self._bytes()).alias("bytes"))
+        new = own.groupBy("shard").agg(F.min("run").alias("run"), F.count("*").alias("rows"), F.sum(self._bytes()).alias("bytes"))
         new = new.select("shard", F.lit(folder).alias("folder"), "run", self.tier(F.col("bytes")).alias("tier"), "rows", "bytes")
         kept = self.manifest(version - 1).join(plan.select("shard", "folder"), ["shard", "folder"], "left_anti").select(*new.columns)
         self.commit(kept.unionByName(new), version)
