@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DIMS, LEAF, SURE = 8, 32, 0.98
-SHARD_ROWS, BLOCK_QUERIES = 20_000, 512
+DIMS, LEAF, SURE = 6, 256, 0.8
+SHARD_ROWS, BLOCK_QUERIES = 10_000, 4096
 
 
 def chi2_cdf(x: np.ndarray, dims: int) -> np.ndarray:
@@ -55,16 +55,16 @@ class Tree:
                 leaves.append(own)
                 continue
             axis = int(np.ptp(points[own], axis=0).argmax())
-            half = leaf * max(1, (len(own) // leaf + 1) // 2)
-            cut = np.argpartition(points[own, axis], half - 1 if half < len(own) else half - 1)
-            stack += [own[cut[half:]], own[cut[:half]]] if half < len(own) else [own[cut[: len(own) // 2]], own[cut[len(own) // 2 :]]]
+            half = len(own) // 2
+            cut = np.argpartition(points[own, axis], half)
+            stack += [own[cut[half:]], own[cut[:half]]]
         self.leaves = leaves
         self.low = np.array([points[x].min(0) for x in leaves])
         self.high = np.array([points[x].max(0) for x in leaves])
         width = max(map(len, leaves))
-        self.rows = np.full((len(leaves), width), -1)
+        self.members = np.full((len(leaves), width), -1)
         for i, x in enumerate(leaves):
-            self.rows[i, : len(x)] = np.sort(x)
+            self.members[i, : len(x)] = x
 
     def box_distance(self, q: np.ndarray) -> np.ndarray:
         """Squared distance from each query to each leaf's box."""
@@ -85,9 +85,13 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 class Shard:
+    """Distinct vectors of a shard under a tree, with the ids of each in order."""
+
     def __init__(self, ids: np.ndarray, x: np.ndarray, most: float, dims: int, leaf: int, seed: int = 7):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.x, self.most, self.dims = ids[order], x[order], most, dims
+        self.most, self.dims = most, dims
+        self.x, which = np.unique(x, axis=0, return_inverse=True)
+        order = np.lexsort((ids, which.ravel()))
+        self.ids, self.first = ids[order], np.searchsorted(which.ravel()[order], np.arange(len(self.x) + 1))
         extra = np.sqrt(np.maximum(most * most - exact(self.x, self.x), 0))
         self.weights = np.random.default_rng(seed).standard_normal((x.shape[1] + 1, dims))
         self.tree = Tree(np.hstack([self.x, extra[:, None]]) @ self.weights, leaf)
@@ -95,35 +99,50 @@ class Shard:
     def search(self, query_ids: np.ndarray, q: np.ndarray, k: int, sure: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row of q, id, inner product) of up to k results a query."""
         norm = np.sqrt(exact(q, q))
-        scaled = q * (self.most / norm)[:, None]
-        away = self.tree.box_distance(scaled @ self.weights[:-1])
+        away = self.tree.box_distance((q * (self.most / norm)[:, None]) @ self.weights[:-1])
         order = np.argsort(away, axis=1, kind="stable")
-        width = self.tree.rows.shape[1]
-        best = np.full((len(q), k), -np.inf)
-        who = np.full((len(q), k), -1)
+        width, keep = self.tree.members.shape[1], k + 8  # a few more than k: products are rounded until the end
+        best = np.full((len(q), keep), -np.inf)
+        who = np.full((len(q), keep), -1)
         left = np.arange(len(q))
         for step in range(order.shape[1]):
             leaf = order[left, step]
             if step:
                 # squared distance of the worst one kept, in the space where norms are M
-                worst = 2 * self.most * (self.most - best[left, -1] / norm[left])
+                worst = 2 * self.most * (self.most - best[left, :k].min(1) / norm[left])
                 with np.errstate(divide="ignore", invalid="ignore"):
                     ratio = np.where(worst > 0, away[left, leaf] / worst, np.where(np.isinf(worst), 0, np.inf))
                 go = chi2_cdf(ratio, self.dims) < sure
                 left, leaf = left[go], leaf[go]
                 if not len(left):
                     break
-            rows = self.tree.rows[leaf]
-            ok = (rows >= 0) & (self.ids[rows] != query_ids[left, None])
-            found = np.where(ok, exact(q[left, None, :], self.x[rows]), -np.inf)
-            score = np.hstack([best[left], found])
-            row = np.hstack([who[left], np.where(ok, rows, -1)])
-            # rows are in the order of ids: ties go to the smaller id
-            first = np.lexsort((np.where(row < 0, len(self.ids), row), -score), axis=1)[:, :k]
-            best[left] = np.take_along_axis(score, first, 1)
-            who[left] = np.take_along_axis(row, first, 1)
-        at, j = np.nonzero(who >= 0)
-        return at, self.ids[who[at, j]], best[at, j]
+            found = np.full((len(left), width), -np.inf)
+            by = np.argsort(leaf, kind="stable")
+            for own in np.split(by, np.flatnonzero(np.diff(leaf[by])) + 1):
+                rows = self.tree.leaves[leaf[own[0]]]
+                found[own, : len(rows)] = q[left[own]] @ self.x[rows].T
+            better = np.flatnonzero(found.max(1) > best[left].min(1))
+            if not len(better):
+                continue
+            at = left[better]
+            score = np.hstack([best[at], found[better]])
+            row = np.hstack([who[at], self.tree.members[leaf[better]]])
+            first = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
+            score = np.take_along_axis(score, first, 1)
+            down = np.argsort(-score, axis=1, kind="stable")
+            best[at] = np.take_along_axis(score, down, 1)
+            who[at] = np.take_along_axis(np.take_along_axis(row, first, 1), down, 1)
+        out = []
+        for i in range(len(q)):
+            rows = who[i][who[i] >= 0]
+            score = exact(q[i], self.x[rows])
+            ids = [self.ids[self.first[r] : self.first[r + 1]][: k + 1] for r in rows]
+            score, ids = np.repeat(score, [len(x) for x in ids]), np.concatenate(ids) if ids else np.zeros(0, np.int64)
+            other = ids != query_ids[i]
+            score, ids = score[other], ids[other]
+            take = np.lexsort((ids, -score))[:k]
+            out.append((np.full(len(take), i), ids[take], score[take]))
+        return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -155,9 +174,9 @@ def nearest(vectors: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str
         if left.num_rows and right.num_rows:
             shard = Shard(*arrays(left), most, dims, leaf)
             query_ids, q = arrays(right)
-            for lo in range(0, len(q), 128):
-                at, found, score = shard.search(query_ids[lo : lo + 128], q[lo : lo + 128], k, sure)
-                parts.append((query_ids[lo : lo + 128][at], found, score))
+            for lo in range(0, len(q), 512):
+                at, found, score = shard.search(query_ids[lo : lo + 512], q[lo : lo + 512], k, sure)
+                parts.append((query_ids[lo : lo + 512][at], found, score))
         return pa.table({name: np.concatenate(x) for name, x in zip(("query_id", "vec_id", "score"), zip(*parts))})
 
     found = spread.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInArrow(run, "query_id long, vec_id long, score double")
