@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._cluster import Scratch
+from ._cluster import Scratch, partitions
 
 FILE_BYTES = 256 << 20
 RANGE_BYTES = 4 << 20
@@ -154,4 +154,4 @@ def read_archives(index: DataFrame, folder: str, range_bytes: int = RANGE_BYTES,
                 kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in READ.split(", ")])
 
-    return ranges.mapInArrow(run, READ)
+    return ranges.repartition(partitions(index.sparkSession), "file", "range").mapInArrow(run, READ)
