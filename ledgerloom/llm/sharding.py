@@ -17,10 +17,12 @@ give an empty manifest. Columns named as partition columns (`shard`, `run`) are
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TARGET_BYTES, BASE_BYTES, FANOUT = 64 << 20, 256 << 10, 4
 PLAN_ROWS, BLOCK_RUNS = 200_000, 4096
@@ -50,11 +52,7 @@ class ShardStore:
         version = known[-1] if version is None else version
         if version not in known:
             raise ValueError(f"no version {version}")
-        stream = self._fs.open(self._at(f"commits/{version:012d}"))
-        try:
-            name = stream.readUTF()
-        finally:
-            stream.close()
+        name = self._get(f"commits/{version:012d}")
         return self.spark.read.schema("shard string, folder string, run long, tier int, rows long, bytes long").parquet(f"{self.path}/manifests/{name}")
 
     def commit(self, shards: DataFrame, version: int) -> None:
@@ -62,14 +60,25 @@ class ShardStore:
         name = f"{version:012d}-{uuid.uuid4().hex[:12]}"
         shards.coalesce(1).write.parquet(f"{self.path}/manifests/{name}")
         try:
-            out = self._fs.create(self._at(f"commits/{version:012d}"), False)
+            self._put(f"commits/{version:012d}", name)
         except Exception as e:
             if "AlreadyExists" in str(e):
                 raise Conflict(f"version {version} exists") from e
             raise
-        out.writeUTF(name)
+
+    def _put(self, name: str, value: str) -> None:
+        """Writes a small file; fails where it exists."""
+        out = self._fs.create(self._at(name), False)
+        out.writeUTF(value)
         out.close()
 
+    def _get(self, name: str) -> str:
+        stream = self._fs.open(self._at(name))
+        try:
+            return stream.readUTF()
+        finally:
+            stream.close()
+
     def _next(self) -> int:
         return (self.versions() or [0])[-1] + 1
 
@@ -82,6 +91,8 @@ class ShardStore:
     def append(self, rows: DataFrame, arrival: Column) -> int:
         """Adds each arrival as a shard of its own; returns the new version."""
         version, folder = self._next(), f"data/{uuid.uuid4().hex[:12]}"
+        if not self._fs.exists(self._at("schema")):
+            self._put("schema", rows.drop("run", "shard").schema.json())
         rows = rows.drop("run", "shard").withColumn("run", F.coalesce(arrival.cast("long"), F.lit(-1)))
         # files of a run come from the tasks that hold its rows: nothing is shuffled
         rows.withColumn("shard", F.format_string("run-%d", "run")).write.partitionBy("shard").option("compression", "zstd").parquet(f"{self.path}/{folder}")
@@ -106,7 +117,7 @@ class ShardStore:
         return runs.join(bins, ["tier", "bin"]).select("shard", "folder", F.format_string("t%d-%d", "tier", "bin").alias("into"), "pieces")
 
     def read(self, version: int | None = None) -> DataFrame:
-        """All rows of a version, with their shard."""
+        """All rows of a version, with their run and shard."""
         folders = [r.folder for r in self.manifest(version).select("folder").distinct().toLocalIterator()]
         every = None
         for folder in folders:
@@ -115,6 +126,9 @@ class ShardStore:
             one = self.spark.read.parquet(f"{self.path}/{folder}").withColumn("shard", F.col("shard").cast("string"))
             one = one.join(self._sent(known), "shard", "left_semi")
             every = one if every is None else every.unionByName(one)
+        if every is None:
+            schema = T.StructType.fromJson(json.loads(self._get("schema"))).add("run", "long").add("shard", "string")
+            return self.spark.createDataFrame([], schema)
         return every
 
     def _sent(self, shards: DataFrame) -> DataFrame:
