@@ -61,9 +61,9 @@ def _packed(data: bytes) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
-def typical(toxic: list[bytes], ordinary: list[bytes], least: float = 30.0, ratio: float = 4.0) -> bytes:
-    """Strings in `ratio` times more toxic texts than others (as shares) and significantly so,
-    most telling first, each once and without what texts have three of already."""
+def typical(toxic: list[bytes], ordinary: list[bytes], least: float = 30.0, share_least: float = 0.2, ratio: float = 4.0) -> bytes:
+    """Strings in `ratio` times more toxic texts than others (as shares) and significantly so (a log
+    likelihood ratio of `least`, and of `share_least` for each toxic text), most telling first, each once and without what texts have three of already."""
     packed = [_packed(x) for x in toxic]
     key, n = np.unique(np.concatenate(packed), return_counts=True)
     floor = max(4, len(toxic) // 200)
@@ -78,7 +78,7 @@ def typical(toxic: list[bytes], ordinary: list[bytes], least: float = 30.0, rati
     n1, n0 = len(toxic), len(ordinary)
     share = (n + other) / (n1 + n0)
     gain = 2 * (n * np.log(n / n1 / share) + other * np.log(np.maximum(other, 1e-9) / n0 / share))
-    good = np.flatnonzero(((n + 0.5) / n1 > ratio * (other + 0.5) / n0) & (gain >= least))
+    good = np.flatnonzero(((n + 0.5) / n1 > ratio * (other + 0.5) / n0) & (gain >= max(least, share_least * n1)))
     good = good[np.argsort(-gain[good], kind="stable")]
     where: dict[int, list[int]] = {int(k): [] for k in key[good]}
     wanted = np.sort(key[good])
@@ -165,7 +165,7 @@ def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0)
     return b
 
 
-def learn(texts: list[str | None], toxic: list[int], toxic_weight: float = 1.5, train_bytes: int = TRAIN_BYTES) -> Model:
+def learn(texts: list[str | None], toxic: list[int], toxic_weight: float = 1.0, train_bytes: int = TRAIN_BYTES) -> Model:
     y = np.array(toxic, float)
     if not len(y) or y.min() == y.max():
         p = float(np.clip(y.mean(), 0.001, 0.999)) if len(y) else 0.5
