@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, decontam, lines, simhash, toxicity
 from ledgerloom.llm._cluster import Scratch
+from ledgerloom.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for toxic go; it learns from `labels`."""
-    Scratch.release(docs)
+    Scratch.release(ship(spark), docs)
     docs = docs.select(*COLUMNS)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.classify(docs, model).where("predicted = 0").select(*COLUMNS)
@@ -29,7 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Chunks of lines that stood earlier go; a document left with nothing stays, empty."""
-    Scratch.release(docs)
+    Scratch.release(ship(spark), docs)
     found = lines.deduplicate(docs.select(*COLUMNS), outputs=("kept", "n_removed"))
     changed = F.col("n_removed") > 0
     text = F.when(changed, F.col("kept")).otherwise(F.col("text"))
@@ -38,7 +39,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest id."""
-    Scratch.release(docs)
+    Scratch.release(ship(spark), docs)
     docs = docs.select(*COLUMNS).withColumn("__h", F.coalesce(F.xxhash64("text"), F.lit(0))).withColumn("__i", F.coalesce(F.col("doc_id"), F.lit(-(2**63))))
     found = simhash.near_duplicates(docs, doc_id="__i", also=("__h",))
     kept = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "__h")).alias("k")).select(F.col("k.doc_id").alias("__i"), F.col("k.__h").alias("__h"))
@@ -49,7 +50,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of a benchmark item go."""
-    Scratch.release(docs)
+    Scratch.release(ship(spark), docs)
     found = decontam.contamination(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.where("size(items) = 0").select(*COLUMNS)
 
@@ -58,7 +59,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, and proof that they decode to the text."""
     import public_tokenizers
 
-    Scratch.release(docs)
+    Scratch.release(ship(spark), docs)
     outputs = ("ids", "n_tokens", "ids_sha256", "decoded_sha256")
     found = bpe.encode_decode(docs.select(*COLUMNS), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, outputs=outputs)
     return found.select("doc_id", "lang", "source", *outputs)

@@ -47,12 +47,12 @@ class Scratch:
             Scratch.made.remove(self)
 
     @classmethod
-    def release(cls, docs: DataFrame) -> None:
-        """Removes earlier runs' tables, but for those that docs still reads."""
+    def release(cls, spark: SparkSession, docs: DataFrame) -> None:
+        """Removes earlier runs' tables of this application, but for those that docs still reads."""
         used = docs.inputFiles()
         plain = lambda x: x.split(":", 1)[-1].lstrip("/")
         for x in list(cls.made):
-            if x.spark.sparkContext._jsc is not None and not any(plain(f).startswith(plain(x.path) + "/") for f in used):
+            if x.spark.sparkContext is spark.sparkContext and not any(plain(f).startswith(plain(x.path) + "/") for f in used):
                 x.remove()
 
 
