@@ -57,3 +57,18 @@ LETTERHEAD = ["logistics", "pharma hub", "gst invoice", "tax inv.no", "tax inv n
 # fixed values: phrases that open a section of a document
 RETURN_SECTION = ["returns adjusted", "return adjusted", "credit note", "cr note", "cr/dr no", "return items", "expiry return", "breakage return", "sales return", "goods returned"]
 SCHEME_SECTION = ["scheme items", "bonus items", "free items", "promotional goods"]
+
+# fixed values: GST rates of whole and half taxes, in percent
+GST_RATES = [0.0, 0.25, 1.5, 2.5, 5.0, 6.0, 9.0, 12.0, 14.0, 18.0, 28.0]
+
+# fixed values: first digits of HSN codes that pharmaceutical invoices carry
+HSN_STARTS = ["30", "21", "38", "90", "33", "34", "29", "19", "40", "48"]
+
+# fixed values: a pack size (regular expression)
+PACK_SIZE = r"(?i)\b(\d+['`’]s|\d+\s*s|\d+x\d+|\d+\*\d+|\d+\s*(?:ml|gm|mg|tab|cap|vial|amp|btl|strip|box|ltr|kg))\b"
+
+# fixed values: words that mark a product name
+ITEM_WORDS = "tab caps cap syp inj gel susp oint drops cream tablet capsule syrup injection ointment powder lotion solution emulsion pharma mg ml gm forte plus duo ds dry dt sr er cr xl xr mr resp inhaler".split()
+
+# fixed values: a product name that is a dosage form alone (regular expression)
+FORM_ONLY = r"(?i)^(tabs?|caps?|cream|syp|syrup|inj|gel|drops?|ointment|softgel|susp)(\b.*)?$"
