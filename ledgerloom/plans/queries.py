@@ -289,3 +289,6 @@ def canonical_json_export(spark, sf_dir):
 @query(None)
 def tally_xml_export(spark, sf_dir):
     return exports.tally_xml(line_items(spark, sf_dir))
+
+
+from . import documents  # noqa: E402, F401 (registers its queries)
