@@ -4,21 +4,24 @@ Tokens are a text's words (A-Z lower-cased) and one end. The model has two order
 
     base(w) = (c(w) + 1/2) / (N + (V + 1) / 2)
 
-over the V training types and one unknown type. The `vocabulary` most frequent types, and one class
-for all others, have bigram counts. With Good-Turing discounts d(r) for counts r up to `cutoff`,
+over the V training types and one unknown type. All bigrams of all types are counted. With
+Good-Turing discounts d(r) for counts r up to `cutoff`,
 
     P(w | v) = d(c(vw)) c(vw) / c(v)   where c(vw) > 0,   else   a(v) P(w)
 
-with a(v) such that all classes sum to one exactly; a word of the class of others has that class's
-probability times its share of the class under base. A history not seen in training leaves P(w).
+with a(v) such that all words sum to one exactly. A history not seen in training leaves P(w).
+Where a caller asks for a `vocabulary`, only so many most frequent types (no tie is broken) have
+bigrams of their own; all others are one class, shared out under base. The query asks for none.
 Where Good-Turing gives no discount between 0 and 1 for an r, (r - 1/2) / r is taken; a history
-all of whose counts are over the cutoff keeps 1 / (c(v) + 1) for other classes.
+all of whose counts are over the cutoff keeps 1 / (c(v) + 1) for other words.
 
 Texts are made into chunks of about `chunk_tokens` tokens: distinct word hashes and each token's place
 among them. Chunks send distinct words, then distinct bigrams, with training counts to buckets
 by hash; a bucket adds them up, stores its part of the table, and answers each chunk with the
-counts of what it sent. Only the vocabulary, discounts and backoff weights are broadcast, which
-the vocabulary's size bounds. Words are told apart by 64-bit hashes.
+counts of what it sent. Word buckets also number their words. Bigrams go to buckets by their history;
+those of the `HOT` most frequent words (and of a text's beginning and others) by a part of `SALTS`
+that the second word gives too. Then a bucket sends each chunk the totals and backoff weights of the
+histories it asked for; only discounts and the hot histories are broadcast. Words are told apart by 64-bit hashes.
 
 Null and empty texts have one token, the end. A null id is not held out. Without training rows
 every word is unknown and has probability base (c = N = V = 0). Repeated rows count and score each by
@@ -36,11 +39,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import LOWER, WHITE, blocks, words
+from ._arrays import LOWER, WHITE, blocks, mix, words
 from ._cluster import Scratch, partitions
 
-VOCABULARY, CUTOFF, CHUNK_TOKENS = 50_000, 5, 1 << 20
+CUTOFF, CHUNK_TOKENS, HOT, SALTS = 5, 1 << 20, 256, 32
 END = np.uint64(0)
+BEGIN, OTHERS, FIRST = 0, 1, 2
+"""Numbers of a text's beginning, the class of others and the first word."""
 
 
 def _pack(x: np.ndarray, sort: bool = False) -> bytes:
@@ -110,32 +115,63 @@ class Chunk:
         """For each token, whether the model learns from it."""
         return np.repeat(~self.held, self.sizes)
 
-    def bigrams(self, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(class of the token before, class) of each token; classes: places in the vocabulary,
-        then others, then a text's beginning."""
-        k = len(vocabulary)
-        at = np.minimum(np.searchsorted(vocabulary, self.types), max(0, k - 1))
-        own = (np.where(vocabulary[at] == self.types, at, k) if k else np.zeros(len(self.types), np.int64))[self.tokens]
+    def pairs(self, numbers: np.ndarray, buckets: int, hot: np.ndarray) -> Pairs:
+        """Distinct bigrams; numbers: of the types."""
+        own = numbers[self.tokens]
         before = np.empty_like(own)
         before[1:] = own[:-1]
-        before[np.cumsum(self.sizes) - self.sizes] = k + 1
-        return before, own
+        before[np.cumsum(self.sizes) - self.sizes] = BEGIN
+        key, at, places = np.unique(before << np.uint64(32) | own, return_index=True, return_inverse=True)
+        bucket = _bucket_of(key, buckets, hot)
+        order = np.argsort(bucket, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        return Pairs(key[order], bucket[order], at[order], rank[places])
 
 
-def _bucket_of(history: np.ndarray, buckets: int) -> np.ndarray:
-    return ((history.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+@dataclass
+class Pairs:
+    """Distinct bigrams (history's number, word's number) in the order of buckets and ascending in
+    each, a token where each stands, and the place of each token's."""
+
+    key: np.ndarray
+    bucket: np.ndarray
+    at: np.ndarray
+    places: np.ndarray
+
+
+def _among(v: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which of v are in some, an ascending array that isn't empty."""
+    return some[np.minimum(np.searchsorted(some, v), len(some) - 1)] == v
+
+
+def _bucket_of(key: np.ndarray, buckets: int, hot: np.ndarray) -> np.ndarray:
+    v, w = key >> np.uint64(32), key & np.uint64(2**32 - 1)
+    salt = np.where(_among(v, hot), mix(w + np.uint64(1)) % np.uint64(SALTS), np.uint64(0))
+    return (mix(v << np.uint64(8) | salt) % np.uint64(buckets)).astype(np.int64)
+
+
+def _asked(key: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether it is hot, whether it is the first of its history and not hot) of each bigram."""
+    v = key >> np.uint64(32)
+    is_hot = _among(v, hot)
+    first = ~is_hot
+    first[1:] &= v[1:] != v[:-1]
+    return is_hot, first
 
 
-SENT = "bucket int, chunk long, keys binary, counts binary"
+SENT = "bucket int, chunk long, keys binary, counts binary, below binary"
+"""below: training counts of bigrams' last words; -1 for the class of others."""
 
 
-def _sent(number: int, bucket: np.ndarray, key: np.ndarray, count: np.ndarray, buckets: int) -> pa.RecordBatch:
+def _sent(number: int, bucket: np.ndarray, key: np.ndarray, count: np.ndarray, buckets: int, below: np.ndarray | None = None) -> pa.RecordBatch:
     """A row for each bucket, from keys in the order of buckets and ascending in each."""
     cut = np.searchsorted(bucket, np.arange(buckets + 1))
     own = [b for b in range(buckets) if cut[b] < cut[b + 1]]
+    packed = lambda x, sort=False: pa.array([None if x is None else _pack(x[cut[b] : cut[b + 1]], sort) for b in own], pa.binary())
     return pa.RecordBatch.from_arrays(
-        [pa.array(own, pa.int32()), pa.array([number] * len(own), pa.int64()), pa.array([_pack(key[cut[b] : cut[b + 1]], True) for b in own], pa.binary()), pa.array([_pack(count[cut[b] : cut[b + 1]].astype(np.int64)) for b in own], pa.binary())],
-        names=["bucket", "chunk", "keys", "counts"],
+        [pa.array(own, pa.int32()), pa.array([number] * len(own), pa.int64()), packed(key, True), packed(count.astype(np.int64)), packed(below)],
+        names=["bucket", "chunk", "keys", "counts", "below"],
     )
 
 
@@ -144,57 +180,77 @@ def _split_words(x: Chunk, buckets: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return bucket, x.types, np.bincount(x.tokens[x.trained()], minlength=len(x.types))
 
 
-def _split_bigrams(x: Chunk, vocabulary: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, key, training count) of distinct bigrams, and the place of each token's."""
-    v, w = x.bigrams(vocabulary)
-    k = len(vocabulary) + 2
-    whole = (_bucket_of(v, buckets) * k + v) * k + w
-    found, places = np.unique(whole, return_inverse=True)
-    count = np.bincount(places[x.trained()], minlength=len(found))
-    return found // (k * k), (found % (k * k)).astype("<u8"), count, places
-
-
-def _send(split, buckets: int):
+def _send_words(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 x = Chunk.of(row)
-                yield _sent(x.number, *split(x)[:3], buckets)
+                yield _sent(x.number, *_split_words(x, buckets), buckets)
 
     return run
 
 
-ADDED = "table boolean, bucket int, chunk long, keys binary, counts binary, repeats array<struct<r: long, n: long>>"
-"""table: all keys of a bucket seen in training, with their counts and how often each count
-occurs. Others: the counts of the keys that a chunk sent, in their order."""
-
-
-def _add(key, sent):
-    bucket = key[0].as_py()
-    keys = [_unpack(x, "<u8", True) for x in sent.column("keys").to_pylist()]
-    counts = [_unpack(x, "<i8") for x in sent.column("counts").to_pylist()]
-    every, place = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.zeros(len(every), np.int64)
-    np.add.at(total, place, np.concatenate(counts))
-    answers = np.split(total[place], np.cumsum([len(x) for x in keys])[:-1])
-    known = total > 0
-    r, n = np.unique(total[known], return_counts=True)
-    m = len(keys)
-    return pa.table(
-        {
-            "table": [True] + [False] * m,
-            "bucket": pa.array([bucket] * (m + 1), pa.int32()),
-            "chunk": pa.array([None, *sent.column("chunk").to_pylist()], pa.int64()),
-            "keys": pa.array([_pack(every[known], True)] + [None] * m, pa.binary()),
-            "counts": pa.array([_pack(total[known])] + [_pack(x) for x in answers], pa.binary()),
-            "repeats": pa.array([[{"r": a, "n": b} for a, b in zip(r.tolist(), n.tolist())]] + [None] * m, pa.list_(pa.struct([("r", pa.int64()), ("n", pa.int64())]))),
-        }
-    )
+ADDED = "table boolean, bucket int, chunk long, keys binary, counts binary, more binary, repeats array<struct<r: long, n: long>>, chunks array<long>, asked array<binary>"
+"""table: all keys of a bucket seen in training, with their counts, how often each count occurs, and
+for bigrams the counts of their last words (more) and the histories that chunks asked for. Others: the
+counts of the keys that a chunk sent, in their order, and for words their numbers (more)."""
+
+
+def _add(buckets: int, hot: np.ndarray | None):
+    """hot: of bigrams; None for words."""
+
+    def run(key, sent):
+        bucket = key[0].as_py()
+        read = lambda c, kind, sort=False: [_unpack(x, kind, sort) for x in sent.column(c).to_pylist()]
+        keys, chunk = read("keys", "<u8", True), sent.column("chunk").to_pylist()
+        every, place = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.zeros(len(every), np.int64)
+        np.add.at(total, place, np.concatenate(read("counts", "<i8")))
+        parts = np.split(place, np.cumsum([len(x) for x in keys])[:-1])
+        known = total > 0
+        r, n = np.unique(total[known], return_counts=True)
+        if hot is None:
+            if len(every) * buckets + FIRST >= 1 << 32:
+                raise OverflowError("more words than numbers: more shuffle partitions don't help, wider numbers do")
+            number = np.empty(len(every), np.uint64)
+            number[np.argsort(-total, kind="stable")] = np.arange(len(every), dtype=np.uint64) * np.uint64(buckets) + np.uint64(bucket + FIRST)
+            more, asked = [None, *(_pack(number[p]) for p in parts)], None
+        else:
+            below = np.zeros(len(every), np.int64)
+            below[place] = np.concatenate(read("below", "<i8"))
+            more, asked = [_pack(below[known])] + [None] * len(keys), [_pack((k >> np.uint64(32))[_asked(k, hot)[1]], True) for k in keys]
+        m = len(keys)
+        return pa.table(
+            {
+                "table": [True] + [False] * m,
+                "bucket": pa.array([bucket] * (m + 1), pa.int32()),
+                "chunk": pa.array([None, *chunk], pa.int64()),
+                "keys": pa.array([_pack(every[known], True)] + [None] * m, pa.binary()),
+                "counts": pa.array([_pack(total[known])] + [_pack(total[p]) for p in parts], pa.binary()),
+                "more": pa.array(more, pa.binary()),
+                "repeats": pa.array([[{"r": a, "n": b} for a, b in zip(r.tolist(), n.tolist())]] + [None] * m, pa.list_(pa.struct([("r", pa.int64()), ("n", pa.int64())]))),
+                "chunks": pa.array([None if asked is None else chunk] + [None] * m, pa.list_(pa.int64())),
+                "asked": pa.array([asked] + [None] * m, pa.list_(pa.binary())),
+            }
+        )
+
+    return run
 
 
-def _counted(scratch: Scratch, chunks: DataFrame, split, buckets: int, name: str) -> DataFrame:
-    sent = chunks.mapInArrow(_send(split, buckets), SENT)
-    return scratch.save(sent.groupBy("bucket").applyInArrow(_add, ADDED), name, "table")
+def _counted(scratch: Scratch, sent: DataFrame, buckets: int, name: str, hot: np.ndarray | None = None) -> DataFrame:
+    return scratch.save(sent.groupBy("bucket").applyInArrow(_add(buckets, hot), ADDED), name, "table")
+
+
+def _frequent(buckets: int):
+    """The most frequent words of a bucket's table: number, count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, counts in zip(batch.column("bucket").to_pylist(), batch.column("counts").to_pylist()):
+                c = np.sort(_unpack(counts, "<i8"))[::-1][:HOT]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(c)) * buckets + bucket + FIRST), pa.array(c)], names=["v", "c"])
+
+    return run
 
 
 def _repeats(counted: DataFrame) -> dict[int, int]:
@@ -218,23 +274,43 @@ def discounts(repeats: dict[int, int], cutoff: int = CUTOFF) -> np.ndarray:
 class Model:
     tokens: int
     types: int
-    vocabulary: np.ndarray
-    lower: np.ndarray
-    """P(w) of each class: the vocabulary's, then others."""
-    discount: np.ndarray
-    total: np.ndarray | None = None
-    scale: np.ndarray | None = None
-    backoff: np.ndarray | None = None
+    vocabulary: np.ndarray | None = None
+    """Of a table over numbered classes: its types, and P(w) of each class and the last, others."""
+    lower: np.ndarray | None = None
+    discount: np.ndarray | None = None
+    least: int = 0
+    """Words of fewer training occurrences are in the class of others, whose P is `others`."""
+    others: float = 0.0
+    hot: np.ndarray | None = None
+    """Numbers of hot histories, ascending."""
+    weights: tuple[np.ndarray, ...] = ()
+    """Numbers of those seen, ascending, and their totals, scales and backoff weights."""
 
     def base(self, count: np.ndarray) -> np.ndarray:
         return (count + 0.5) / (self.tokens + 0.5 * (self.types + 1))
 
+    def below(self, count: np.ndarray) -> np.ndarray:
+        return np.where(count < 0, self.others, self.base(count))
+
 
-BACKOFF = "v long, total long, scale double, backoff double"
+def _sums(m: Model, v: np.ndarray, c: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(v, total, discounted total, P of the words seen) of each history, from its bigrams."""
+    start = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
+    add = lambda x: np.add.reduceat(x, start) if len(start) else x[:0]
+    return v[start], add(c), add(c * m.discount[np.minimum(c, len(m.discount) - 1)]), add(lower)
+
+
+def _weights(total: np.ndarray, kept: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(scale, backoff weight) of each history."""
+    kept, rest = kept / total, 1 - seen
+    scale = np.where(1 - kept > 1e-9, 1.0, total / (total + 1) / kept)
+    full = rest <= 1e-12
+    scale[full] = 1 / kept[full]
+    return scale, np.where(full, 0.0, (1 - scale * kept) / np.where(full, 1.0, rest))
 
 
 def _weigh(sent):
-    """Backoff weights of each history of a bucket's table."""
+    """Backoff weights of each history of a table over numbered classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -242,116 +318,163 @@ def _weigh(sent):
         for batch in batches:
             for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
                 key, c = _unpack(keys, "<u8", True).astype(np.int64), _unpack(counts, "<i8")
-                if not len(key):
-                    continue
-                v, w = key // k, key % k
-                start = np.flatnonzero(np.diff(v, prepend=-1))
-                total = np.add.reduceat(c, start)
-                kept = np.add.reduceat(c * m.discount[np.minimum(c, len(m.discount) - 1)], start) / total
-                seen = np.add.reduceat(m.lower[w], start)
-                rest = 1 - seen
-                scale = np.where(1 - kept > 1e-9, 1.0, total / (total + 1) / kept)
-                full = rest <= 1e-12
-                scale[full] = 1 / kept[full]
-                weight = np.where(full, 0.0, (1 - scale * kept) / np.where(full, 1.0, rest))
-                yield pa.RecordBatch.from_arrays([pa.array(v[start]), pa.array(total), pa.array(scale), pa.array(weight)], names=["v", "total", "scale", "backoff"])
+                v, total, kept, seen = _sums(m, key // k, c, m.lower[key % k])
+                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(total), *map(pa.array, _weights(total, kept, seen))], names=["v", "total", "scale", "backoff"])
+
+    return run
+
+
+def _table_sums(m: Model, keys: bytes, counts: bytes, below: bytes, keep) -> tuple[np.ndarray, ...]:
+    key, c, lower = _unpack(keys, "<u8", True), _unpack(counts, "<i8"), m.below(_unpack(below, "<i8"))
+    v = key >> np.uint64(32)
+    some = keep(v)
+    return _sums(m, v[some], c[some], lower[some])
+
+
+def _hot_sums(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("keys", "counts", "more"))):
+                v, *sums = _table_sums(sent.value, *row, lambda v: _among(v, sent.value.hot))
+                yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)), *map(pa.array, sums)], names=["v", "total", "kept", "seen"])
+
+    return run
+
+
+ANSWER = "chunk long, bucket int, kind int, counts binary, more binary"
+"""kind 0: counts and numbers of words; 1: counts of bigrams; 2: totals of histories, then their
+scales and backoff weights."""
+
+
+def _answer(sent):
+    """Totals (0: not seen) and weights of the histories that chunks asked a bucket for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                v, total, kept, seen = _table_sums(sent.value, row["keys"], row["counts"], row["more"], lambda v: ~_among(v, sent.value.hot))
+                # one more, for histories not seen
+                v, total, scale, backoff = (np.append(x, y) for x, y in zip((v, total, *_weights(total, kept, seen)), (v.dtype.type(2**64 - 1), 0, 1.0, 1.0)))
+                for chunk, asked in zip(row["chunks"], row["asked"]):
+                    want = _unpack(asked, "<u8", True)
+                    at = np.searchsorted(v, want)
+                    at[v[at] != want] = len(v) - 1
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([chunk]), pa.array([row["bucket"]], pa.int32()), pa.array([2], pa.int32()), pa.array([_pack(total[at])], pa.binary()), pa.array([_pack(np.concatenate([scale[at], backoff[at]]))], pa.binary())],
+                        names=["chunk", "bucket", "kind", "counts", "more"],
+                    )
 
     return run
 
 
-def train(scratch: Scratch, docs: DataFrame, vocabulary: int, cutoff: int, chunk_tokens: int) -> tuple[DataFrame, DataFrame, DataFrame, Model, int]:
-    """(chunks, counted words, counted bigrams, model, buckets). docs: id, text, held."""
+def _gathered(got: dict, kind: int, column: int, dtype: str, bucket: np.ndarray, buckets: int, part: int = 0, parts: int = 1) -> np.ndarray:
+    """What buckets answered, for keys in the order of buckets."""
+    out, cut = np.zeros(len(bucket), dtype), np.searchsorted(bucket, np.arange(buckets + 1))
+    for b in range(buckets):
+        if cut[b] < cut[b + 1]:
+            out[cut[b] : cut[b + 1]] = np.split(_unpack(got[kind, b][column], dtype), parts)[part]
+    return out
+
+
+def _numbered(m: Model, x: Chunk, got: dict, buckets: int) -> tuple[np.ndarray, np.ndarray, Pairs]:
+    """Counts of a chunk's types, whether each is in the class of others, and the bigrams."""
+    bucket = _split_words(x, buckets)[0]
+    count = _gathered(got, 0, 0, "<i8", bucket, buckets)
+    others = count < m.least
+    return count, others, x.pairs(np.where(others, np.uint64(OTHERS), _gathered(got, 0, 1, "<u8", bucket, buckets)), buckets, m.hot)
+
+
+def _answers_of(answered: pa.Table) -> dict:
+    return {(a["kind"], a["bucket"]): (a["counts"], a["more"]) for a in answered.select(["kind", "bucket", "counts", "more"]).to_pylist()}
+
+
+def _send_pairs(m: Model, buckets: int):
+    def run(key, own: pa.Table, answered: pa.Table) -> pa.Table:
+        x = Chunk.of(own.to_pylist()[0])
+        count, others, pairs = _numbered(m, x, _answers_of(answered), buckets)
+        sent = np.bincount(pairs.places[x.trained()], minlength=len(pairs.key))
+        return pa.Table.from_batches([_sent(x.number, pairs.bucket, pairs.key, sent, buckets, np.where(others, -1, count)[x.tokens[pairs.at]])])
+
+    return run
+
+
+def train(scratch: Scratch, docs: DataFrame, vocabulary: int | None, cutoff: int, chunk_tokens: int) -> tuple[DataFrame, DataFrame, DataFrame, Model, int]:
+    """(chunks, answers on words, counted bigrams, model, buckets). docs: id, text, held."""
     spark = docs.sparkSession
     buckets = partitions(spark)
     chunks = scratch.save(docs.mapInArrow(_chunks(chunk_tokens), CHUNK), "chunks")
-    counted = _counted(scratch, chunks, lambda x: _split_words(x, buckets), buckets, "words")
+    counted = _counted(scratch, chunks.mapInArrow(_send_words(buckets), SENT), buckets, "words")
     repeats = _repeats(counted)
-    tokens, types = sum(r * n for r, n in repeats.items()), sum(repeats.values())
-    least, found = None, 0
-    for r in sorted(repeats, reverse=True):
-        if found + repeats[r] > vocabulary:
-            break
-        found, least = found + repeats[r], r
-
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
-                key, c = _unpack(keys, "<u8", True), _unpack(counts, "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(key[c >= least].astype(np.int64)), pa.array(c[c >= least])], names=["w", "c"])
-
-    if least is None:
-        known, c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    else:
-        got = counted.where("table").select("keys", "counts").mapInArrow(frequent, "w long, c long").toArrow()
-        known, c = got.column("w").to_numpy().astype(np.uint64), got.column("c").to_numpy()
-        c, known = c[np.argsort(known)], np.sort(known)
-    m = Model(tokens, types, known, np.zeros(0), np.ones(cutoff + 2))
-    own = m.base(c)
-    m.lower = np.append(own, max(0.0, 1 - own.sum()))
-    sent = spark.sparkContext.broadcast(known)
-    pairs = _counted(scratch, chunks, lambda x: _split_bigrams(x, sent.value, buckets), buckets, "bigrams")
+    m = Model(sum(r * n for r, n in repeats.items()), sum(repeats.values()))
+    if vocabulary is not None:
+        found, m.least = 0, max(repeats, default=0) + 1
+        for r in sorted(repeats, reverse=True):
+            if found + repeats[r] > vocabulary:
+                break
+            found, m.least = found + repeats[r], r
+        m.others = max(0.0, 1 - sum(n * m.base(r) for r, n in repeats.items() if r >= m.least))
+    top = counted.where("table").select("bucket", "counts").mapInArrow(_frequent(buckets), "v long, c long").orderBy(F.desc("c"), "v").limit(HOT).toArrow()
+    m.hot = np.sort(np.append(top.column("v").to_numpy(), [BEGIN, OTHERS])).astype(np.uint64)
+    answers = counted.where("not table").select("chunk", "bucket", F.lit(0).alias("kind"), "counts", "more")
+    sent = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_send_pairs(m, buckets), SENT)
+    pairs = _counted(scratch, sent, buckets, "bigrams", m.hot)
     m.discount = discounts(_repeats(pairs), cutoff)
-    weights = scratch.save(pairs.where("table").select("keys", "counts").mapInArrow(_weigh(spark.sparkContext.broadcast(m)), BACKOFF), "backoff").toArrow()
-    k = len(known) + 2
-    m.total, m.scale, m.backoff = np.zeros(k, np.int64), np.ones(k), np.ones(k)
-    v = weights.column("v").to_numpy()
-    for name in ("total", "scale", "backoff"):
-        getattr(m, name)[v] = weights.column(name).to_numpy()
-    return chunks, counted, pairs, m, buckets
-
-
-def _log_probability(m: Model, v: np.ndarray, w: np.ndarray, pair: np.ndarray | None, count: np.ndarray) -> np.ndarray:
-    """log10 P(w | v); without pair counts the lower order, P(w)."""
-    if pair is None:
-        others = w == len(m.vocabulary)
-        out = np.log10(np.maximum(m.lower[w], 1e-300))
-        out[others] = np.log10(m.base(count[others]))
-        return out
-    out = _log_probability(m, v, w, None, count)
-    seen = pair > 0
-    backed = ~seen & (m.total[v] > 0)
-    out[backed] += np.log10(np.maximum(m.backoff[v[backed]], 1e-300))
-    c = pair[seen]
-    p = m.scale[v[seen]] * m.discount[np.minimum(c, len(m.discount) - 1)] * c / m.total[v[seen]]
-    share = np.where(w[seen] == len(m.vocabulary), m.base(count[seen]) / np.maximum(m.lower[-1], 1e-300), 1.0)
-    out[seen] = np.log10(p * share)
-    return out
+    # at most HOT + 2 histories, each in SALTS buckets
+    hot = pairs.where("table").mapInArrow(_hot_sums(spark.sparkContext.broadcast(m)), "v long, total long, kept double, seen double")
+    hot = hot.groupBy("v").agg(*(F.sum(c).alias(c) for c in ("total", "kept", "seen"))).orderBy("v").toArrow()
+    v, total, kept, seen = (hot.column(c).to_numpy() for c in ("v", "total", "kept", "seen"))
+    m.weights = (v.astype(np.uint64), total, *_weights(total, kept, seen))
+    return chunks, answers, pairs, m, buckets
+
+
+def _log_probability(m: Model, x: Chunk, count: np.ndarray, others: np.ndarray, pairs: Pairs, got: dict, buckets: int) -> np.ndarray:
+    """log10 P(w | v) of each token. count, others: of each token."""
+    hot, first = _asked(pairs.key, m.hot)
+    total, scale, backoff = np.zeros(len(hot), np.int64), np.ones(len(hot)), np.ones(len(hot))
+    asked = pairs.bucket[first]
+    at = (np.cumsum(first) - 1)[~hot]
+    total[~hot] = _gathered(got, 2, 0, "<i8", asked, buckets)[at]
+    scale[~hot], backoff[~hot] = (_gathered(got, 2, 1, "<f8", asked, buckets, k, 2)[at] for k in range(2))
+    v = pairs.key[hot] >> np.uint64(32)
+    at = np.searchsorted(m.weights[0], v)
+    known = at < len(m.weights[0])
+    known[known] = m.weights[0][at[known]] == v[known]
+    for y, z in zip((total, scale, backoff), m.weights[1:]):
+        y[np.flatnonzero(hot)[known]] = z[at[known]]
+    c = _gathered(got, 1, 0, "<i8", pairs.bucket, buckets)
+    seen = c > 0
+    own = np.where(total > 0, np.maximum(backoff, 1e-300), 1.0)
+    own[seen] = scale[seen] * m.discount[np.minimum(c[seen], len(m.discount) - 1)] * c[seen] / total[seen]
+    low = m.base(count)
+    share = np.where(others, low / max(m.others, 1e-300), 1.0)
+    return np.log10(own)[pairs.places] + np.log10(np.where(seen[pairs.places], share, low))
 
 
 SCORES = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY, cutoff: int = CUTOFF, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: int | None = None, cutoff: int = CUTOFF, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each document.
     It learns from those whose crc32(id as text) mod 5 is not 1."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "katz")
     held = F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 1, F.lit(False))
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), held.alias("held"))
-    chunks, counted, pairs, m, buckets = train(scratch, rows, vocabulary, cutoff, chunk_tokens)
+    chunks, answers, pairs, m, buckets = train(scratch, rows, vocabulary, cutoff, chunk_tokens)
     sent = spark.sparkContext.broadcast(m)
-    answers = counted.where("not table").select("chunk", "bucket", F.lit(0).alias("kind"), "counts").unionByName(pairs.where("not table").select("chunk", "bucket", F.lit(1).alias("kind"), "counts"))
+    answers = answers.unionByName(pairs.where("not table").select("chunk", "bucket", F.lit(1).alias("kind"), "counts", "more")).unionByName(pairs.where("table").mapInArrow(_answer(sent), ANSWER))
 
     def run(key, own: pa.Table, answered: pa.Table) -> pa.Table:
-        model, got = sent.value, {(a["kind"], a["bucket"]): a["counts"] for a in answered.select(["kind", "bucket", "counts"]).to_pylist()}
+        model, got = sent.value, _answers_of(answered)
         x = Chunk.of(own.to_pylist()[0])
-
-        def put(kind: int, bucket: np.ndarray) -> np.ndarray:
-            out, cut = np.zeros(len(bucket), np.int64), np.searchsorted(bucket, np.arange(buckets + 1))
-            for b in range(buckets):
-                if cut[b] < cut[b + 1]:
-                    out[cut[b] : cut[b + 1]] = _unpack(got[kind, b], "<i8")
-            return out
-
-        count = put(0, _split_words(x, buckets)[0])[x.tokens]
-        bucket, _, _, places = _split_bigrams(x, model.vocabulary, buckets)
-        v, w = x.bigrams(model.vocabulary)
+        count, others, found = _numbered(model, x, got, buckets)
+        count, others = count[x.tokens], others[x.tokens]
         start = np.cumsum(x.sizes) - x.sizes
         add = lambda y: np.add.reduceat(y, start)
         return pa.table(
             {
                 "id": pa.array(x.ids, pa.int64(), mask=x.nulls), "held_out": x.held, "n_tokens": x.sizes.astype(np.int64), "n_known": add((count > 0).astype(np.int64)), "train_tokens": np.full(len(x.ids), model.tokens, np.int64),
-                "base_score": add(np.log10(model.base(count))), "score": add(_log_probability(model, v, w, put(1, bucket)[places], count)),
+                "base_score": add(np.log10(model.base(count))), "score": add(_log_probability(model, x, count, others, found, got, buckets)),
             }
         )
 

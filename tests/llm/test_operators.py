@@ -253,6 +253,47 @@ def test_katz_is_normalised():
         assert abs(sum(p) - 1) < 1e-9
 
 
+@pytest.mark.parametrize("vocabulary", [None, 20])
+def test_katz_scores(spark, docs, vocabulary):
+    rng = random.Random(3)
+    many = [(100 + i, " ".join(f"x{j} y{j}" for j in rng.sample(range(40_000), 30_000))) for i in range(4)] + [(200 + i, f"x{i} y{i} x{i} never{i}") for i in range(40)]
+    for df, rows in ((docs, [(r[0], r[1]) for r in messy()]), (spark.createDataFrame(many, "doc_id long, text string"), many)):
+        tokens = [split((t or "").encode().lower().decode()) + [""] for _, t in rows]
+        held = [d is not None and zlib.crc32(str(d).encode()) % 5 == 1 for d, _ in rows]
+        c = Counter(w for ts, x in zip(tokens, held) if not x for w in ts)
+        n, types = sum(c.values()), len(c)
+        base = lambda w: (c[w] + 0.5) / (n + 0.5 * (types + 1))
+        repeats = Counter(c.values())
+        fits = {r for r in repeats if sum(k for x, k in repeats.items() if x >= r) <= (vocabulary or 0)}
+        own = {w for w in c if c[w] in fits} if vocabulary else None
+        group = lambda w: w if own is None or w in own else None
+        mass = 1 - sum(map(base, own)) if own is not None else 0
+        low = lambda g: mass if g is None else base(g)
+        pairs = Counter((group(a) if i else 0, group(b)) for ts, x in zip(tokens, held) if not x for i, (a, b) in enumerate(zip([""] + ts, ts)))
+        d = katz.discounts(Counter(pairs.values()))
+        after = {}
+        for (v, w), k in pairs.items():
+            after.setdefault(v, []).append((w, k))
+        weight = {}
+        for v, ws in after.items():
+            total, kept, seen = sum(k for _, k in ws), sum(d[min(k, 6)] * k for _, k in ws), sum(low(w) for w, _ in ws)
+            scale = 1 if 1 - kept / total > 1e-9 else total / (total + 1) / (kept / total)
+            full = 1 - seen <= 1e-12
+            weight[v] = (total, total / kept, 0) if full else (total, scale, (1 - scale * kept / total) / (1 - seen))
+
+        def p(v, b):
+            w = group(b)
+            if v not in weight:
+                return base(b)
+            total, scale, backoff = weight[v]
+            k = pairs[v, w]
+            return scale * d[min(k, 6)] * k / total * (base(b) / mass if w is None else 1) if k else backoff * base(b)
+
+        want = sorted((order(i), round(sum(np.log10(p(group(a) if j else 0, b)) for j, (a, b) in enumerate(zip([""] + ts, ts))), 5)) for (i, _), ts in zip(rows, tokens))
+        got = sorted((order(r.doc_id), round(r.score, 5)) for r in katz.score(df, **({"vocabulary": vocabulary} if vocabulary else {}), chunk_tokens=50_000).collect())
+        assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([x for _, x in got], [x for _, x in want], rtol=1e-7)
+
+
 def test_toxicity(spark, none):
     rng, rows, labels = random.Random(1), [], []
     for i in range(400):
