@@ -38,11 +38,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id."""
+    """One document of each group of near-duplicates stays: the one with the smallest id (null is
+    before all). Groups that share ids are told apart by their fingerprints."""
     Scratch.release(ship(spark), docs)
     docs = docs.select(*COLUMNS).withColumn("__h", F.coalesce(F.xxhash64("text"), F.lit(0))).withColumn("__i", F.coalesce(F.col("doc_id"), F.lit(-(2**63))))
-    found = simhash.near_duplicates(docs, doc_id="__i", also=("__h",))
-    kept = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "__h")).alias("k")).select(F.col("k.doc_id").alias("__i"), F.col("k.__h").alias("__h"))
+    found = simhash.near_duplicates(docs, doc_id="__i", also=("__h",), group="__g")
+    kept = found.groupBy("__g").agg(F.min(F.struct("doc_id", "__h")).alias("k")).select(F.col("k.doc_id").alias("__i"), F.col("k.__h").alias("__h"))
     same = Window.partitionBy("__i", "__h").orderBy("__i")
     rows = docs.join(kept.hint("merge"), ["__i", "__h"], "left_semi").withColumn("__n", F.row_number().over(same))
     return rows.where("__n = 1").select(*COLUMNS)

@@ -252,13 +252,15 @@ def links(scratch: Scratch, prints: DataFrame, distance: int = 4, crowd: int = C
     return found.where("kind = 0").select("a", "b").unionByName(met).distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, distance: int = 4, crowd: int = CROWD, also: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns of also, fingerprint (long) and component_id: the smallest id linked to the document."""
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, distance: int = 4, crowd: int = CROWD, also: tuple[str, ...] = (), group: str | None = None) -> DataFrame:
+    """doc_id, the columns of also, fingerprint (long) and component_id: the smallest id linked to the document.
+    Components that hold the same id share a component_id; a column `group` is a number for each alone."""
     scratch = Scratch(docs.sparkSession, "simhash")
     marked = scratch.save(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *also), "text", shingle), "fingerprints")
     prints = scratch.save(marked.groupBy(F.col("fingerprint").alias("f")).agg(F.min("doc_id").alias("first")), "distinct")
     parts = components(scratch, links(scratch, prints.select("f"), distance, crowd))
     named = prints.join(parts, F.col("f") == F.col("node"), "left").select("f", "first", F.coalesce("component", "f").alias("c"))
     least = named.groupBy("c").agg(F.min("first").alias("component_id"))
-    named = scratch.save(named.join(least, "c").select(F.col("f").alias("fingerprint"), "component_id"), "named")
-    return marked.join(named, "fingerprint").select("doc_id", *also, "fingerprint", "component_id")
+    own = [F.col("c").alias(group)] if group else []
+    named = scratch.save(named.join(least, "c").select(F.col("f").alias("fingerprint"), "component_id", *own), "named")
+    return marked.join(named, "fingerprint").select("doc_id", *also, "fingerprint", "component_id", *([group] if group else []))

@@ -85,3 +85,13 @@ def test_pipeline_on_messy_and_empty_rows(spark, tmp_path):
     assert got == [(False, 1), (False, 3), (True, 0)]
     docs.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert p.run(spark, str(tmp_path)).collect() == []
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    import corpus_pipeline as p
+
+    texts = [" ".join(f"{w}{k}" for w in ("alpha", "beta", "gamma", "delta", "epsilon", "zeta") * 3) for k in range(6)]
+    pairs = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[2]), (7, texts[3]), (7, texts[4]), (8, texts[4]), (9, texts[5]), (None, texts[5]), (None, texts[0])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in pairs], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id or 0, r.text) for r in p.drop_near_duplicates(spark, docs, SF).collect())
+    assert got == sorted([(0, texts[0]), (0, texts[1]), (0, texts[2]), (7, texts[3]), (7, texts[4]), (0, texts[5])])
