@@ -20,6 +20,13 @@ def reconcile(lines: DataFrame, stated: DataFrame) -> DataFrame:
     return both.withColumn("status", reconciliation_status(F.col("delta"), F.col("total")))
 
 
+def suspicious(lines: DataFrame, tolerance: str = "1.00") -> DataFrame:
+    """Lines whose stated net differs from taxable plus tax by more than the tolerance; with the
+    computed net and the difference. Lines that state no net are never suspicious."""
+    df = lines.withColumn("computed_net", F.col("taxable") + F.col("tax"))
+    return df.withColumn("discrepancy", F.abs(F.col("stated_net") - F.col("computed_net"))).where(F.col("discrepancy") > F.lit(tolerance).cast("decimal(18,2)"))
+
+
 def audit_lines(lines: DataFrame) -> DataFrame:
     """lines: taxable, gst, stated_tax, rate, mrp, interstate -> expected tax, its split and alerts."""
     df = lines.withColumn("expected_tax", percent_of(F.col("taxable"), F.col("gst"))).withColumn("slab", slab(F.col("gst")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import accounting, dates, quantities, text
-from ..operators import evaluation, headers, identities, invoices, rows, stock
+from ..operators import evaluation, headers, identities, invoices, rows, runs, stock
 from ..sources import exports
 from .lines import LINES, line_items, table
 
@@ -85,9 +85,11 @@ def hsn_validate(spark, sf_dir):
     return table(spark, sf_dir, "part").select(accounting.hsn_status(h).alias("status")).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("SELECT invoice, line_no, part, supplier, CAST(amount AS DOUBLE) AS amount, CAST(gross AS DOUBLE) AS gross FROM lines WHERE abs(amount - gross) > 1 AND line_no % 5 = 4")
+@query("SELECT invoice, line_no, part, supplier, CAST(amount AS DOUBLE) AS stated_net, CAST(net AS DOUBLE) AS computed_net, CAST(abs(amount - net) AS DOUBLE) AS discrepancy FROM lines WHERE abs(amount - net) > 1")
 def suspicious_lines(spark, sf_dir):
-    return doubles(line_items(spark, sf_dir).where("abs(amount - gross) > 1 and line_no % 5 = 4").select(*KEY, "amount", "gross"), "amount", "gross")
+    """Every line whose stated net (here its amount) is more than 1.0 from taxable plus tax."""
+    df = line_items(spark, sf_dir).select(*KEY, F.col("amount").alias("stated_net"), "taxable", "tax")
+    return doubles(invoices.suspicious(df).select(*KEY, "stated_net", "computed_net", "discrepancy"), "stated_net", "computed_net", "discrepancy")
 
 
 # ---- quantities, dates and text
@@ -131,11 +133,10 @@ def drug_name_normalize(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw"), text.drug_name(raw).alias("core"))
 
 
-@query(r"WITH d AS (SELECT md5(text) AS h, text, doc_id FROM documents) SELECT doc_id, lower(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9]', '', 'g')) AS clean, greatest(1, length(text) // 4) AS tokens, h AS text_hash, row_number() OVER (PARTITION BY h ORDER BY doc_id) AS run_no, count(*) OVER (PARTITION BY h) > 1 AND row_number() OVER (PARTITION BY h ORDER BY doc_id) > 1 AS is_duplicate FROM d")
+@query(r"WITH d AS (SELECT md5(text) AS h, text, doc_id FROM documents) SELECT doc_id, md5(regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) AS clean_hash, greatest(1, length(text) // 4) AS tokens, h AS text_hash, row_number() OVER (PARTITION BY h ORDER BY doc_id) AS run_no, count(*) OVER (PARTITION BY h) > 1 AND row_number() OVER (PARTITION BY h ORDER BY doc_id) > 1 AS is_duplicate FROM d")
 def duplicate_documents(spark, sf_dir):
-    by = Window.partitionBy("text_hash").orderBy("doc_id")
-    df = table(spark, sf_dir, "documents").select("doc_id", text.cleaned(F.substring("text", 1, 200)).alias("clean"), F.greatest(F.lit(1), F.floor(F.length("text") / 4)).alias("tokens"), F.md5("text").alias("text_hash"))
-    return df.withColumn("run_no", F.row_number().over(by).cast("long")).withColumn("is_duplicate", F.col("run_no") > 1)
+    df = table(spark, sf_dir, "documents").select("doc_id", F.md5(text.cleaned(F.col("text"))).alias("clean_hash"), F.greatest(F.lit(1), F.floor(F.length("text") / 4)).alias("tokens"), F.md5("text").alias("text_hash"))
+    return runs.run_numbers(df, "text_hash", "doc_id").withColumn("is_duplicate", F.col("run_no") > 1)
 
 
 @query(r"WITH t AS (SELECT o_orderkey, 'Inv GSTIN: ' || lpad(CAST(o_custkey % 37 AS VARCHAR), 2, '0') || 'ABCDE' || lpad(CAST(o_custkey % 10000 AS VARCHAR), 4, '0') || 'F1Z5 Net : 10.00 items Net : ' || CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS t FROM orders) SELECT o_orderkey, nullif(regexp_extract(t, '\b(\d{2}[A-Z]{5}\d{4}[A-Z][A-Z0-9]Z[A-Z0-9])\b', 1), '') AS gstin, CAST(list_last(regexp_extract_all(t, 'Net : ([0-9.]+)', 1)) AS DOUBLE) AS grand_total FROM t")
