@@ -317,6 +317,28 @@ def test_toxicity(spark, none):
     assert toxicity.classify(none, empty).collect() == [] and toxicity.score([None], empty)[0] == 0.5
 
 
+def test_toxicity_of_long_texts_and_rare_strings(spark):
+    """What is telling lies behind 100,000 characters, or in one toxic text of twelve."""
+    rng = random.Random(3)
+    prose = lambda n: " ".join(rng.choice(WORDS) + rng.choice("abcdefgh") for _ in range(n))
+    rows, labels = [], []
+    for i in range(600):
+        bad = i % 3 == 0
+        late = i % 5 == 2
+        words = "vilethug dirtylout " * 3 if i % 12 else "sapristoche "  * 6
+        rows.append((i, prose(18_000 if late and i < 100 else 80) + " " + (words if bad else "") + prose(5)))
+        labels.append((i, int(bad)))
+    df, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(df, marks)
+    assert b"sapristoche" in model.toxic and b"vilethug" in model.toxic and len(model.toxic) == len(model.ordinary)
+    got = {r.doc_id: r for r in toxicity.classify(df, model).collect()}
+    assert len(got) == 600
+    wrong = [i for i, r in got.items() if r.predicted != (i % 3 == 0)]
+    assert len(wrong) < 12 and sum(i % 12 == 0 for i in wrong) < 5
+    few = toxicity.fit(df, marks, toxic=40, ordinary=80)
+    assert 0 < len(few.toxic) and toxicity.classify(df.limit(0), few).collect() == []
+
+
 def test_warc(spark):
     big, other = "<p>ü</p>" * 300, "x" * 2000
     rows = [(1, "http://a/ b\r\nc", big), (2, None, big), (3, "u", other), (None, "u", other), (5, "u", None), (6, "u", ""), (7, "u", "small"), (8, "u", "small"), (9, "u", big), (9, "u", big)]
