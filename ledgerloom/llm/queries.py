@@ -113,8 +113,8 @@ WITH d AS (SELECT doc_id, coalesce(CAST(floor(doc_id / 2048) AS BIGINT), -1) AS
 r AS (SELECT run, sum(b) AS bytes, CAST(floor(ln(greatest(sum(b) / 262144, 1.0)) / ln(4.0) + 1e-9) AS INTEGER) AS tier FROM d GROUP BY run),
 s AS (SELECT *, coalesce(sum(bytes) OVER (PARTITION BY tier ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 67108864 AS bin FROM r WHERE bytes < 67108864 OR bytes > 134217728),
 g AS (SELECT tier, bin, greatest(1, sum(bytes) // 67108864) AS pieces, count(*) AS n FROM s GROUP BY ALL),
-m AS (SELECT s.run, 't' || CAST(tier AS VARCHAR) || '-' || CAST(CAST(bin AS BIGINT) AS VARCHAR) AS name, pieces FROM s JOIN g USING (tier, bin) WHERE n > 1 OR pieces > 1),
-o AS (SELECT doc_id, run, text_sha256, b, CASE WHEN name IS NULL THEN 'run-' || CAST(run AS VARCHAR) WHEN pieces > 1 THEN name || '.' || CAST(coalesce(doc_id % CAST(pieces AS BIGINT), 0) AS VARCHAR) ELSE name END AS shard FROM d LEFT JOIN m USING (run)),
+m AS (SELECT s.run, 'v2-t' || CAST(tier AS VARCHAR) || '-' || CAST(CAST(bin AS BIGINT) AS VARCHAR) AS name, pieces FROM s JOIN g USING (tier, bin) WHERE n > 1 OR pieces > 1),
+o AS (SELECT doc_id, run, text_sha256, b, CASE WHEN name IS NULL THEN 'v1-run-' || CAST(run AS VARCHAR) WHEN pieces > 1 THEN name || '.' || CAST(coalesce(doc_id % CAST(pieces AS BIGINT), 0) AS VARCHAR) ELSE name END AS shard FROM d LEFT JOIN m USING (run)),
 z AS (SELECT shard, count(*) AS shard_rows, CAST(sum(b) AS BIGINT) AS shard_bytes, CAST(floor(ln(greatest(sum(b) / 262144, 1.0)) / ln(4.0) + 1e-9) AS INTEGER) AS tier FROM o GROUP BY shard)
 SELECT doc_id, run, text_sha256, shard, shard_rows, shard_bytes, tier FROM o JOIN z USING (shard)""",
     "op3_decontamination": r"""

@@ -379,6 +379,46 @@ def test_nearest(spark):
     assert ann.nearest(few.limit(0)).collect() == []
 
 
+def test_sharding_names_columns_and_writers(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    names = ["pieces", "into", "tier", "bin", "bytes", "rows", "number", "name", "__row"]
+    rows = [(i, "x" * (i % 50), *["y"] * len(names)) for i in range(300)] + [(None, None, *["z"] * len(names))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    store = sharding.ShardStore(spark, Scratch(spark, "shards").path)
+    store.append(df.withColumns({"shard": F.lit("a"), "run": F.lit(1), "folder": F.lit("b")}), F.col("doc_id") % 7)
+    store.append(df, F.col("doc_id") % 7)
+    assert store.compact(target_bytes=4000) == 3
+    store.append(df, F.col("doc_id") % 7)
+    assert store.compact(target_bytes=8000) == 5
+    shards = [r.shard for r in store.manifest().collect()]
+    assert len(set(shards)) == len(shards) == 3
+    got = store.read()
+    assert set(got.columns) == {"doc_id", "text", *names, "run", "shard", "folder"}
+    assert Counter(tuple(r) for r in got.select(*df.columns).collect()) == Counter(rows * 3)
+    assert {r.shard for r in got.select("shard").distinct().collect()} == set(shards)
+    with pytest.raises(ValueError):
+        store.append(df.drop("pieces"), F.lit(1))
+    # a folder without a commit belongs to a writer under way
+    df.select("doc_id").write.parquet(f"{store.path}/data/folder=inflight/shard=x")
+    gone = store.vacuum()
+    assert gone and "inflight" not in gone and store.read().count() == 903 and "inflight" in store.vacuum(older_than=-1.0)
+    # of writers of one version one wins, and a reader always finds a whole commit
+    last = store.manifest()
+
+    def write(k):
+        try:
+            store.commit(last, 6)
+            return 1
+        except sharding.Conflict:
+            return 0
+
+    with ThreadPoolExecutor(4) as pool:
+        seen = pool.submit(lambda: [store.manifest().count() for _ in range(20)])
+        assert sum(pool.map(write, range(3))) == 1
+    assert set(seen.result()) == {len(shards)} and store.versions() == [5, 6]
+
+
 def test_sharding(spark, docs, none):
     path = Scratch(spark, "shards").path
     store = sharding.ShardStore(spark, path)
@@ -394,6 +434,7 @@ def test_sharding(spark, docs, none):
     with pytest.raises(sharding.Conflict):
         store.commit(store.manifest(), 3)
     assert store.vacuum() and Counter((r.doc_id, r.text) for r in store.read().collect()) == want
+    assert store.versions() == [3]
     empty = sharding.ShardStore(spark, Scratch(spark, "shards").path)
     assert empty.append(none.select("doc_id", "text"), F.lit(1)) == 1
     assert empty.compact() == 1 and empty.manifest().count() == 0 and empty.read().collect() == []
