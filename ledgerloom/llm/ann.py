@@ -9,25 +9,33 @@ A squared projected distance over the squared true distance follows a chi-square
 degrees of freedom, so the walk stops when a point as near as the worst one kept would, with
 probability `sure`, have been projected nearer than the boxes that are left.
 
-Vectors are dealt by hash to shards of about `shard_rows`, each with its own tree, and queries in
-blocks of `block_queries` to every shard; each pair keeps k results and these are merged. Every
-vector is indexed.
-
-Vectors that are null, empty, zero or hold null or non-finite components take no part, nor those
-of another size than most (the smaller size on a tie), nor rows with null ids. Ties go to the smaller id; of
-repeated rows each is a candidate, but none for a query of the same id. With fewer than k
-candidates all are returned. Other columns don't matter.
+Vectors of each length are a space of their own. They are dealt by hash to shards of about
+`shard_bytes`; a shard's tree is built once and written with its vectors as one row of an index table.
+Queries go to every shard of their space, as a stream past its tree: a task holds one shard and a batch of
+queries. Each shard keeps k results of a query, and these are merged. Every vector is indexed.
+
+Vectors that are null, empty, zero or hold null or non-finite components take no part, nor rows
+with null ids. Ties go to the smaller id. Of repeated rows each is a candidate, but none for a query
+of the same id; equal rows are counted before they are dealt, so that they don't gather in a shard. An id
+asks once: of its vectors the shortest, then the least, is the query. With fewer than k candidates all are
+returned. Other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
+from ._cluster import Scratch, partitions
+
 DIMS, LEAF, SURE = 6, 256, 0.8
-SHARD_ROWS, BLOCK_QUERIES = 10_000, 4096
+SHARD_BYTES, BATCH = 8 << 20, 512
 
 
 def chi2_cdf(x: np.ndarray, dims: int) -> np.ndarray:
@@ -85,13 +93,13 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """Distinct vectors of a shard under a tree, with the ids of each in order."""
+    """Distinct vectors of a shard under a tree, with the ids of each in order and how often each comes."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, most: float, dims: int, leaf: int, seed: int = 7):
+    def __init__(self, ids: np.ndarray, copies: np.ndarray, x: np.ndarray, most: float, dims: int, leaf: int, seed: int = 7):
         self.most, self.dims = most, dims
         self.x, which = np.unique(x, axis=0, return_inverse=True)
         order = np.lexsort((ids, which.ravel()))
-        self.ids, self.first = ids[order], np.searchsorted(which.ravel()[order], np.arange(len(self.x) + 1))
+        self.ids, self.copies, self.first = ids[order], copies[order], np.searchsorted(which.ravel()[order], np.arange(len(self.x) + 1))
         extra = np.sqrt(np.maximum(most * most - exact(self.x, self.x), 0))
         self.weights = np.random.default_rng(seed).standard_normal((x.shape[1] + 1, dims))
         self.tree = Tree(np.hstack([self.x, extra[:, None]]) @ self.weights, leaf)
@@ -136,9 +144,10 @@ class Shard:
         for i in range(len(q)):
             rows = who[i][who[i] >= 0]
             score = exact(q[i], self.x[rows])
-            ids = [self.ids[self.first[r] : self.first[r + 1]][: k + 1] for r in rows]
-            score, ids = np.repeat(score, [len(x) for x in ids]), np.concatenate(ids) if ids else np.zeros(0, np.int64)
-            other = ids != query_ids[i]
+            own = [slice(self.first[r], min(self.first[r] + k + 1, self.first[r + 1])) for r in rows]
+            n = [x.stop - x.start for x in own]
+            score, ids, copies = np.repeat(score, n), *(np.concatenate([y[x] for x in own]) if own else np.zeros(0, np.int64) for y in (self.ids, self.copies))
+            other = np.repeat(np.flatnonzero(ids != query_ids[i]), copies[ids != query_ids[i]])
             score, ids = score[other], ids[other]
             take = np.lexsort((ids, -score))[:k]
             out.append((np.full(len(take), i), ids[take], score[take]))
@@ -146,39 +155,66 @@ class Shard:
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """id, v (array of double) of the rows that take part."""
+    """id, v (array of double) and n (its length) of the rows that take part."""
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null")
     rows = rows.where(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0))
-    top = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("v") == (top[0] if top else 0))
+    return rows.withColumn("n", F.size("v"))
+
+
+def _arrays(ids: pa.ChunkedArray | pa.Array, v: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    flat = pa.chunked_array([c.flatten() for c in v.chunks] if isinstance(v, pa.ChunkedArray) else [v.flatten()], pa.float64()).to_numpy()
+    return ids.to_numpy(), flat.reshape(len(ids), -1)
+
+
+def _index(dims: int, leaf: int):
+    def run(key, rows):
+        ids, x = _arrays(rows.column("id"), rows.column("v"))
+        shard = Shard(ids, rows.column("copies").to_numpy(), x, rows.column("most")[0].as_py(), dims, leaf)
+        return pa.table({"n": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "tree": pa.array([pickle.dumps(shard)], pa.binary())})
+
+    return run
+
+
+def _search(k: int, sure: float):
+    """Trees and queries in the order of shards, a tree before its queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard: Shard | None = None
+        for batch in batches:
+            trees = batch.column("tree")
+            cuts = [0, *np.flatnonzero(trees.is_valid().to_numpy(zero_copy_only=False)).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if a < b and trees[a].is_valid:
+                    shard = pickle.loads(trees[a].as_py())
+                    a += 1
+                for lo in range(a, b, BATCH):
+                    part = batch.slice(lo, min(BATCH, b - lo))
+                    ids, q = _arrays(part.column("id"), part.column("v"))
+                    at, found, score = shard.search(ids, q, k, sure)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(found), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+    return run
 
 
-def nearest(vectors: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", query_every: int = 20, dims: int = DIMS, leaf: int = LEAF, sure: float = SURE, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", query_every: int = 20, dims: int = DIMS, leaf: int = LEAF, sure: float = SURE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found of each query (ids divisible by query_every)."""
+    spark = ship(vectors.sparkSession)
+    scratch, tasks = Scratch(spark, "nearest"), partitions(spark)
     rows = usable(vectors, vec_id, vector)
-    n, most = rows.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))).first()
-    most = float(np.sqrt(most or 1.0)) * (1 + 1e-12)
-    shards = max(1, -(-n // shard_rows))
-    blocks = max(1, -(-n // query_every // block_queries))
-    # a query goes to each shard: blocks of the stated query set against all rows
-    queries = rows.where(F.col("id") % query_every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.hash("id", F.lit(1)), F.lit(blocks)).alias("block"), "id", "v")
-    stored = rows.select(F.pmod(F.hash("id"), F.lit(shards)).alias("shard"), "id", "v")
-    spread = stored.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "v")
-
-    def arrays(got: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        flat = pa.chunked_array([c.flatten() for c in got.column("v").chunks], pa.float64()).to_numpy()
-        return got.column("id").to_numpy(), flat.reshape(got.num_rows, -1)
-
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        if left.num_rows and right.num_rows:
-            shard = Shard(*arrays(left), most, dims, leaf)
-            query_ids, q = arrays(right)
-            for lo in range(0, len(q), 512):
-                at, found, score = shard.search(query_ids[lo : lo + 512], q[lo : lo + 512], k, sure)
-                parts.append((query_ids[lo : lo + 512][at], found, score))
-        return pa.table({name: np.concatenate(x) for name, x in zip(("query_id", "vec_id", "score"), zip(*parts))})
-
-    found = spread.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInArrow(run, "query_id long, vec_id long, score double")
+    # more copies of a row than k can't all be among the k nearest
+    stored = scratch.save(rows.groupBy("n", "id", "v").agg(F.least(F.count("*"), F.lit(k)).alias("copies")), "rows")
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))
+    spaces = stored.groupBy("n").agg(F.count("*").alias("rows"), (F.max(norm) * (1 + 1e-12)).alias("most"))
+    # a row for each length of vectors
+    spaces = spaces.select("n", "most", F.ceil(F.col("rows") * F.col("n") * 8 / shard_bytes).cast("int").alias("shards"), F.least(F.lit(tasks), F.greatest(F.lit(1), F.floor(F.col("rows") / query_every / BATCH))).cast("int").alias("parts"))
+    spaces = spaces.withColumn("parts", F.least("parts", F.ceil(F.lit(tasks) / F.col("shards")).cast("int")))
+    dealt = stored.join(spaces, "n").withColumn("shard", F.pmod(F.hash("id"), F.col("shards")).cast("int"))
+    trees = scratch.save(dealt.groupBy("n", "shard").applyInArrow(_index(dims, leaf), "n int, shard int, tree binary"), "trees")
+    asked = rows.where(F.col("id") % query_every == 0).groupBy("id").agg(F.min(F.struct("n", "v")).alias("q")).select("id", "q.n", "q.v")
+    # every shard of a space that has rows gets all its queries: the stated query set against all rows
+    asked = asked.join(spaces, "n").join(trees.select(F.col("n").alias("m"), F.col("shard").alias("at")), F.col("n") == F.col("m")).select("n", F.col("at").alias("shard"), F.pmod(F.hash("id", F.lit(1)), F.col("parts")).alias("part"), "id", "v", F.lit(None).cast("binary").alias("tree"))
+    spread = trees.join(spaces, "n").select("n", "shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<double>").alias("v"), "tree")
+    met = asked.unionByName(spread).repartition(tasks, "n", "shard", "part").sortWithinPartitions("n", "shard", "part", F.col("tree").isNull())
+    found = met.select("id", "v", "tree").mapInArrow(_search(k, sure), "query_id long, vec_id long, score double")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

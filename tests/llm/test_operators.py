@@ -360,11 +360,11 @@ def test_nearest(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1020, []), (1040, [0.0] * 16), (1060, [float("nan")] * 16), (1080, [1.0] * 3), (1100, [1.0] * 15 + [None]), (None, [1.0] * 16), (1120, [float("inf")] * 16)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     hits = total = 0
-    for shards in (100, 10_000):
+    for size in (100 * 128, 10_000 * 128):
         by = {}
-        for r in ann.nearest(df, k=5, shard_rows=shards, leaf=16).collect():
+        for r in ann.nearest(df, k=5, shard_bytes=size, leaf=16).collect():
             by.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-        assert set(by) == {i for i in range(700) if i % 20 == 0}
+        assert set(by) == {i for i in range(700) if i % 20 == 0}  # 1080 has a length of its own, and no neighbour
         full = x.astype(float)
         for q, found in by.items():
             s = ann.exact(full[q], full)
@@ -379,6 +379,35 @@ def test_nearest(spark):
     assert ann.nearest(few.limit(0)).collect() == []
 
 
+def test_nearest_of_repeated_rows_lengths_and_clashing_names(spark):
+    rows = [(i, [float(i + 1), 1.0]) for i in range(7)] + [(20, [1.0, 0.0])] * 3 + [(20, [0.5, 2.0, 1.0])] + [(3, [4.0, 1.0])] * 60 + [(40, [1.0, 2.0, 3.0]), (41, [3.0, 2.0, 1.0]), (60, [1.0] * 4)]
+    names = ["vec_id", "embedding", "n", "v", "id", "shard", "part", "tree", "copies", "most"]
+    df = spark.createDataFrame([(*r, *["x"] * 8) for r in rows], "vec_id long, embedding array<double>, " + ", ".join(f"{c} string" for c in names[2:]))
+    got = {}
+    for r in ann.nearest(df, k=6, leaf=2).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    # (0: 1, 1) and (20: 1, 0) ask among vectors of two components, 40 among those of three
+    assert sorted(got) == [0, 20, 40]
+    assert sorted(got[20]) == [(1, 6, 7.0), (2, 5, 6.0), (3, 4, 5.0), (4, 3, 4.0), (5, 3, 4.0), (6, 3, 4.0)]
+    assert sorted(got[0]) == [(1, 6, 8.0), (2, 5, 7.0), (3, 4, 6.0), (4, 3, 5.0), (5, 3, 5.0), (6, 3, 5.0)]
+    assert sorted(got[40]) == [(1, 41, 10.0), (2, 20, 7.5)]
+
+
+def test_nearest_recall_at_50_000(spark):
+    import pyarrow as pa
+
+    x = np.random.default_rng(5).standard_normal((50_000, 12))
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(50_000), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 12).cast(pa.list_(pa.float64()))}))
+    found = ann.nearest(df, k=10, query_every=200).toPandas()
+    assert len(found) == 2500 and set(found["rank"]) == set(range(1, 11))
+    own = x[::200]
+    score = own @ x.T
+    score[np.arange(250), np.arange(0, 50_000, 200)] = -np.inf
+    best = np.argpartition(-score, 10, axis=1)[:, :10]
+    hits = sum(len(set(best[i].tolist()) & set(found.loc[found.query_id == 200 * i, "vec_id"])) for i in range(250))
+    assert hits / 2500 >= 0.9
+
+
 def test_sharding_names_columns_and_writers(spark):
     from concurrent.futures import ThreadPoolExecutor
 
