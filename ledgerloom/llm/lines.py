@@ -1,9 +1,11 @@
 """Line deduplication over content-defined chunks of lines.
 
-Each line is hashed; a rolling hash over `roll` line hashes ends a chunk where its low bits are
+Each line is hashed; a rolling hash over `ROLL` line hashes ends a chunk where its low bit is
 zero, so boundaries depend on nearby lines only and fall into place again after an insertion.
-Chunks have `least` to `most` lines (a text's last may have fewer). Of chunks of two lines or more
-with equal bytes, anywhere, the first by id and line stays and all others are removed.
+Chunks have `LEAST` to `MOST` lines; a text's last line alone joins the chunk before it. A text is cut
+by `RULES` such rules, so that what one leaves at the edges of a repeated passage another catches. Of
+chunks of two lines or more with equal bytes, anywhere, the first by id and line stays and all
+others are removed.
 
 Hashes of chunks with two places or more go to a bit array of fixed size; chunks that it lets
 pass are dealt by hash and compared byte for byte. Of equal chunks in a batch only the first is sent.
@@ -28,12 +30,12 @@ from pyspark.sql import types as T
 from ._arrays import mix
 from ._cluster import Scratch, partitions, sieve
 
-ROLL, LEAST, MOST, MASK = 3, 2, 32, 3
+ROLL, LEAST, MOST, RULES = 2, 2, 32, 3
 SIEVE_BITS = 26
 
 
 def chunks(text: bytes) -> tuple[list[bytes], list[tuple[int, int]]]:
-    """Lines of a text, and the [first, past last] lines of its chunks."""
+    """Lines of a text, and the [first, past last] lines of its chunks by all rules, in order."""
     lines = text.split(b"\n")
     n = len(lines)
     if n <= LEAST:
@@ -42,21 +44,25 @@ def chunks(text: bytes) -> tuple[list[bytes], list[tuple[int, int]]]:
     rolled = h.copy()
     for j in range(1, ROLL):
         rolled[j:] ^= h[:-j] << np.uint64(j) | h[:-j] >> np.uint64(64 - j)
-    ends = np.flatnonzero((mix(rolled) & np.uint64(MASK)) == 0) + 1
+    ends, out = mix(rolled), set()
+    for rule in range(RULES):
+        out.update(_cut(np.flatnonzero((ends >> np.uint64(rule) & np.uint64(1)) == 0) + 1, n))
+    return lines, sorted(out)
+
+
+def _cut(ends: np.ndarray, n: int) -> list[tuple[int, int]]:
     out, lo = [], 0
-    for end in ends.tolist():
+    for end in [*ends.tolist(), n]:
         while end - lo > MOST:
             out.append((lo, lo + MOST))
             lo += MOST
         if end - lo >= LEAST:
             out.append((lo, end))
             lo = end
-    while n - lo > MOST:
-        out.append((lo, lo + MOST))
-        lo += MOST
     if lo < n:
-        out.append((lo, n))
-    return lines, out
+        # fewer lines than a chunk has: they join the one before
+        out[-1:] = [(out[-1][0], n)]
+    return out
 
 
 def _texts(column) -> Iterator[bytes]:
@@ -162,7 +168,7 @@ def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", outpu
                 n.append(len(lines))
                 if cover.is_valid:
                     for x in cover.as_py():
-                        lines[x["lo"] : x["hi"]] = [None] * (x["hi"] - x["lo"])
+                        lines[x["lo"] : x["hi"]] = [None] * (x["hi"] - x["lo"])  # spans may overlap
                     lines = [x for x in lines if x is not None]
                 less.append(n[-1] - len(lines))
                 kept.append(b"\n".join(lines))

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import ann, bpe, decontam, katz, lines, sharding, simhash, substring, toxicity, warc
+from ledgerloom.llm import _arrays, ann, bpe, decontam, katz, lines, sharding, simhash, substring, toxicity, warc
 from ledgerloom.llm._cluster import Scratch, components
 
 SCHEMA = "doc_id long, text string, lang string, score double, n_words int, kept string, h int, doc string, fingerprint string, ids int, row int, cover int"
@@ -91,23 +91,59 @@ def test_automaton():
             assert len(list(own.earliest(s, 5))) == max(0, len(s) - 4)
 
 
-def test_lines(docs, none):
-    rows, first = [(order(r[0]), r[1] or "") for r in messy()], {}
+def line_chunks(text):
+    """Boundaries restated: one line at a time, on whole numbers."""
+    import xxhash
+
+    own, full = text.split("\n"), (1 << 64) - 1
+    n, out = len(own), set()
+    if n <= 2:
+        return own, [(0, n)]
+    h = [xxhash.xxh64_intdigest(x.encode()) for x in own]
+    rolled = [h[0]] + [b ^ (a << 1 | a >> 63) & full for a, b in zip(h, h[1:])]
+    mixed = [int(x) for x in _arrays.mix(np.array(rolled, np.uint64))]
+    for rule in range(3):
+        lo, cut = 0, []
+        for i in range(n):
+            size = i + 1 - lo
+            if size == 32 or i == n - 1 or size >= 2 and not mixed[i] >> rule & 1:
+                cut.append((lo, i + 1))
+                lo = i + 1
+        if len(cut) > 1 and cut[-1][1] - cut[-1][0] == 1:
+            cut[-2:] = [(cut[-2][0], n)]
+        out.update(cut)
+    return own, sorted(out)
+
+
+def brute_lines(rows):
+    """(id, text, lines, lines removed, text left) of each row: an equal chunk starts earlier."""
+    first, out = {}, []
     for d, t in rows:
-        own, cut = lines.chunks(t.encode())
+        own, cut = line_chunks(t)
         for a, b in cut:
             if b - a > 1:
-                key = b"\n".join(own[a:b])
+                key = "\n".join(own[a:b])
                 first[key] = min(first.get(key, (d, a)), (d, a))
-    want = []
     for d, t in rows:
-        own, cut = lines.chunks(t.encode())
-        assert [x for a, b in cut for x in own[a:b]] == own
-        kept = [x for a, b in cut for x in own[a:b] if b - a < 2 or first[b"\n".join(own[a:b])] == (d, a)]
-        want.append((d, t, len(own), len(own) - len(kept), b"\n".join(kept).decode()))
-    got = sorted((order(r.doc_id), r.text or "", r.n_lines, r.n_removed, r.kept) for r in lines.deduplicate(docs).collect())
-    assert got == sorted(want)
-    assert [x[3] > 15 for x in got if x[0] in (14, 15)] == [True, True]  # boundaries fall into place again
+        own, cut = line_chunks(t)
+        gone = {i for a, b in cut if b - a > 1 and first["\n".join(own[a:b])] != (d, a) for i in range(a, b)}
+        out.append((d, t, len(own), len(gone), "\n".join(x for i, x in enumerate(own) if i not in gone)))
+    return sorted(out)
+
+
+def test_lines(spark, docs, none):
+    rng = random.Random(8)
+    passage = [f"line {k} of a passage" for k in range(6)]
+    mixed = [(100 + k, "\n".join([f"{k} a {rng.random()}"] * rng.randrange(1, 4) + passage + [f"{k} b {j}" for j in range(rng.randrange(70))])) for k in range(30)]
+    rows = [(order(r[0]), r[1] or "") for r in messy()]
+    got = lambda df: sorted((order(r.doc_id), r.text or "", r.n_lines, r.n_removed, r.kept) for r in lines.deduplicate(df).collect())
+    assert got(docs) == brute_lines(rows)
+    assert [x[3] > 15 for x in got(docs) if x[0] in (14, 15)] == [True, True]  # boundaries fall into place again
+    found = got(spark.createDataFrame(mixed, "doc_id long, text string").repartition(3))
+    assert found == brute_lines(mixed)
+    assert np.mean([sum(p not in x[4].split("\n") for p in passage) for x in found[1:]]) > 4  # most of the passage
+    copies = spark.createDataFrame([(k, "\n".join(passage[:5])) for k in range(4)], "doc_id long, text string")
+    assert [x[3] for x in got(copies)] == [0, 5, 5, 5]
     assert lines.deduplicate(none).collect() == []
 
 

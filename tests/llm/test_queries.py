@@ -38,8 +38,8 @@ def test_pipeline(spark):
 
     public_tokenizers = pytest.importorskip("public_tokenizers")
     import corpus_pipeline as p
-    from ledgerloom.llm import bpe, lines, simhash
-    from tests.llm.test_operators import brute_hits, union
+    from ledgerloom.llm import bpe, simhash
+    from tests.llm.test_operators import brute_hits, brute_lines, union
 
     sf = "/root/testdata/sf0.01"
     docs, out = spark.read.parquet(f"{sf}/documents.parquet"), []
@@ -51,17 +51,9 @@ def test_pipeline(spark):
             assert got.columns == p.COLUMNS
             docs = spark.createDataFrame(rows, got.schema)
     toxic, line, near, clean, last = out
-    kept, first, want = {r.doc_id for r in toxic}, {}, {}
+    kept = {r.doc_id for r in toxic}
     assert 800 < len(kept) < 1000
-    for r in toxic:
-        own, cut = lines.chunks(r.text.encode())
-        for a, b in cut:
-            if b - a > 1:
-                key = b"\n".join(own[a:b])
-                first[key] = min(first.get(key, (r.doc_id, a)), (r.doc_id, a))
-    for r in toxic:
-        own, cut = lines.chunks(r.text.encode())
-        want[r.doc_id] = b"\n".join(x for a, b in cut for x in own[a:b] if b - a < 2 or first[b"\n".join(own[a:b])] == (r.doc_id, a)).decode()
+    want = {d: left for d, _, _, _, left in brute_lines([(r.doc_id, r.text) for r in toxic])}
     assert {r.doc_id: r.text for r in line} == want and all(r.n_chars == len(r.text) for r in line)
     prints = {r.doc_id: simhash.fingerprint(r.text) for r in line}
     part = union([(a, b) for a, b in itertools.combinations(sorted(prints), 2) if (prints[a] ^ prints[b]).bit_count() <= 4], prints)
