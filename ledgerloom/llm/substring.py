@@ -5,16 +5,17 @@ same document) is removed with all its words.
 
 1. Winnowing names each window by the least of its word k-grams' hashes, so equal windows
    have equal names. Names with two places or more go to a bit array of a fixed size, which is
-   all that is broadcast; what it lets pass wrongly costs time only.
-2. Passages (runs of windows of one name) with such names are dealt by their name with a
-   digest of their words. All but the first of equal passages are removed: they match that
-   first one from end to end. Equal ones of a batch are removed before anything is sent.
-3. Names with passages of several kinds go to a second such bit array. Their passages are dealt,
-   with their words, to reference shards by name. A shard keeps the first of every distinct
-   passage, builds suffix automata of at most
+   all that is broadcast; what it lets pass wrongly costs time only. A second such array holds names
+   with `hot` places or more.
+2. Passages (runs of windows of one name) with such names are dealt, with their words, to reference
+   shards by name. Of passages with equal bytes in a batch only the first is sent. Windows of a hot name
+   go one by one, by a hash of all their words, so that a phrase that stands everywhere, each
+   time in other surroundings, is split among shards by these.
+3. A shard keeps the first of every distinct passage, builds suffix automata of at most
    `shard_words` words over them in the order of their places, and streams the passages through
    for matching statistics: where at least `span` words match, the state that holds just those
-   words knows where they first ended. A window that first ended elsewhere is removed.
+   words knows where they first ended. A window that first ended elsewhere is removed. A passage that
+   equals a reference passage byte for byte would match it from end to end, and isn't streamed again.
 4. Spans meet their documents again by id and text hash.
 
 Automata of all documents can't be broadcast at 100 TB, nor can each document be streamed past
@@ -41,7 +42,7 @@ from ._cluster import Scratch, partitions, sieve
 
 K = 10
 SIEVE_BITS = 26
-SHARD_WORDS = 200_000
+SHARD_WORDS, HOT = 200_000, 4096
 
 
 class Automaton:
@@ -122,107 +123,71 @@ def _names(span: int):
             for _, buf, at in blocks(batch):
                 _, _, chosen, g = _named(buf, at, span)
                 name, n = np.unique(g[np.unique(chosen)], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(name.astype(np.int64)), pa.array(np.minimum(n, 2).astype(np.int8))], names=["name", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(name.astype(np.int64)), pa.array(n)], names=["name", "n"])
 
     return run
 
 
 PASSAGE = "doc long, h long, lo int, hi int, name long, shift int, words binary"
-"""Windows lo to hi - 1 of a document, with their words or a digest of them; without: they are removed."""
+"""Windows lo to hi - 1 of a document, with their words; without: they are removed."""
 
 COLUMNS = [x.split()[0] for x in PASSAGE.split(", ")]
 
 
-def _digest(words: bytes) -> bytes:
-    """With the name, 128 bits."""
-    return hashlib.blake2b(words, digest_size=8).digest()
+def _in(bit: np.ndarray, bits: int, name: np.ndarray) -> np.ndarray:
+    slot = name >> np.uint64(64 - bits)
+    return (bit[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _passages(marked, span: int, bits: int, whole: bool):
-    """Passages with names in the sieve; whole: with their words, without the removed ones."""
+def _passages(marked, hot, span: int, bits: int):
+    """Passages with names in the sieve; those equal to one before them in their batch without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bit = marked.value
+        bit, hot_bit = marked.value, hot.value
         for batch in batches:
             order = np.argsort(batch.column("doc").to_numpy(), kind="stable")
             batch = batch.take(pa.array(order))
             for rows, buf, at in blocks(batch):
                 found, start, chosen, g = _named(buf, at, span)
+                some = _in(bit, bits, g[chosen])
+                start, chosen = start[some], chosen[some]
                 if not len(start):
                     continue
-                name = g[chosen]
-                slot = name >> np.uint64(64 - bits)
-                start, chosen, name = (x[(bit[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)] for x in (start, chosen, name))
-                if not len(start):
-                    continue
+                name, alone = g[chosen], _in(hot_bit, bits, g[chosen])
+                if alone.any():
+                    name[alone] = grams(found.hashes(), span)[start[alone]]
                 text = found.text_of()[start]
-                first = np.flatnonzero(np.concatenate([[True], (np.diff(chosen) != 0) | (np.diff(text) != 0) | (np.diff(start) != 1)]))
+                first = np.flatnonzero(np.concatenate([[True], (np.diff(chosen) != 0) | (np.diff(text) != 0) | (np.diff(start) != 1) | alone[1:] | alone[:-1]]))
                 last = np.concatenate([first[1:], [len(start)]]) - 1
                 doc, h = batch.column("doc").to_numpy()[rows.start : rows.stop], batch.column("h").to_numpy()[rows.start : rows.stop]
                 data = buf.tobytes()
-                lo, hi, t = start[first], start[last], text[first]
+                lo, hi, t, name = start[first], start[last], text[first], name[first].astype(np.int64)
+                shift, base = np.where(alone[first], 0, chosen[first] - lo), found.first[t]
                 seen: dict[tuple[bytes, int], tuple[int, int]] = {}
-                sent, kept = [], np.zeros(len(lo), bool)
-                shift, base = chosen[first] - lo, found.first[t]
-                gone = np.zeros(len(lo), bool)
+                sent, gone = [], np.zeros(len(lo), bool)
                 for i, (a, b, k, d, p) in enumerate(zip(found.start[lo].tolist(), found.end[hi + span - 1].tolist(), shift.tolist(), doc[t].tolist(), (lo - base).tolist())):
                     own = b" ".join(data[a:b].split())
-                    old = seen.setdefault((own, k), (d, p))
-                    if old < (d, p):
+                    if seen.setdefault((own, k), (d, p)) < (d, p):
                         gone[i] = True
                     else:
-                        kept[i] = True
                         sent.append(own)
                 lo, hi = lo - base, hi - base + 1
-                stay = np.flatnonzero(kept)
-                if whole:
-                    lo, hi, t, name, shift = lo[stay], hi[stay], t[stay], name[first][stay], shift[stay]
-                else:
-                    sent = [_digest(x) for x in sent]
-                    g0, g1, gt = lo[gone], hi[gone], t[gone]
-                    new = np.flatnonzero(np.concatenate([[True], (gt[1:] != gt[:-1]) | (g0[1:] != g1[:-1])]))[: len(g0)]
-                    end = np.concatenate([new[1:], [len(g0)]]) - 1 if len(g0) else new
-                    sent += [None] * len(new)
-                    none = np.zeros(len(new), np.int64)
-                    lo, hi, t = np.concatenate([lo[stay], g0[new]]), np.concatenate([hi[stay], g1[end]]), np.concatenate([t[stay], gt[new]])
-                    name, shift = np.concatenate([name[first][stay].astype(np.int64), mix(gt[new].astype(np.uint64)).astype(np.int64)]), np.concatenate([shift[stay], none])
+                stay = np.flatnonzero(~gone)
+                # neighbours among the removed become one span; any task can hold them
+                g0, g1, gt = lo[gone], hi[gone], t[gone]
+                new = np.flatnonzero(np.concatenate([[True], (gt[1:] != gt[:-1]) | (g0[1:] != g1[:-1])]))[: len(g0)]
+                end = np.concatenate([new[1:], [len(g0)]]) - 1 if len(g0) else new
+                sent += [None] * len(new)
+                lo, hi, t = np.concatenate([lo[stay], g0[new]]), np.concatenate([hi[stay], g1[end]]), np.concatenate([t[stay], gt[new]])
+                name, shift = np.concatenate([name[stay], mix(gt[new].astype(np.uint64)).astype(np.int64)]), np.concatenate([shift[stay], np.zeros(len(new), np.int64)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc[t]), pa.array(h[t]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(name.astype(np.int64)), pa.array(shift.astype(np.int32)), pa.array(sent, pa.binary())],
+                    [pa.array(doc[t]), pa.array(h[t]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(name), pa.array(shift.astype(np.int32)), pa.array(sent, pa.binary())],
                     names=COLUMNS,
                 )
 
     return run
 
 
-def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From passages sorted by name, shift, digest and place: those with an equal one before
-    them (name null), and a row for each name with passages of several kinds (lo null)."""
-    last = None  # name, shift, digest, doc, lo of the first of the current kind
-    told = None
-    for b in batches:
-        sent = b.column("words").is_valid().to_numpy(zero_copy_only=False)
-        doc, h, lo, hi, name, shift = (b.column(c).to_numpy() for c in COLUMNS[:6])
-        gone, names = ~sent, []
-        digest = b.column("words").to_pylist()
-        for i, (ok, n, k, x, d, p) in enumerate(zip(sent.tolist(), name.tolist(), shift.tolist(), digest, doc.tolist(), lo.tolist())):
-            if not ok:
-                continue
-            if last is not None and last[0] == n:
-                if last[1] == k and last[2] == x:
-                    gone[i] = last[3] < d or (last[3] == d and last[4] < p)
-                    continue
-                if told != n:
-                    told = n
-                    names.append(n)
-            last = (n, k, x, d, p)
-        at = np.flatnonzero(gone)
-        m, n = len(at), len(names)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([*x[at].tolist(), *[None] * n], kind) for x, kind in ((doc, pa.int64()), (h, pa.int64()), (lo, pa.int32()), (hi, pa.int32()))] + [pa.array([None] * m + names, pa.int64())],
-            names=["doc", "h", "lo", "hi", "name"],
-        )
-
-
 def _judge(span: int, shard_words: int):
     """Spans to remove, from passages sorted by name, shift, words and place."""
 
@@ -259,6 +224,9 @@ def _judge(span: int, shard_words: int):
 
         for b in batches:
             for doc, h, lo, hi, n, shift, text in zip(*(b.column(c).to_pylist() for c in COLUMNS)):
+                if text is None:
+                    out.append((doc, h, lo, hi))
+                    continue
                 if n != name:
                     if len(group) > 1:
                         shard += group
@@ -283,27 +251,22 @@ def _judge(span: int, shard_words: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch, span: int = 20, sieve_bits: int = SIEVE_BITS, shard_words: int = SHARD_WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, scratch: Scratch, span: int = 20, sieve_bits: int = SIEVE_BITS, shard_words: int = SHARD_WORDS, hot: int = HOT) -> DataFrame:
     """docs(doc, h, text) -> doc, h, cover: [first, past last] of the windows' starts to remove."""
     spark = docs.sparkSession
     n = partitions(spark)
     send = spark.sparkContext.broadcast
-    counted = docs.select("text").mapInArrow(_names(span), "name long, n tinyint").groupBy("name").agg(F.sum("n").alias("n")).where("n > 1")
-    found = docs.mapInArrow(_passages(send(sieve(counted, sieve_bits)), span, sieve_bits, False), PASSAGE)
-    dealt = found.repartition(n, "name").sortWithinPartitions("name", "shift", "words", "doc", "lo")
-    copies = scratch.save(dealt.mapInArrow(_copies, "doc long, h long, lo int, hi int, name long"), "copies")
-    several = send(sieve(copies.where("name is not null").select("name"), sieve_bits))
-    found = docs.mapInArrow(_passages(several, span, sieve_bits, True), PASSAGE)
-    dealt = found.repartition(n, "name").sortWithinPartitions("name", "shift", "words", "doc", "lo")
-    judged = dealt.mapInArrow(_judge(span, shard_words), "doc long, h long, lo int, hi int")
-    every = copies.where("lo is not null").select("doc", "h", "lo", "hi").unionByName(judged)
-    return every.groupBy("doc", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("cover"))
+    counted = scratch.save(docs.select("text").mapInArrow(_names(span), "name long, n long").groupBy("name").agg(F.sum("n").alias("n")).where("n > 1"), "names")
+    marked, often = send(sieve(counted, sieve_bits)), send(sieve(counted.where(F.col("n") >= hot), sieve_bits))
+    dealt = docs.mapInArrow(_passages(marked, often, span, sieve_bits), PASSAGE).repartition(n, "name").sortWithinPartitions("name", "shift", "words", "doc", "lo")
+    judged = scratch.save(dealt.mapInArrow(_judge(span, shard_words), "doc long, h long, lo int, hi int"), "judged")
+    return judged.groupBy("doc", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("cover"))
 
 
 OWN = ("kept", "n_words", "n_removed", "kept_sha256")
 
 
-def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = 20, outputs: tuple[str, ...] = OWN, drop_text: bool = False, sieve_bits: int = SIEVE_BITS, shard_words: int = SHARD_WORDS) -> DataFrame:
+def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = 20, outputs: tuple[str, ...] = OWN, drop_text: bool = False, sieve_bits: int = SIEVE_BITS, shard_words: int = SHARD_WORDS, hot: int = HOT) -> DataFrame:
     """df (drop_text: but for its text) with kept (the words left, joined by one space), n_words, n_removed, kept_sha256."""
     if span <= K:
         raise ValueError(f"span must be over {K} words")
@@ -312,7 +275,7 @@ def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", span:
     keep = [c for c in df.columns if c not in outputs and not (drop_text and c == text)]
     doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))
     h = F.coalesce(F.xxhash64(text), F.lit(0))
-    spans = repeated_spans(df.select(doc.alias("doc"), h.alias("h"), F.col(text).alias("text")), scratch, span, sieve_bits, shard_words)
+    spans = repeated_spans(df.select(doc.alias("doc"), h.alias("h"), F.col(text).alias("text")), scratch, span, sieve_bits, shard_words, hot)
     others = [c for c in keep if c != text]
     row = df.select(F.struct(F.lit(0).alias("_"), *others).alias("row"), F.col(text).alias("text"), doc.alias("doc"), h.alias("h"))
     met = row.join(spans, ["doc", "h"], "left").select("row", "text", "cover")

@@ -73,6 +73,8 @@ def test_substring(docs, none):
     assert substring.deduplicate(none).collect() == []
     small = sorted(((order(r.doc_id), r.n_removed) for r in substring.deduplicate(docs, shard_words=30, sieve_bits=8).collect()))
     assert small == sorted((x[0], x[3]) for x in want)
+    split_up = sorted((order(r.doc_id), r.n_removed) for r in substring.deduplicate(docs, hot=2).collect())
+    assert split_up == sorted((x[0], x[3]) for x in want)
 
 
 def test_automaton():
