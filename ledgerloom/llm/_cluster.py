@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 
@@ -12,11 +14,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder of spark.checkpoint.dir; a temporary one only where that is unset and all runs on this machine."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
     own = getattr(spark, "_ledgerloom_dir", None)
     if own is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         own = f"file://{tempfile.mkdtemp(prefix='ledgerloom-')}"
         spark.sparkContext.setCheckpointDir(own)
         spark._ledgerloom_dir = own
@@ -24,13 +28,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables of one run of an operator, in a folder of their own that all machines see."""
+    """Tables of one run of an operator, in a folder of their own that all machines see.
+
+    They stay until remove(): frames that operators return read them. Those made within owned() are
+    also removed by release(), which a pipeline calls when it has written what it read."""
 
     made: list[Scratch] = []
+    owner: bool = False
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        Scratch.made.append(self)
+        if Scratch.owner:
+            Scratch.made.append(self)
+
+    @classmethod
+    @contextmanager
+    def owned(cls):
+        """Tables made here belong to the caller, who releases them."""
+        before, cls.owner = cls.owner, True
+        try:
+            yield
+        finally:
+            cls.owner = before
 
     def save(self, df: DataFrame, name: str, *by: str) -> DataFrame:
         """Writes df once and returns a frame that reads it: lost executors cost no recomputation."""
@@ -48,7 +67,7 @@ class Scratch:
 
     @classmethod
     def release(cls, spark: SparkSession, docs: DataFrame) -> None:
-        """Removes earlier runs' tables of this application, but for those that docs still reads."""
+        """Removes the tables made within owned() by this application, but for those that docs still reads."""
         used = docs.inputFiles()
         plain = lambda x: x.split(":", 1)[-1].lstrip("/")
         for x in list(cls.made):
@@ -70,25 +89,47 @@ def sieve(names: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def hot(counted: DataFrame, key: str, n: str, total: int, parts: int = 1000) -> DataFrame:
+    """The keys that hold a share of over 1 / parts of the total (and over 64): at most `parts` rows."""
+    return counted.where(F.col(n) > max(64, total // parts)).select(key)
+
+
+SALTS = 32
+
+
+def join_salted(many: DataFrame, few: DataFrame, key: str, frequent: DataFrame, spread: str) -> DataFrame:
+    """many joined with few by key, which few has once; rows of frequent keys are dealt to SALTS parts by
+    the column `spread`. frequent: a bounded number of keys, which are broadcast."""
+    frequent = F.broadcast(frequent.select(key, F.lit(True).alias("__hot")))
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0).cast("int")
+    left = many.join(frequent, key, "left").withColumn("__salt", salt).drop("__hot")
+    salts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = few.join(frequent, key, "left").withColumn("__salt", F.explode(salts)).drop("__hot")
+    return left.join(right, [key, "__salt"]).drop("__salt")
+
+
 def components(scratch: Scratch, links: DataFrame, name: str = "components") -> DataFrame:
     """(node, component: its smallest node) of undirected links (a, b), by alternating
-    large-star and small-star steps. Every step joins nothing: it groups by node, with the
-    least neighbour found by a combining aggregate and spread by a window-free self join on
-    the node, so that no neighbourhood is gathered in one task. Each round is a written table.
+    large-star and small-star steps. A node's least neighbour comes from a combining aggregate and
+    goes back to its links by a join; links of a node with over a thousandth of all are spread
+    over parts by their other end, so that no star fills a task. Each round is a written table.
     Nodes without links don't appear."""
     links = links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = scratch.save(links, f"{name}-0")
-    seen, k = None, 0
+    seen, k, total = None, 0, links.count()
+
+    def with_least(rows: DataFrame) -> DataFrame:
+        low = rows.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        return join_salted(rows, low.select("a", "m"), "a", hot(low, "a", "n", total), "b")
+
     while True:
         k += 1
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        both = with_least(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+        large = both.where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
+        small = with_least(large).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         links = scratch.save(small, f"{name}-{k}")
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
+        total, *now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if [total, *now] == seen:
             break
-        seen = now
+        seen = [total, *now]
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._cluster import Scratch, components, partitions
+from ._cluster import Scratch, components, hot, join_salted, partitions
 
 CROWD = 2000
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -257,10 +257,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Components that hold the same id share a component_id; a column `group` is a number for each alone."""
     scratch = Scratch(docs.sparkSession, "simhash")
     marked = scratch.save(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *also), "text", shingle), "fingerprints")
-    prints = scratch.save(marked.groupBy(F.col("fingerprint").alias("f")).agg(F.min("doc_id").alias("first")), "distinct")
+    prints = scratch.save(marked.groupBy(F.col("fingerprint").alias("f")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
     parts = components(scratch, links(scratch, prints.select("f"), distance, crowd))
     named = prints.join(parts, F.col("f") == F.col("node"), "left").select("f", "first", F.coalesce("component", "f").alias("c"))
     least = named.groupBy("c").agg(F.min("first").alias("component_id"))
     own = [F.col("c").alias(group)] if group else []
     named = scratch.save(named.join(least, "c").select(F.col("f").alias("fingerprint"), "component_id", *own), "named")
-    return marked.join(named, "fingerprint").select("doc_id", *also, "fingerprint", "component_id", *([group] if group else []))
+    # documents of a frequent fingerprint, such as empty ones, are spread by their row
+    often = hot(prints, "f", "n", marked.count()).select(F.col("f").alias("fingerprint"))
+    rows = marked.withColumn("__row", F.monotonically_increasing_id())
+    return join_salted(rows, named, "fingerprint", often, "__row").select("doc_id", *also, "fingerprint", "component_id", *([group] if group else []))
