@@ -6,13 +6,14 @@ common. Fingerprints of documents are joined with those of the benchmark, and ea
 extended to both sides over equal words; a span of at least `window` words contaminates.
 
 The benchmark is dealt in blocks of at most `block_bytes` of text, each broadcast by itself
-(its size is what bounds it); documents are streamed past each, without a shuffle. Beyond one
-block, the spans found for each are brought together by document.
+(its size is what bounds it); documents are streamed past it, without a shuffle. Beyond one
+block, documents get a number and are written once; the driver makes one block after another, and
+what each finds is written and joined by that number at the end.
 
 Null and empty texts have no words: they are never hit, and as items occur nowhere. Items
 shorter than the window count as one window of their own length. Equal texts of several items
 are matched once, and all their ids reported; repeated rows of an item count once. Documents
-are reported row by row, repeated ones too. Other columns pass through unless their names clash
+are reported row by row, repeated ones too. Texts of any length are taken whole. Other columns pass through unless their names clash
 with the operator's.
 """
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship
 from ._arrays import ALNUM, LOWER, blocks, grams, text_buffers, winnow, words
+from ._cluster import Scratch
 
 BLOCK_BYTES = 8 << 20
 
@@ -141,10 +145,7 @@ def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("items", T.ArrayType(T.LongType()))])
 
 
-def _scan(df: DataFrame, block: Benchmark, keep: list[str], text: str) -> DataFrame:
-    sent = df.sparkSession.sparkContext.broadcast(block)
-    schema = T.StructType([df.schema[c] for c in keep] + FOUND.fields)
-
+def _scan(sent, keep: list[str], text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
@@ -158,7 +159,7 @@ def _scan(df: DataFrame, block: Benchmark, keep: list[str], text: str) -> DataFr
                 ]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + arrays, names=keep + [f.name for f in FOUND])
 
-    return df.mapInArrow(run, schema)
+    return run
 
 
 def _benchmark_blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[tuple[list[int], list[str]]]:
@@ -174,27 +175,37 @@ def _benchmark_blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes
     yield ids, texts
 
 
+def _merged(spans):
+    """joined(), on a column."""
+    last = lambda acc: F.element_at(acc, -1)
+    wider = lambda acc, s: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.array(last(acc)[0], F.greatest(last(acc)[1], s[1]))))
+    step = lambda acc, s: F.when((F.size(acc) > 0) & (s[0] <= F.try_element_at(acc, F.lit(-1))[1]), wider(acc, s)).otherwise(F.concat(acc, F.array(s)))
+    return F.aggregate(F.array_sort(spans), F.array().cast("array<array<int>>"), step)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, k: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with n_words, spans ([first, past last] word places hit) and items (ids found)."""
-    own = {"n_words", "spans", "items"}
-    keep = [c for c in docs.columns if c not in own]
-    parts = [Benchmark(*x, window, k) for x in _benchmark_blocks(benchmark, item_id, item_text, block_bytes)]
-    if len(parts) == 1:
-        return _scan(docs, parts[0], keep, doc_text)
-    # each block is scanned by itself; a row is known by all its columns, and equal rows have equal findings
-    named = docs.select(*keep)
-    found = [_scan(named.withColumn("__row", F.xxhash64(*keep)).dropDuplicates(keep), b, [*keep, "__row"], doc_text).where("size(items) > 0") for b in parts]
-    every = found[0]
-    for x in found[1:]:
-        every = every.unionByName(x)
-    every = every.groupBy("__row", *[F.col(c).alias(f"__{c}") for c in keep]).agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    merge = F.udf(lambda xs: [list(s) for s in joined([tuple(x) for x in xs])] if xs else [], FOUND["spans"].dataType)
-    counted = _scan(named, Benchmark([], [], window, k), keep, doc_text).drop("spans", "items").withColumn("__row", F.xxhash64(*keep))
-    same = F.lit(True)
-    for c in ["__row", *(f"{c}" for c in keep)]:
-        same = same & (F.col(f"d.{c}").eqNullSafe(F.col(f"f.{c if c == '__row' else '__' + c}")))
-    out = counted.alias("d").join(every.alias("f"), same, "left")
-    return out.select(*[F.col(f"d.{c}") for c in keep], F.col("d.n_words"), merge(F.col("f.spans")).alias("spans"), F.coalesce("f.items", F.array().cast("array<long>")).alias("items"))
+    spark = ship(docs.sparkSession)
+    send = spark.sparkContext.broadcast
+    keep = [c for c in docs.columns if c not in FOUND.names]
+    parts = _benchmark_blocks(benchmark, item_id, item_text, block_bytes)
+    first, second = next(parts), next(parts, None)
+    if second is None:
+        schema = T.StructType([docs.schema[c] for c in keep] + FOUND.fields)
+        return docs.mapInArrow(_scan(send(Benchmark(*first, window, k)), keep, doc_text), schema).select(*keep, *FOUND.names)
+    scratch = Scratch(spark, "decontamination")
+    # numbered rows are written, so that a task that runs again reads the same numbers
+    rows = scratch.save(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(F.lit(0).alias("_"), *keep).alias("doc"), F.col(doc_text).alias("text")), "rows")
+    texts, found = rows.select("row", "text"), None
+    schema = T.StructType([T.StructField("row", T.LongType()), *FOUND.fields])
+    for n, part in enumerate(chain([first, second], parts)):
+        sent = send(Benchmark(*part, window, k))
+        got = texts.mapInArrow(_scan(sent, ["row"], "text"), schema)
+        got = scratch.save(got if n == 0 else got.where("size(items) > 0"), f"found-{n}")
+        sent.destroy()
+        found = got if found is None else found.unionByName(got)
+    found = found.groupBy("row").agg(F.max("n_words").alias("n_words"), _merged(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return rows.join(found, "row").select(*(F.col(f"doc.{c}").alias(c) for c in keep), *FOUND.names)
 
 
 def digest(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:

@@ -178,7 +178,8 @@ def test_decontamination(spark, docs, none):
     want = brute_hits(pairs, items)
     assert read(decontam.contamination(docs, bench)) == want
     assert sum(x[5] for x in want) >= 4
-    assert read(decontam.contamination(docs.select("doc_id", "text"), bench, block_bytes=100)) == want  # more than one block
+    several = decontam.contamination(docs, bench, block_bytes=100)  # more than one block
+    assert read(several) == want and several.columns == decontam.contamination(docs, bench).columns
     assert {x[2] for x in read(decontam.contamination(docs, bench.limit(0)))} == {0}
     assert decontam.contamination(none, bench).collect() == []
 
