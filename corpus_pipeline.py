@@ -5,11 +5,13 @@ each result is written as Parquet and read again as the next stage's docs. All b
 the columns of documents.
 
 Null and empty texts pass every stage (they are near-duplicates of each other, so one of them
-stays). Of repeated rows one stays. Empty tables give empty results.
+stays). Of repeated rows one stays. Texts of any length are taken whole. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,27 +22,40 @@ from ledgerloom.session import ship
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def owning(stage):
+    """The stage, as owner of the tables its operators make: they go when a later stage begins, but for
+    those that its docs still read. Frames made by other callers of the operators are left alone."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        Scratch.release(ship(spark), docs)
+        with Scratch.owned():
+            return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@owning
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for toxic go; it learns from `labels`."""
-    Scratch.release(ship(spark), docs)
     docs = docs.select(*COLUMNS)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.classify(docs, model).where("predicted = 0").select(*COLUMNS)
 
 
+@owning
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Chunks of lines that stood earlier go; a document left with nothing stays, empty."""
-    Scratch.release(ship(spark), docs)
     found = lines.deduplicate(docs.select(*COLUMNS), outputs=("kept", "n_removed"))
     changed = F.col("n_removed") > 0
     text = F.when(changed, F.col("kept")).otherwise(F.col("text"))
     return found.select("doc_id", text.alias("text"), "lang", "source", F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
+@owning
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest id (null is
     before all). Groups that share ids are told apart by their fingerprints."""
-    Scratch.release(ship(spark), docs)
     docs = docs.select(*COLUMNS).withColumn("__h", F.coalesce(F.xxhash64("text"), F.lit(0))).withColumn("__i", F.coalesce(F.col("doc_id"), F.lit(-(2**63))))
     found = simhash.near_duplicates(docs, doc_id="__i", also=("__h",), group="__g")
     kept = found.groupBy("__g").agg(F.min(F.struct("doc_id", "__h")).alias("k")).select(F.col("k.doc_id").alias("__i"), F.col("k.__h").alias("__h"))
@@ -49,18 +64,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return rows.where("__n = 1").select(*COLUMNS)
 
 
+@owning
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of a benchmark item go."""
-    Scratch.release(ship(spark), docs)
     found = decontam.contamination(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.where("size(items) = 0").select(*COLUMNS)
 
 
+@owning
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, and proof that they decode to the text."""
     import public_tokenizers
 
-    Scratch.release(ship(spark), docs)
     outputs = ("ids", "n_tokens", "ids_sha256", "decoded_sha256")
     found = bpe.encode_decode(docs.select(*COLUMNS), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, outputs=outputs)
     return found.select("doc_id", "lang", "source", *outputs)
@@ -80,7 +95,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is a table in the shared folder."""
     out = Scratch(spark, "pipeline")
-    Scratch.made.remove(out)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = out.save(stage(spark, docs, sf_dir), f"{k}")
