@@ -72,3 +72,56 @@ ITEM_WORDS = "tab caps cap syp inj gel susp oint drops cream tablet capsule syru
 
 # fixed values: a product name that is a dosage form alone (regular expression)
 FORM_ONLY = r"(?i)^(tabs?|caps?|cream|syp|syrup|inj|gel|drops?|ointment|softgel|susp)(\b.*)?$"
+
+# fixed values: fields whose errors are critical, and those that hold money or percentages
+CRITICAL_FIELDS = ["itemName", "quantity", "rate", "amount"]
+FINANCIAL_FIELDS = ["rate", "mrp", "discountPercent", "taxableAmount", "cgstPercent", "sgstPercent", "gstPercent", "netAmount", "amount"]
+
+# fixed values: (absolute, relative) tolerance of each numeric field
+TOLERANCES = {
+    "quantity": (0.01, 0.0),
+    "freeQuantity": (0.01, 0.0),
+    "discountPercent": (0.05, 0.01),
+    "rate": (0.05, 0.005),
+    "mrp": (0.05, 0.005),
+    "amount": (0.10, 0.005),
+    "taxableAmount": (0.10, 0.005),
+    "netAmount": (0.10, 0.005),
+    "cgstPercent": (0.10, 0.0),
+    "sgstPercent": (0.10, 0.0),
+    "gstPercent": (0.10, 0.0),
+}
+
+# fixed values: beginnings of headers that number rows, and words of torn and of composite headers
+AUXILIARY_HEADERS = ["S.", "S.NO", "SR NO", "SL NO", "S NO", "SR.NO", "SR.", "SL.", "NO.", "INDEX"]
+TORN_HEADERS = r"\b(PT\s+R|M\s+R\s*P|M\s*R\s+P|MR\s+P|RAT\s+E|P\s+A\s+CK|BAT\s+CH|EX\s+P)\b"
+COMPOSITE_HEADERS = ["QTY FREE", "AMOUNT GST", "BATCH EXP", "MRP RATE", "CGST SGST", "PACK QTY"]
+
+# fixed values: headers (cleaned) that no canonical field may have
+EXCLUDED_HEADERS = ["disamt", "discamt", "discountamount", "schamt", "gstamt", "taxamt", "totaltaxamt", "gstamount", "cgstamt", "sgstamt", "taxamount", "rack", "location", "bin", "slot", "box", "boxs", "boxes", "outer", "case", "cases", "old", "oldmrp", "prevmrp"]
+
+# fixed values: fields that a saved template may name but no column takes
+LEGACY_FIELDS = ["itemCode", "igstPercent", "saleRate", "boxs", "old"]
+
+# fixed values: how strongly a cleaned header claims a field, where several do
+HEADER_PRIORITY = {
+    "rate": {"rate": 1000, "ptr": 700, "pricetoretailer": 700, "purrate": 800, "purchaserate": 800, "unitrate": 800, "netrate": 500},
+    "mrp": {"mrp": 1000, "maxretailprice": 1000, "maximumretailprice": 1000, "oldmrp": 100, "old": 100},
+    "pack": {"pack": 1000, "packing": 1000, "packs": 1000, "packsize": 1000, "packingsize": 1000, "pkg": 1000, "pk": 1000, "unit": 500, "uom": 500, "size": 500, "boxs": 0, "boxes": 0, "box": 0},
+    "quantity": {"billedqty": 1000, "quantitybilled": 1000, "billed": 1000, "qty": 950, "quantity": 950, "units": 950, "nos": 950, "rack": 0, "location": 0},
+    "discountPercent": {"dis": 900, "disc": 900, "discount": 900, "sch": 900, "scheme": 900},
+    "amount": {"amount": 1000, "grossamt": 1000, "grossamount": 1000, "grossvalue": 1000, "amt": 900, "total": 900, "itemamt": 900, "value": 900},
+    "gstPercent": {"gstrate": 1000, "taxrate": 1000, "totalgst": 1000, "igst": 1000, "gst": 900, "tax": 900},
+}
+
+# fixed values: parts of a cleaned header that take its claim to a field away
+HEADER_CONTRARY = {"discountPercent": ["amt", "amount"], "amount": ["gst", "tax", "dis"], "gstPercent": ["amt", "amount"]}
+
+# fixed values: words of repeated headers
+HEADER_PHRASES = ["item description", "product name", "m.r.p", "billed", "quantity"]
+HEADER_COMPANIONS = ["rate", "mrp", "m.r.p", "pack", "batch", "hsn", "qty", "amount"]
+
+# fixed values: phrases and patterns that no product row has
+NOT_ITEM = ["item description", "product name", "m.r.p", "quantity", "particulars", "invoice date", "due date", "order no", "ref id", "route", "fridge products", "from 5th to", "within 30", "days only", "goods once sold"]
+CONTACT = r"\b(gstin|pan\s*no|phone|email|udyam|whatsapp|pin-?\s*\d{3}|state code)\b"
+SECTION_META = r"\b(credit note no|cr\s*no|ack date|bill time|bank details)\b"

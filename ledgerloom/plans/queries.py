@@ -292,4 +292,4 @@ def tally_xml_export(spark, sf_dir):
     return exports.tally_xml(line_items(spark, sf_dir))
 
 
-from . import documents  # noqa: E402, F401 (registers its queries)
+from . import accuracy, documents  # noqa: E402, F401 (register their queries)
