@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bleeding import repair
 from .fixed import GST_SLABS, PHARMA_CHAPTERS
+from .quantities import number, scheme
 
 
 def money(c: Column) -> Column:
@@ -21,8 +23,9 @@ def near(a: Column, b: Column, relative: str, least: str = "0.10") -> Column:
     return F.abs(a - b) <= F.greatest(F.lit(least).cast("decimal(18,4)"), (b * F.lit(relative).cast("decimal(4,3)")).cast("decimal(18,4)"))
 
 
-def solve(df: DataFrame) -> DataFrame:
-    """Adds candidates and the meaning of `amount`, and fills rate, taxable and net.
+def solve(df: DataFrame, preferred: str = "AUTO") -> DataFrame:
+    """Adds candidates and the meaning of `amount`, and fills rate, taxable and net. A preferred meaning (GROSS,
+    TAXABLE_PRE_GST or NET_POST_GST) is taken where it fits at all.
 
     df: quantity, free, rate, discount, gst, amount, taxable, net as decimals; each may be null.
     """
@@ -37,7 +40,7 @@ def solve(df: DataFrame) -> DataFrame:
     df = df.withColumn("all_units", F.when(known & (F.col("free") > 0), money((F.col("quantity") + F.col("free")) * F.col("rate"))))
     meanings = (("GROSS", "gross"), ("TAXABLE_PRE_GST", "pre_tax"), ("NET_POST_GST", "post_tax"), ("TOTAL_QTY_GROSS", "all_units"))
     semantics = F.when(F.col("gross").isNull(), "UNKNOWN").when(a.isNull(), "DERIVED_GROSS")
-    for name, c in meanings:
+    for name, c in sorted(meanings, key=lambda x: x[0] != preferred):
         semantics = semantics.when(near(a, F.col(c), "0.015"), name)
     df = df.withColumn("semantics", semantics.otherwise("MISMATCH"))
     meant = F.coalesce(*[F.when(F.col("semantics") == n, F.col(c)) for n, c in meanings])
@@ -51,15 +54,71 @@ def solve(df: DataFrame) -> DataFrame:
     return df.withColumn("net_out", net).withColumn("confidence", F.when(F.col("semantics") == "MISMATCH", 0.5).when(off, 0.75).otherwise(1.0)).withColumn("amount", F.coalesce("amount", "gross"))
 
 
+def solve_rows(df: DataFrame, preferred: str = "AUTO") -> DataFrame:
+    """Text cells of line items (quantity, freeQuantity, rate, discountPercent, amount, taxableAmount, netAmount,
+    gstPercent, cgstPercent, sgstPercent, mrp; missing ones are empty) -> solve()'s columns, the repaired cells
+    and discrepancies (field, status), after cells that ran together are taken apart and schemes are read.
+
+    A scheme in the quantity gives billed and free units; one in the free quantity gives the free units, and
+    billed ones where there are none. The tax rate is the stated one, else that of the two halves."""
+    cells = ["quantity", "freeQuantity", "rate", "discountPercent", "amount", "taxableAmount", "netAmount", "gstPercent", "cgstPercent", "sgstPercent", "mrp"]
+    df = df.withColumns({c: F.lit(None).cast("string") for c in cells if c not in df.columns})
+    raw = {c: F.col(f"raw_{c}") for c in ("quantity", "freeQuantity")}
+    df = df.withColumns({f"raw_{c}": F.col(c) for c in raw})
+    df = repair(df)
+    money_of = lambda c: F.round(number(F.col(c)), 4).cast("decimal(18,4)")
+    q, f = scheme(raw["quantity"]), scheme(raw["freeQuantity"])
+    whole = lambda c: F.round(c, 4).cast("decimal(18,4)")
+    billed = F.when(q["is_compound"], whole(q["billed"])).otherwise(money_of("quantity"))
+    free = F.when(f["is_compound"], whole(f["free"])).when(q["is_compound"], whole(q["free"])).otherwise(F.coalesce(money_of("freeQuantity"), F.lit(0).cast("decimal(18,4)")))
+    billed = F.coalesce(billed, F.when(f["is_compound"] & (f["billed"] > 0), whole(f["billed"])))
+    halves = F.when(F.coalesce("cgstPercent", "sgstPercent").isNotNull(), F.coalesce(money_of("cgstPercent"), F.lit(0)) + F.coalesce(money_of("sgstPercent"), F.lit(0)))
+    apart = money_of("gstPercent").isNotNull() & money_of("cgstPercent").isNotNull() & money_of("sgstPercent").isNotNull() & (F.abs(halves - money_of("gstPercent")) > F.lit("0.05").cast("decimal(3,2)"))
+    unread = F.coalesce(raw["quantity"].contains("+"), F.lit(False)) & ~q["is_compound"]
+    small = lambda c: c.cast("decimal(12,4)")
+    df = df.withColumns({
+        "__quantity": small(billed), "__free": small(free), "__rate": small(money_of("rate")), "__discount": money_of("discountPercent").cast("decimal(7,4)"), "__gst": F.coalesce(money_of("gstPercent"), halves).cast("decimal(7,4)"),
+        "__amount": money(number(F.col("amount"))), "__taxable": money(number(F.col("taxableAmount"))), "__net": money(number(F.col("netAmount"))), "__mrp": small(money_of("mrp")), "__apart": F.coalesce(apart, F.lit(False)), "__unread": unread,
+    })
+    own = ["quantity", "free", "rate", "discount", "gst", "amount", "taxable", "net", "mrp"]
+    kept = [c for c in df.columns if c not in own and not c.startswith("__") and c not in ("rate", "amount", "mrp", "quantity")]
+    df = solve(df.select(*kept, *(F.col(f"__{c}").alias(c) for c in own), "__apart", "__unread"), preferred)
+    wrong = lambda test, field, status: F.when(test, F.struct(F.lit(field).alias("field"), F.lit(status).alias("status")))
+    off = lambda c, want: F.coalesce(F.col(c).isNotNull() & ~near(F.col(c), want, "0.020"), F.lit(False))
+    expected = F.col("taxable_out") + percent_of(F.col("taxable_out"), F.col("gst"))
+    found_wrong = F.array_compact(F.array(wrong(F.col("__unread"), "quantity", "UNRESOLVED_COMPOUND"), wrong(F.col("__apart"), "gstPercent", "MISMATCH"), wrong(F.col("semantics") == "MISMATCH", "amount", "MISMATCH"), wrong(off("taxable", F.col("pre_tax")), "taxableAmount", "MISMATCH"), wrong(off("net", expected), "netAmount", "MISMATCH")))
+    return df.withColumn("discrepancies", found_wrong).drop("__apart", "__unread", "raw_quantity", "raw_freeQuantity")
+
+
+def health(solved: DataFrame, *by: str) -> DataFrame:
+    """Checked, valid and mismatched rows of solve_rows(), and the share of valid ones (1 without rows)."""
+    bad = (F.col("status") == "MATHEMATICAL_MISMATCH") | F.exists("discrepancies", lambda x: x["status"] == "MISMATCH")
+    s = solved.groupBy(*by).agg(F.count("*").alias("n_checked"), F.count_if(~bad).alias("n_valid"), F.count_if(bad).alias("n_mismatched"))
+    return s.withColumn("health", F.round(F.coalesce(F.try_divide("n_valid", "n_checked"), F.lit(1.0)), 3))
+
+
+def margins(df: DataFrame) -> DataFrame:
+    """Adds margin (percent of MRP), unit_cost, scheme_benefit, units and margin_class.
+
+    df: mrp, rate, quantity, free, net as decimals; nulls are zero. A unit costs net over all units, without
+    a net amount billed units at their rate over all, without units the rate."""
+    zero = F.lit(0).cast("decimal(18,4)")
+    mrp, rate, billed, free, net = (F.coalesce(F.col(c).cast("decimal(18,4)"), zero) for c in ("mrp", "rate", "quantity", "free", "net"))
+    units = billed + free
+    margin = F.when((mrp > 0) & (rate > 0), F.round((mrp - rate) * 100 / mrp, 2)).otherwise(0).cast("decimal(18,2)")
+    cost = F.when((net > 0) & (units > 0), money(net / units)).when((rate > 0) & (units > 0), money(billed * rate / units)).otherwise(money(rate))
+    return df.withColumns({"margin": margin, "unit_cost": cost, "scheme_benefit": money(free * rate), "units": units}).withColumn("margin_class", F.when((mrp > 0) & (rate > mrp), "PRICE_INVERSION_ERROR").when((mrp > 0) & (F.col("margin") < 10), "LOW_RETAIL_MARGIN").when(F.col("margin") >= 25, "HIGH_MARGIN_PROMOTIONAL").otherwise("STANDARD_RETAIL_MARGIN"))
+
+
 def margin_class(rate: Column, mrp: Column) -> Column:
-    """PRICE_INVERSION_ERROR, LOW_MARGIN (< 10 %), HIGH_MARGIN (25 % or more) or STANDARD_MARGIN."""
+    """PRICE_INVERSION_ERROR, LOW_RETAIL_MARGIN (< 10 %), HIGH_MARGIN_PROMOTIONAL (25 % or more) or STANDARD_RETAIL_MARGIN."""
     share = (mrp - rate) * 100
-    return F.when((mrp > 0) & (rate > mrp), "PRICE_INVERSION_ERROR").when((mrp > 0) & (share < mrp * 10), "LOW_MARGIN").when((mrp > 0) & (share >= mrp * 25), "HIGH_MARGIN").otherwise("STANDARD_MARGIN")
+    return F.when((mrp > 0) & (rate > mrp), "PRICE_INVERSION_ERROR").when((mrp > 0) & (share < mrp * 10), "LOW_RETAIL_MARGIN").when((mrp > 0) & (share >= mrp * 25), "HIGH_MARGIN_PROMOTIONAL").otherwise("STANDARD_RETAIL_MARGIN")
 
 
 def hsn_status(c: Column) -> Column:
     digits = F.regexp_replace(c, r"\D", "")
-    return F.when(c.isNull() | (c == ""), "MISSING_HSN").when(~F.length(digits).isin(4, 6, 8), "INVALID_FORMAT").when(F.substring(digits, 1, 4).isin(PHARMA_CHAPTERS), "STANDARD").otherwise("NON_STANDARD_CHAPTER")
+    return F.when(c.isNull() | (c == ""), "MISSING_HSN").when(~F.length(digits).isin(4, 6, 8), "INVALID_FORMAT").when(F.substring(digits, 1, 4).isin(PHARMA_CHAPTERS), "STANDARD_PHARMA_HSN").otherwise("NON_STANDARD_CHAPTER")
 
 
 def slab(gst: Column) -> Column:

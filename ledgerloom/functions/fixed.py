@@ -2,27 +2,30 @@
 
 CANONICAL = ["itemName", "pack", "batchNo", "expiryDate", "quantity", "freeQuantity", "discountPercent", "rate", "mrp", "hsnCode", "amount", "taxableAmount", "gstPercent", "cgstPercent", "sgstPercent", "netAmount", "company"]
 
-# fixed values: header texts of each canonical field, cleaned (lower case, letters and digits)
-HEADER_WORDS = {
-    "itemName": "productname itemdescription particulars productnmae itemname product description item productitem itemproduct",
-    "pack": "pack packing packs packsize packingsize pkg pk unit uom",
-    "batchNo": "batch batchno batchnumber lot lotno batchlot bno",
-    "expiryDate": "exp expiry expdate ex expirydate valdate validity",
-    "quantity": "qty quantity billedqty billed units bldqty quantitybilled qtyfree nos no",
-    "freeQuantity": "free freeqty schqty schemeqty fqty freequantity bonus",
-    "discountPercent": "dis disc sch scheme idisper discount",
-    "rate": "rate ptr purrate purchaserate rateunit unitrate netrate pricetoretailer",
-    "mrp": "mrp maxretailprice maximumretailprice mrprs",
-    "hsnCode": "hsn hsnsac hsncode saccode hsnsaccode hsncodesac hsnsc hsncodesaccode",
-    "amount": "amount grossamt grossamount total itemamt amt value grossvalue",
-    "taxableAmount": "taxable taxableamt taxablevalue taxableamount taxableval",
-    "netAmount": "net netamount netvalue netamt billamt netpayable netpay invoiceamt",
-    "cgstPercent": "cgst cgstper cgstrate",
-    "sgstPercent": "sgst sgstper sgstrate utgst",
-    "gstPercent": "gst gstrate totalgst igst tax taxrate vat",
-    "company": "mfr mfg mktby mfname mfgby company mfacmktby mfac manufacturer",
+# fixed values: header texts of each canonical field, in order of precedence
+HEADER_ALIASES = {
+    "itemName": ["product name", "item description", "particulars", "product nmae", "item name", "product", "description", "item", "product/item", "item/product"],
+    "pack": ["pack", "packing", "packs", "pack size", "packsize", "packing size", "pkg", "pk", "unit", "uom"],
+    "batchNo": ["batch", "batch no", "batchno", "batch no.", "batch number", "lot", "lot no", "lot no.", "lot.no", "batch/lot", "b.no", "b.no."],
+    "expiryDate": ["exp", "expiry", "exp date", "exp.", "e.x.p", "ex", "ex...", "expiry date", "exp.date", "val date", "validity"],
+    "quantity": ["qty", "quantity", "billed qty", "billed", "units", "bld qty", "qty.", "quantity billed", "qty+free", "qty/free", "nos", "no", "nos.", "no."],
+    "freeQuantity": ["free", "free qty", "sch qty", "scheme qty", "f.qty", "free quantity", "bonus", "sch.qty"],
+    "discountPercent": ["dis", "disc", "disc.", "sch", "scheme", "idisper", "dis%", "disc%", "discount %", "discount", "discount%", "sch%", "scheme%"],
+    "rate": ["rate", "rat e", "ptr", "pur rate", "purchase rate", "Rate ", "p.t.r", "rate/unit", "pur. rate", "p.t.r.", "unit rate", "net rate", "price to retailer"],
+    "mrp": ["mrp", "m.r.p", "max retail price", "M.R.P", "M R P", "m r p", "m.r.p.", "old mrp", "old m.r.p", "maximum retail price", "mrp rs"],
+    "hsnCode": ["hsn", "hsn/sac", "hsn code", "hsncode", "sac code", "hsn/sac code", "hsn code/sac", "hsn/saccode", "hsn/sc", "hsn code/sac code"],
+    "amount": ["amount", "gross amt", "gross amount", "total", "item amt", "amt", "value", "gross value"],
+    "taxableAmount": ["taxable", "taxable amt", "taxable value", "taxable amount", "taxable val", "taxable val."],
+    "netAmount": ["net", "net amount", "net value", "net amt", "bill amt", "net payable", "net pay", "invoice amt"],
+    "cgstPercent": ["cgst", "cgst%", "cgst per", "cgstper", "cgst rate", "c.gst", "c.gst%"],
+    "sgstPercent": ["sgst", "sgst%", "sgst per", "sgstper", "sgst rate", "s.gst", "s.gst%", "utgst", "utgst%"],
+    "gstPercent": ["gst", "gst%", "gst rate", "total gst", "igst", "tax%", "tax", "tax rate", "vat%"],
+    "company": ["mfr", "mfg", "mkt by", "mfname", "mfgby", "company", "mfac mkt by", "mfac/ mkt by", "mfac/", "manufacturer", "mfg.by", "mfr."],
 }
 
+# fixed values: words that repeated headers hold
+REPEATED_HEADERS = ["item description", "product name", "product nmae", "m.r.p", "mrp", "quantity", "billed free", "pack batch", "hsn /sac", "old mrp", "mfac/ mkt", "exp date"]
+
 # fixed values: headings that number rows
 SERIAL_HEADERS = ["s", "sn", "sno", "slno", "srno"]
 
@@ -68,7 +71,7 @@ HSN_STARTS = ["30", "21", "38", "90", "33", "34", "29", "19", "40", "48"]
 PACK_SIZE = r"(?i)\b(\d+['`’]s|\d+\s*s|\d+x\d+|\d+\*\d+|\d+\s*(?:ml|gm|mg|tab|cap|vial|amp|btl|strip|box|ltr|kg))\b"
 
 # fixed values: words that mark a product name
-ITEM_WORDS = "tab caps cap syp inj gel susp oint drops cream tablet capsule syrup injection ointment powder lotion solution emulsion pharma mg ml gm forte plus duo ds dry dt sr er cr xl xr mr resp inhaler".split()
+ITEM_WORDS = ["tab", "caps", "cap", "syp", "inj", "gel", "susp", "oint", "drops", "cream", "tablet", "capsule", "syrup", "injection", "ointment", "powder", "lotion", "solution", "emulsion", "pharma", "mg", "ml", "gm", "forte", "plus", "duo", "ds", "dry", "dt", "sr", "er", "cr", "xl", "xr", "mr", "resp", "inhaler"]
 
 # fixed values: a product name that is a dosage form alone (regular expression)
 FORM_ONLY = r"(?i)^(tabs?|caps?|cream|syp|syrup|inj|gel|drops?|ointment|softgel|susp)(\b.*)?$"
@@ -125,3 +128,8 @@ HEADER_COMPANIONS = ["rate", "mrp", "m.r.p", "pack", "batch", "hsn", "qty", "amo
 NOT_ITEM = ["item description", "product name", "m.r.p", "quantity", "particulars", "invoice date", "due date", "order no", "ref id", "route", "fridge products", "from 5th to", "within 30", "days only", "goods once sold"]
 CONTACT = r"\b(gstin|pan\s*no|phone|email|udyam|whatsapp|pin-?\s*\d{3}|state code)\b"
 SECTION_META = r"\b(credit note no|cr\s*no|ack date|bill time|bank details)\b"
+
+# fixed values: units behind a quantity, and strengths in product names (regular expressions)
+QUANTITY_UNIT = r"(?i)\s*(?:nos\.?|tab(?:let)?s?|caps?(?:ule)?s?|packs?|strips?|units?|['`’]s)\b.*$"
+STRENGTH = r"(\d+)\s+(MG|GM|MCG|ML|IU|G|MG/ML)\b"
+STRENGTH_UNIT = r"(?<=\d)(MG|GM|MCG|ML|IU|G)\b"

@@ -62,9 +62,9 @@ def similarity(name: str, a: Column, b: Column) -> Column:
 
 
 def header_similarity(a: Column, b: Column) -> Column:
-    """0.4 Jaccard + 0.4 share found in order + 0.2 length ratio, of two header arrays."""
+    """0.4 Jaccard + 0.4 share found in order + 0.2 length ratio, of two header arrays; of two empty ones 1."""
     n, m = F.size(a), F.size(b)
     jaccard = F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
     step = lambda s, x: F.when(F.array_position(F.slice(b, s["at"] + 1, F.greatest(m - s["at"], F.lit(0))), x) > 0, F.struct((s["n"] + 1).alias("n"), (s["at"] + F.array_position(F.slice(b, s["at"] + 1, F.greatest(m - s["at"], F.lit(0))), x).cast("int")).alias("at"))).otherwise(s)
     ordered = F.aggregate(a, F.struct(F.lit(0).alias("n"), F.lit(0).alias("at")), step)["n"] / F.greatest(n, m)
-    return F.when((n == 0) | (m == 0), 0.0).otherwise(F.round(0.4 * jaccard + 0.4 * ordered + 0.2 * F.least(n, m) / F.greatest(n, m), 3))
+    return F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0), 0.0).otherwise(F.round(0.4 * jaccard + 0.4 * ordered + 0.2 * F.least(n, m) / F.greatest(n, m), 3))

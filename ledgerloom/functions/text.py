@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fixed import DOSAGE_NOISE, FOOTER, LETTERHEAD, PAGE_MARK, PAGE_TOTAL, RUNNING_TOTAL, SERIAL_HEADERS
+from .fixed import DOSAGE_NOISE, FOOTER, LETTERHEAD, PAGE_MARK, PAGE_TOTAL, RUNNING_TOTAL, SERIAL_HEADERS, STRENGTH
 
 GSTIN = r"\b(\d{2}[A-Z]{5}\d{4}[A-Z][A-Z0-9]Z[A-Z0-9])\b"
 
@@ -50,7 +50,7 @@ def is_serial_header(c: Column) -> Column:
 
 def drug_name(c: Column) -> Column:
     """The core of a product name: no dosage forms, pack counts or punctuation."""
-    s = F.regexp_replace(F.upper(F.trim(c)), r"(\d+)\s+(MG|GM|MCG|ML|IU|G|MG/ML)\b", "$1$2")
+    s = F.regexp_replace(F.upper(F.trim(c)), STRENGTH, "$1$2")
     s = F.regexp_replace(s, r"[()\[\]{}/\\,:;*#@!?_-]", " ")
     s = collapsed(F.regexp_replace(s, "(?i)" + DOSAGE_NOISE, " "))
     return F.when(s != "", s).otherwise(F.upper(F.trim(c)))
@@ -60,21 +60,33 @@ def contains_any(c: Column, phrases: list[str]) -> Column:
     return c.rlike("|".join(re.escape(p) for p in phrases))
 
 
+def is_footer(joined: Column) -> Column:
+    """Footer phrases, amounts in words, or marks of a page that continues."""
+    low = F.lower(joined)
+    words = low.rlike(r"\b(thousand|hundred|lakh|crore)\b") & low.rlike(r"\b(only|and|rupees|rs\.?)\b")
+    return contains_any(low, FOOTER) | words | low.rlike(r"\b(continue|continued|contd|cont\.)\b|\bpage\s*\.{2,}\b|\bpage\s*\d+\s*of\s*\d+\b")
+
+
+def is_letterhead(joined: Column) -> Column:
+    return contains_any(F.lower(joined), LETTERHEAD)
+
+
 def row_reason(joined: Column, is_header: Column) -> Column:
     """Why a table row is no line item; null for those that are."""
     low = F.lower(joined)
-    words = low.rlike(r"\b(thousand|hundred|lakh|crore)\b") & low.rlike(r"\b(only|and|rupees|rs\.?)\b")
     return (
         F.when(is_header, "REPEATED_HEADER_ROW")
         .when(low.rlike(RUNNING_TOTAL), "RUNNING_BF_CF_ROW")
         .when(low.rlike(PAGE_TOTAL), "PAGE_SUBTOTAL_ROW")
         .when(low.rlike(PAGE_MARK), "PAGE_CONTINUATION_CHROME")
-        .when(contains_any(low, FOOTER) | words | contains_any(low, LETTERHEAD), "LETTERHEAD_OR_FOOTER_ROW")
+        .when(is_footer(joined) | is_letterhead(joined), "LETTERHEAD_OR_FOOTER_ROW")
     )
 
 
 def identity_status(name: Column, gstin: Column, confidence: Column) -> Column:
-    """How safely a supplier is known."""
-    valid = F.upper(gstin).rlike("^" + GSTIN.replace("\\b", "") + "$")
-    named = F.length(F.trim(F.coalesce(name, F.lit("")))) > 0
-    return F.when(valid, "EXACT_GSTIN").when(named & (confidence.isNull() | (confidence >= 0.7)), "VERIFIED_NAME").when(named, "REVIEW").otherwise("NO_IDENTITY")
+    """How safely a supplier is known. Punctuation in a tax number doesn't count; a name has three letters or
+    digits at least, and not digits alone."""
+    valid = F.regexp_replace(F.upper(gstin), "[^A-Z0-9]", "").rlike("^" + GSTIN.replace("\\b", "") + "$")
+    plain = cleaned(F.coalesce(name, F.lit("")))
+    named = (F.length(plain) >= 3) & ~plain.rlike(r"^\d+$")
+    return F.when(valid, "EXACT_GSTIN").when(named & (confidence.isNull() | (confidence >= 0.7)), "VERIFIED_NAME").when(named, "SUPPLIER_IDENTITY_REVIEW_REQUIRED").otherwise("NO_IDENTITY")

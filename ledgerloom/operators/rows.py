@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fixed import RETURN_SECTION, SCHEME_SECTION
-from ..functions.text import contains_any, row_reason
+from ..functions.accounting import solve_rows
+from ..functions.fixed import CONTACT, FOOTER, HEADER_COMPANIONS, HEADER_PHRASES, LETTERHEAD, NOT_ITEM, REPEATED_HEADERS, RETURN_SECTION, SCHEME_SECTION, SECTION_META
+from ..functions.text import cleaned, contains_any, is_footer, is_letterhead, row_reason
+from .headers import match
 
 
 def joined(cells: str = "cells"):
@@ -50,3 +52,135 @@ def serial_columns(cells: DataFrame) -> DataFrame:
     got = cells.groupBy("doc", "col_no").agg(F.count("*").alias("n"), F.count(n).alias("k"), F.countDistinct(n).alias("d"), F.min(n).alias("lo"), F.max(n).alias("hi"))
     ok = (F.col("n") == F.col("k")) & (F.col("k") == F.col("d")) & (F.col("hi") - F.col("lo") + 1 == F.col("k")) & (F.col("lo") <= 5) & (F.col("hi") <= 500)
     return got.select("doc", "col_no", F.coalesce(ok, F.lit(False)).alias("is_serial"))
+
+
+# ---- what a row of cells is. Rows are doc, row_no, cells; with_fields() adds what the cells say as headers.
+
+
+def normal_cell(c, item: bool = False):
+    """The first line of a cell (an item's lines as one); a word that stands twice once; null is empty."""
+    lines = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(c, F.lit("")), r"\r", "\n"), "\n"), F.trim), lambda x: x != "")
+    text = F.array_join(lines, " ") if item else F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit(""))
+    words = F.split(F.trim(text), r"\s+")
+    return F.when((F.size(words) == 2) & (F.upper(words[0]) == F.upper(words[1])), words[0]).otherwise(text)
+
+
+def normal_row(cells, item_at=None):
+    """normal_cell of each cell; item_at: the place of the item."""
+    at = F.lit(-1) if item_at is None else F.coalesce(item_at, F.lit(-1))
+    return F.transform(cells, lambda c, k: F.when(k == at, normal_cell(c, True)).otherwise(normal_cell(c)))
+
+
+def filled(cells):
+    return F.size(F.filter(cells, lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""))
+
+
+def with_fields(rows: DataFrame) -> DataFrame:
+    """Adds fields: the canonical field that each cell names as a header, or null; texts are matched once each."""
+    cells = rows.select("doc", "row_no", F.posexplode("cells").alias("at", "header"))
+    found = match(cells).where("field is not null").groupBy("doc", "row_no").agg(F.map_from_entries(F.collect_set(F.struct("at", "field"))).alias("__named"))
+    met = rows.join(found, ["doc", "row_no"], "left")
+    return met.withColumn("fields", F.transform(F.sequence(F.lit(0), F.size("cells") - 1), lambda k: F.try_element_at("__named", k))).drop("__named")
+
+
+def is_header(fields="fields"):
+    """Two canonical fields or more."""
+    return F.size(F.array_distinct(F.filter(fields, lambda f: f.isNotNull()))) >= 2
+
+
+def is_repeated_header(cells="cells", fields="fields"):
+    low = F.lower(joined(cells))
+    hits = sum((F.when(low.contains(w), 1).otherwise(0) for w in REPEATED_HEADERS), F.lit(0))
+    return is_header(fields) | (contains_any(low, HEADER_PHRASES) & contains_any(low, HEADER_COMPANIONS)) | (hits >= 3)
+
+
+def is_skippable(cells="cells"):
+    low = F.lower(joined(cells))
+    return (F.size(cells) == 0) | is_footer(low) | is_letterhead(low) | low.rlike(r"\b(terms\s*&?\s*conditions|amount in words)\b")
+
+
+def _item(cells, item_at):
+    return F.lit("") if item_at is None else F.coalesce(F.get(cells, item_at), F.lit(""))
+
+
+def is_item_row(cells="cells", fields="fields", item_at=None):
+    """Three filled cells with an item of three letters, or four with another such cell that is no header."""
+    cells, fields = (F.col(x) if isinstance(x, str) else x for x in (cells, fields))
+    letters = F.exists(F.arrays_zip(cells.alias("c"), fields.alias("f")), lambda x: x["c"].rlike("[A-Za-z]{3,}") & x["f"].isNull())
+    named = _item(cells, item_at).rlike("[A-Za-z]{3,}")
+    return ~is_footer(joined(cells)) & (filled(cells) >= 3) & (named | (letters & (filled(cells) >= 4)))
+
+
+def is_primary_row(cells="cells", fields="fields", item_at=None):
+    cells = F.col(cells) if isinstance(cells, str) else cells
+    near = filled(F.slice(cells, 1, 3)) >= 2
+    return is_item_row(cells, fields, item_at) & (near if item_at is None else F.when(item_at < F.size(cells), _item(cells, item_at).rlike("[A-Za-z]{3,}")).otherwise(near))
+
+
+def is_product_row(cells="cells", fields="fields", item_at=None):
+    """A line of goods: digits, an item of two letters, and nothing that headers, footers or addresses say."""
+    cells, fields = (F.col(x) if isinstance(x, str) else x for x in (cells, fields))
+    text = joined(cells)
+    low = F.lower(text)
+    words = low.rlike(r"\b(thousand|hundred|lakh|crore)\b") & low.rlike(r"\b(only|rupees|rs\.?)\b")
+    chrome = is_footer(text) | is_letterhead(text) | is_repeated_header(cells, fields) | low.rlike(CONTACT) | low.contains("@") | low.contains("www.") | words | low.rlike(r"\b(continue|continued|contd)\b")
+    other = F.filter(F.arrays_zip(cells.alias("c"), fields.alias("f")), lambda x: x["c"].rlike("[A-Za-z]{2,}") & x["f"].isNull())
+    item = F.coalesce(F.try_element_at(F.transform(other, lambda x: x["c"]), F.lit(1)), F.lit("")) if item_at is None else _item(cells, item_at)
+    good = item.rlike("[A-Za-z]{2,}") & ~contains_any(F.lower(item), LETTERHEAD + FOOTER + NOT_ITEM)
+    return text.rlike(r"\d") & ~chrome & good & (F.lit(True) if item_at is None else is_primary_row(cells, fields, item_at))
+
+
+def in_sections(rows: DataFrame) -> DataFrame:
+    """Rows with fields -> those that a section takes, with section: goods, and after the first of a section
+    whatever continues it. Headings, footers and lines about notes are left out."""
+    text = joined("cells")
+    marked = sections(rows.withColumn("__text", text).where("__text <> ''"), "__text")
+    marked = marked.where(~F.col("is_heading") & ~is_footer(F.col("__text")) & ~F.lower("__text").rlike(SECTION_META))
+    goods = is_product_row() | is_item_row()
+    upto = Window.partitionBy("doc", "section").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
+    return marked.withColumn("__begun", F.max(goods.cast("int")).over(upto)).where("__begun = 1").drop("__begun", "__text", "is_heading")
+
+
+def merge_rows(rows: DataFrame, width: int, item_at: int | None, numeric: list[int]) -> DataFrame:
+    """Rows with fields -> one row for each primary row and those that continue it: item texts are joined, other cells
+    taken from the first that has them. A row is primary with an item and a number in one of the numeric
+    columns (in any two cells, where none is known); a document's first row always is."""
+    at = None if item_at is None else F.lit(item_at)
+    digits = lambda c: F.coalesce(c, F.lit("")).rlike(r"\d")
+    number = F.size(F.filter("cells", digits)) >= 2
+    if numeric:
+        number = F.lit(False)
+        for k in numeric:
+            number = number | digits(F.get("cells", F.lit(k)))
+    primary = number & is_item_row("cells", "fields", at)
+    upto = Window.partitionBy("doc").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
+    grouped = rows.where(filled("cells") > 0).withColumn("group_no", F.greatest(F.sum(primary.cast("int")).over(upto), F.lit(1)))
+    parts = grouped.groupBy("doc", "group_no").agg(F.min("row_no").alias("row_no"), F.count("*").alias("n_rows"), F.array_sort(F.collect_list(F.struct("row_no", "cells"))).alias("parts"))
+    values = lambda k: F.filter(F.transform("parts", lambda p: F.trim(F.coalesce(F.get(p["cells"], F.lit(k)), F.lit("")))), lambda x: x != "")
+    cell = lambda k: F.array_join(values(k), " ") if k == item_at else F.coalesce(F.try_element_at(values(k), F.lit(1)), F.lit(""))
+    return parts.select("doc", "group_no", "row_no", "n_rows", F.array(*(cell(k) for k in range(width))).alias("cells"))
+
+
+def logical_rows(rows: DataFrame, columns: list[str | None]) -> DataFrame:
+    """Raw rows of tables whose columns are these fields -> solved line items of the purchase section."""
+    place = {f: k for k, f in enumerate(columns) if f}
+    amounts = [place[f] for f in ("quantity", "freeQuantity", "rate", "amount", "mrp", "taxableAmount", "netAmount") if f in place]
+    bought = in_sections(with_fields(rows)).where("section = 'purchase_items'")
+    merged = merge_rows(bought, len(columns), place.get("itemName"), amounts)
+    return solve_rows(merged.select("doc", "group_no", "n_rows", *(F.nullif(F.col("cells")[k], F.lit("")).alias(f) for f, k in place.items())))
+
+
+def project(rows: DataFrame, local: DataFrame, master: list[str]) -> DataFrame:
+    """Rows of a page with headers of its own (doc, pos, header) in the order of a master header: by cleaned text,
+    else by field, where the cell has a value; else empty."""
+    own = match(local.select("doc", "pos", "header")).select("doc", F.col("pos").alias("at"), cleaned(F.col("header")).alias("word"), "field")
+    wanted = rows.sparkSession.createDataFrame([(k, h) for k, h in enumerate(master)], "k int, header string")
+    wanted = match(wanted).select("k", cleaned(F.col("header")).alias("w"), F.col("field").alias("f"))
+    cells = rows.select("doc", "row_no", F.posexplode("cells").alias("at", "value")).join(own, ["doc", "at"])
+    # the master has a few dozen columns
+    met = cells.join(F.broadcast(wanted), (F.col("word") == F.col("w")) | (F.col("field") == F.col("f")))
+    met = met.withColumn("tier", F.when(F.col("word") == F.col("w"), 0).otherwise(1)).where("value <> ''")
+    best = met.groupBy("doc", "row_no", "k").agg(F.min(F.struct("tier", "at", "value")).alias("x"))
+    by = best.groupBy("doc", "row_no").agg(F.map_from_entries(F.collect_list(F.struct("k", "x.value"))).alias("m"))
+    all_rows = rows.select("doc", "row_no").join(by, ["doc", "row_no"], "left")
+    return all_rows.select("doc", "row_no", F.array(*(F.coalesce(F.try_element_at("m", F.lit(k)), F.lit("")) for k in range(len(master)))).alias("cells"))

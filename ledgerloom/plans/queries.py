@@ -65,20 +65,20 @@ def itc_claim_by_supplier(spark, sf_dir):
     return doubles(line_items(spark, sf_dir).groupBy("supplier").agg(F.sum("tax").alias("itc"), F.count("*").alias("n_lines")), "itc")
 
 
-@query(", s AS (SELECT invoice, sum(gross) AS sum_gross, sum(taxable) AS sum_taxable, sum(tax) AS sum_tax, sum(net) AS sum_net, count(*) AS n_lines FROM lines GROUP BY invoice), o AS (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS total FROM orders), j AS (SELECT *, sum_net - total AS delta FROM s LEFT JOIN o ON invoice = o_orderkey) SELECT invoice, CAST(sum_gross AS DOUBLE) AS sum_gross, CAST(sum_taxable AS DOUBLE) AS sum_taxable, CAST(sum_tax AS DOUBLE) AS sum_tax, CAST(sum_net AS DOUBLE) AS sum_net, n_lines, CAST(total AS DOUBLE) AS total, CAST(delta AS DOUBLE) AS delta, CASE WHEN total IS NULL THEN 'NO_STATED_TOTAL' WHEN abs(delta) <= 1 THEN 'RECONCILED_BALANCED' WHEN abs(delta) <= 5 THEN 'RECONCILED_MINOR_VARIANCE' ELSE 'UNRECONCILED_MISMATCH' END AS status FROM j")
+@query(", s AS (SELECT invoice, sum(gross) AS sum_gross, sum(taxable) AS sum_taxable, sum(tax) AS sum_tax, sum(net) AS sum_net, count(*) AS n_lines FROM lines GROUP BY invoice), o AS (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS total FROM orders), j AS (SELECT *, sum_net - total AS delta FROM s LEFT JOIN o ON invoice = o_orderkey) SELECT invoice, CAST(sum_gross AS DOUBLE) AS sum_gross, CAST(sum_taxable AS DOUBLE) AS sum_taxable, CAST(sum_tax AS DOUBLE) AS sum_tax, CAST(sum_net AS DOUBLE) AS sum_net, n_lines, CAST(total AS DOUBLE) AS total, CAST(delta AS DOUBLE) AS delta, CASE WHEN total IS NULL THEN 'NO_INVOICE_SUMMARY_PRESENT' WHEN abs(delta) <= 1 THEN 'RECONCILED_BALANCED' WHEN abs(delta) <= 5 THEN 'MINOR_ROUNDING_VARIANCE' ELSE 'UNRECONCILED_MISMATCH' END AS status FROM j")
 def grand_total_reconcile(spark, sf_dir):
     stated = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("invoice"), F.col("o_totalprice").cast("decimal(18,2)").alias("total"))
     got = invoices.reconcile(line_items(spark, sf_dir), stated)
     return doubles(got, "sum_gross", "sum_taxable", "sum_tax", "sum_net", "total", "delta")
 
 
-@query("SELECT CASE WHEN mrp > 0 AND rate > mrp THEN 'PRICE_INVERSION_ERROR' WHEN mrp > 0 AND (mrp - rate) * 100 < mrp * 10 THEN 'LOW_MARGIN' WHEN mrp > 0 AND (mrp - rate) * 100 >= mrp * 25 THEN 'HIGH_MARGIN' ELSE 'STANDARD_MARGIN' END AS margin, count(*) AS n, CAST(sum(free * rate) AS DOUBLE) AS scheme_benefit FROM lines GROUP BY ALL")
+@query("SELECT CASE WHEN mrp > 0 AND rate > mrp THEN 'PRICE_INVERSION_ERROR' WHEN mrp > 0 AND (mrp - rate) * 100 < mrp * 10 THEN 'LOW_RETAIL_MARGIN' WHEN mrp > 0 AND (mrp - rate) * 100 >= mrp * 25 THEN 'HIGH_MARGIN_PROMOTIONAL' ELSE 'STANDARD_RETAIL_MARGIN' END AS margin, count(*) AS n, CAST(sum(free * rate) AS DOUBLE) AS scheme_benefit FROM lines GROUP BY ALL")
 def margin_classes(spark, sf_dir):
     df = line_items(spark, sf_dir).withColumn("margin", accounting.margin_class(F.col("rate"), F.col("mrp")))
     return doubles(df.groupBy("margin").agg(F.count("*").alias("n"), F.sum(F.col("free") * F.col("rate")).alias("scheme_benefit")), "scheme_benefit")
 
 
-@query("SELECT status, count(*) AS n FROM (SELECT CASE WHEN h = '' THEN 'MISSING_HSN' WHEN length(d) NOT IN (4, 6, 8) THEN 'INVALID_FORMAT' WHEN d[1:4] IN ('2106','3001','3002','3003','3004','3005','3006','3304','3305','3306','3401','3808','3822','9018','9019','9021') THEN 'STANDARD' ELSE 'NON_STANDARD_CHAPTER' END AS status FROM (SELECT h, regexp_replace(h, '\\D', '', 'g') AS d FROM (SELECT CASE WHEN p_partkey % 9 = 0 THEN '' ELSE CAST(2995 + p_partkey % 30 AS VARCHAR) || CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '.90' WHEN 2 THEN '9099' ELSE '9' END END AS h FROM part))) GROUP BY status".replace("SELECT status, count", "WITH z AS (SELECT 1) SELECT status, count", 1))
+@query("SELECT status, count(*) AS n FROM (SELECT CASE WHEN h = '' THEN 'MISSING_HSN' WHEN length(d) NOT IN (4, 6, 8) THEN 'INVALID_FORMAT' WHEN d[1:4] IN ('2106','3001','3002','3003','3004','3005','3006','3304','3305','3306','3401','3808','3822','9018','9019','9021') THEN 'STANDARD_PHARMA_HSN' ELSE 'NON_STANDARD_CHAPTER' END AS status FROM (SELECT h, regexp_replace(h, '\\D', '', 'g') AS d FROM (SELECT CASE WHEN p_partkey % 9 = 0 THEN '' ELSE CAST(2995 + p_partkey % 30 AS VARCHAR) || CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '.90' WHEN 2 THEN '9099' ELSE '9' END END AS h FROM part))) GROUP BY status".replace("SELECT status, count", "WITH z AS (SELECT 1) SELECT status, count", 1))
 def hsn_validate(spark, sf_dir):
     k = F.col("p_partkey")
     h = F.when(k % 9 == 0, "").otherwise(F.concat((2995 + k % 30).cast("string"), F.when(k % 4 == 0, "").when(k % 4 == 1, ".90").when(k % 4 == 2, "9099").otherwise("9")))
@@ -116,7 +116,7 @@ def scheme_tokenize(spark, sf_dir):
 _MONTH = "CAST(month(d) AS VARCHAR)"
 
 
-@query("WITH x AS (SELECT CAST(l_shipdate AS DATE) + INTERVAL 27 YEAR AS d, l_linenumber % 7 AS k FROM lineitem), r AS (SELECT last_day(d) AS iso, CASE k WHEN 0 THEN strftime(d, '%m/%y') WHEN 1 THEN strftime(d, '%m-%Y') WHEN 2 THEN strftime(d, '%Y-%m') WHEN 3 THEN strftime(d, '%d/%m/%Y') WHEN 4 THEN upper(strftime(d, '%b-%y')) WHEN 5 THEN strftime(d, '%m%Y') ELSE strftime(d, '%d/%B/%Y') END AS raw FROM x) SELECT raw, strftime(iso, '%m/%Y') AS mmyyyy, strftime(iso, '%Y-%m-%d') AS iso, count(*) AS n, (year(iso) - 2026) * 12 + month(iso) - 10 AS months, CASE WHEN (year(iso) - 2026) * 12 + month(iso) - 10 <= 0 THEN 'EXPIRED_STOCK' WHEN (year(iso) - 2026) * 12 + month(iso) - 10 < 3 THEN 'CRITICAL' WHEN (year(iso) - 2026) * 12 + month(iso) - 10 < 6 THEN 'SHORT' WHEN (year(iso) - 2026) * 12 + month(iso) - 10 < 12 THEN 'ACCEPTABLE' ELSE 'OPTIMAL' END AS shelf_life FROM r GROUP BY ALL")
+@query("WITH x AS (SELECT CAST(l_shipdate AS DATE) + INTERVAL 27 YEAR AS d, l_linenumber % 7 AS k FROM lineitem), r AS (SELECT last_day(d) AS iso, CASE k WHEN 0 THEN strftime(d, '%m/%y') WHEN 1 THEN strftime(d, '%m-%Y') WHEN 2 THEN strftime(d, '%Y-%m') WHEN 3 THEN strftime(d, '%d/%m/%Y') WHEN 4 THEN upper(strftime(d, '%b-%y')) WHEN 5 THEN strftime(d, '%m%Y') ELSE strftime(d, '%d/%B/%Y') END AS raw FROM x) SELECT raw, strftime(iso, '%m/%Y') AS mmyyyy, strftime(iso, '%Y-%m-%d') AS iso, count(*) AS n, (year(iso) - 2026) * 12 + month(iso) - 10 AS months, CASE WHEN (year(iso) - 2026) * 12 + month(iso) - 10 <= 0 THEN 'EXPIRED_STOCK' WHEN (year(iso) - 2026) * 12 + month(iso) - 10 < 3 THEN 'CRITICAL_SHORT_EXPIRY' WHEN (year(iso) - 2026) * 12 + month(iso) - 10 < 6 THEN 'SHORT_EXPIRY_RISK' WHEN (year(iso) - 2026) * 12 + month(iso) - 10 < 12 THEN 'ACCEPTABLE_SHELF_LIFE' ELSE 'OPTIMAL_SHELF_LIFE' END AS shelf_life FROM r GROUP BY ALL")
 def expiry_and_shelf_life(spark, sf_dir):
     d, k = F.add_months(F.col("l_shipdate").cast("date"), 27 * 12), F.col("l_linenumber") % 7
     f = lambda p: F.date_format(d, p)
@@ -186,16 +186,6 @@ def serial_column_detect(spark, sf_dir):
     return rows.serial_columns(cells)
 
 
-_HEADERS = ["Item Description", "M R P", "Batch No.", "EXP", "Qty.", "Rate ", "P.T.R", "HSN/SAC", "GST%", "S.No", "Net Amount", "Rack"]
-
-
-@query(None)
-def header_alias_match(spark, sf_dir):
-    h = F.element_at(F.array(*map(F.lit, _HEADERS)), (F.col("o_custkey") % len(_HEADERS) + 1).cast("int"))
-    df = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("pos"), h.alias("header"), F.col("o_totalprice").alias("score"))
-    return headers.match(df).groupBy("header", "field").agg(F.count("*").alias("n"))
-
-
 @query("WITH x AS (SELECT o_custkey AS doc, o_orderkey AS pos, o_orderpriority AS field, CAST(o_totalprice AS DOUBLE) AS score FROM orders) SELECT doc, field, pos, score FROM (SELECT *, row_number() OVER (PARTITION BY doc, field ORDER BY score DESC, pos) AS r FROM x) WHERE r = 1")
 def mapping_conflict_winner(spark, sf_dir):
     df = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("pos"), F.col("o_orderpriority").alias("field"), F.col("o_totalprice").cast("double").alias("score"))
@@ -292,4 +282,4 @@ def tally_xml_export(spark, sf_dir):
     return exports.tally_xml(line_items(spark, sf_dir))
 
 
-from . import accuracy, documents  # noqa: E402, F401 (register their queries)
+from . import accuracy, documents, tables  # noqa: E402, F401 (register their queries)

@@ -27,7 +27,7 @@ def test_expiry(spark):
     assert [y and f"{y.mmyyyy} {y.iso}" for y in values(spark, good, dates.expiry)] == list(good.values())
     assert values(spark, ["", "none", None, "13/2011", "99"], dates.expiry) == [None] * 5
     as_of = F.lit("2026-10-01").cast("date")
-    assert values(spark, ["12/2025", "12/2026", "02/2027", "12/2028", "x"], lambda c: dates.shelf_life(dates.expiry(c)["iso"], as_of)) == ["EXPIRED_STOCK", "CRITICAL", "SHORT", "OPTIMAL", "UNKNOWN_EXPIRY"]
+    assert values(spark, ["12/2025", "12/2026", "02/2027", "12/2028", "x"], lambda c: dates.shelf_life(dates.expiry(c)["iso"], as_of)) == ["EXPIRED_STOCK", "CRITICAL_SHORT_EXPIRY", "SHORT_EXPIRY_RISK", "OPTIMAL_SHELF_LIFE", "UNKNOWN_EXPIRY"]
 
 
 def test_accounting(spark):
@@ -40,7 +40,7 @@ def test_accounting(spark):
     assert [float(r.taxable_out) for r in got[:4]] == [799.20, 506.78, 900.0, 1000.0]
     assert [float(r.net_out) for r in got[:4]] == [839.16, 532.12, 945.0, 1180.0]
     assert float(got[4].rate) == 88.8 and got[5].confidence == 0.5 and got[5].status == "MATHEMATICAL_MISMATCH"
-    assert values(spark, ["30049099", "3004", "84131900", "300", ""], accounting.hsn_status) == ["STANDARD", "STANDARD", "NON_STANDARD_CHAPTER", "INVALID_FORMAT", "MISSING_HSN"]
+    assert values(spark, ["30049099", "3004", "84131900", "300", ""], accounting.hsn_status) == ["STANDARD_PHARMA_HSN", "STANDARD_PHARMA_HSN", "NON_STANDARD_CHAPTER", "INVALID_FORMAT", "MISSING_HSN"]
 
 
 def test_text(spark):
