@@ -9,8 +9,8 @@ written aside and renamed to the version's number, which fails where that exists
 old version or the new one, whole, and of two writers one gets Conflict and has to try again. Shard
 names carry the version that made them, so no two shards of a store share a name.
 
-A version is read by one scan over the folders that it uses; partition values prune the shards that
-it no longer holds. All data go through DataFrame operations; only commits and vacuum touch the file
+A version is read by one scan over the folders that it uses, joined with the names of its shards. Names of up to `PLAN_ROWS`
+shards are broadcast. All data go through DataFrame operations; only commits and vacuum touch the file
 system otherwise. Prefix sums of sizes go block by block, so that no task sees all runs.
 
 A null arrival or id goes to run -1; null texts have zero bytes. Repeated rows are kept. Texts of any
@@ -31,6 +31,8 @@ from pyspark.sql import types as T
 
 TARGET_BYTES, BASE_BYTES, FANOUT = 64 << 20, 256 << 10, 4
 BLOCK_RUNS, MOST_TASKS = 4096, 20_000
+PLAN_ROWS = 200_000
+"""Shards whose names are broadcast to the rows; more meet them by Spark's own choice of a join."""
 MANIFEST = "shard string, folder string, run long, tier int, rows long, bytes long"
 OWN = ("shard", "run", "folder")
 
@@ -159,8 +161,10 @@ class ShardStore:
     def read(self, version: int | None = None) -> DataFrame:
         """All rows of a version, with their run, folder and shard."""
         shards = self.manifest(version)
-        # the manifest is small beside the data: Spark broadcasts it while it is, and joins by shuffle beyond
-        return self._scan(shards).join(shards.select("folder", "shard"), ["folder", "shard"], "left_semi")
+        return self._scan(shards).join(self._sent(shards.select("folder", "shard"), shards.count()), ["folder", "shard"], "left_semi")
+
+    def _sent(self, small: DataFrame, rows: int) -> DataFrame:
+        return F.broadcast(small) if rows <= PLAN_ROWS else small
 
     def compact(self, target_bytes: int = TARGET_BYTES) -> int:
         """Merges runs of a tier; returns the new version (or the last, if nothing is to be done)."""
@@ -171,7 +175,7 @@ class ShardStore:
         planned = self.spark.read.schema(planned.schema).parquet(f"{self.path}/{name}")
         # each new shard gets a number, by which it has a task of its own
         bins = planned.groupBy("into", "pieces").agg(F.count("*").alias("n"))
-        shards = bins.agg(F.sum("pieces")).first()[0]
+        shards, rewritten = bins.agg(F.sum("pieces"), F.sum("n")).first()
         if not shards:
             return version - 1
         inside = Window.partitionBy("wide").orderBy("into").rowsBetween(Window.unboundedPreceding, -1)
@@ -181,7 +185,8 @@ class ShardStore:
         steps = planned.join(bins.select(F.col("into").alias("name"), (F.col("start") + F.col("first")).alias("number")), F.col("into") == F.col("name"))
         steps = steps.select("folder", "shard", F.struct("into", "pieces", "number").alias("__step"))
         tasks = min(int(shards), MOST_TASKS)
-        rows = self._scan(planned).join(steps, ["folder", "shard"])
+        # rows are shuffled once, to their new shards
+        rows = self._scan(planned).join(self._sent(steps, rewritten), ["folder", "shard"])
         piece = F.coalesce(F.pmod(F.col(self.key), F.col("__step.pieces")), F.lit(0)).cast("int")
         shard = F.when(F.col("__step.pieces") > 1, F.concat("__step.into", F.format_string(".%d", piece))).otherwise(F.col("__step.into"))
         own = [*self._schema().names, "run"]
