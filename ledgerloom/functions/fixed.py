@@ -133,3 +133,28 @@ SECTION_META = r"\b(credit note no|cr\s*no|ack date|bill time|bank details)\b"
 QUANTITY_UNIT = r"(?i)\s*(?:nos\.?|tab(?:let)?s?|caps?(?:ule)?s?|packs?|strips?|units?|['`’]s)\b.*$"
 STRENGTH = r"(\d+)\s+(MG|GM|MCG|ML|IU|G|MG/ML)\b"
 STRENGTH_UNIT = r"(?<=\d)(MG|GM|MCG|ML|IU|G)\b"
+
+# fixed values: words that make a line likely to be a supplier's name
+SUPPLIER_WORDS = ["medi", "medical", "medicare", "medihub", "pharma", "pharmaceutical", "pharmaceuticals", "logistics", "agencies", "agency", "distributors", "distributor", "distribution", "stockist", "stockists", "wholesaler", "wholesalers", "wholesale", "chemist", "chemists", "drugs", "drug", "healthcare", "health care", "enterprises", "enterprise", "trading", "traders", "stores", "mart", "medico", "medicos", "life sciences", "biosciences", "formulations", "remedies", "therapeutics", "wellness", "pharma hub", "medplus", "apollo", "retail", "suppliers", "supplier", "pvt", "private limited", "ltd", "llp", "opc"]
+
+# fixed values: labels, titles and buyers, which are no supplier's name, and marks of addresses (regular expressions)
+NOT_SUPPLIER = r"(?i)pharma\s*hubb\b|bill\s*to|ship\s*to|sold\s*to|consignee|buyer|customer|party\s*name|gst\s*invoice|tax\s*invoice|original\s*for\s*recipient|^page\s*\d|^invoice\s*(no|number|date)|^date\s*:|^gstin|^phone|^email|^mobile|^tel\.?|^dl\.?\s*no|^fssai|^due\s*date|^credit|^debit|^irn\b|^ack\b|^einvoice|^e-?invoice|^taxable|^hsn|^particulars|^description|^s\.?\s*no|^qty\b|^mrp\b|^rate\b|^amount\b|^net\s*amount|^grand\s*total|^authori[sz]ed\s*sign|\bmfgby\b|\bhsncode\b|\bproduct\s*name\b|\bbatch\s*no\b|\bc/s\s*qty\b"
+ADDRESS = r"(?i)\b(plot|street|road|road\.|rd\.|floor|flr|nagar|colony|sector|phase|block|building|bldg|near|opp\.?|beside|pin\s*:?|pincode|dist\.?|district|state|india)\b|\b\d{6}\b|@|www\.|http|\+?\d[\d\s-]{8,}"
+BARCODE_FONT = r"(?i)free\s*3\s*of\s*9|barcode|code\s*39|code128"
+BOLD_FONT = r"(?i)bold|black|heavy|semibold|demi"
+SELLER_CUT = r"(?i)\b(gst\s*invoice|tax\s*invoice|m/s\.?\s*pharma\s*hubb|m/s\.?\s*pharma|pharma\s*hubb|pharma\s*hub|original\s*for\s*recipient|inv\s*no|party\s*name|bill\s*to|ship\s*to)\b"
+
+# fixed values: how invoices print their number, date and totals (regular expressions)
+INVOICE_NUMBER = r"(?i)(?:inv(?:oice)?\s*\.?\s*no\s*\.?\s*[:-]?\s*)([A-Z0-9/-]+)"
+INVOICE_DATE = r"(?i)(?:(?:inv(?:oice)?\s*\.?\s*)?d[a|t]te?\s*\.?\s*[:-]?\s*)(\d{2}[-/\.]\d{2}[-/\.]\d{2,4}|\d{2}-[A-Za-z]{3}-\d{2,4})"
+ROUND_OFF = r"(?i)round\s*off\s*[:=]?\s*([+-]?\s*[\d,]+\.\d{2})"
+TCS = r"(?i)\btcs\s*(?:amt|amount)?\s*[:=]?\s*[₹n]?\s*([\d,]+\.\d{2})"
+SIX_TOTALS = r"(?i)\bTOTAL\s+([\d\.]+\s+[\d\.]+\s+[\d\.]+\s+[\d\.]+\s+[\d\.]+\s+[\d\.]+)"
+GRAND_TOTAL = r"(?i)(?:grand\s*total|net\s*pay(?:able)?|bill\s*amount|total\s*payable|tot\s*net|net\s*total|invoice\s*total|grand\s*\/\s*net\s*total)\s*[:=]?\s*[₹n]?\s*([\d,]+\.\d{2})"
+MESSAGE_TOTAL = r"(?i)message\s*:\s*rs\.?\s*([\d,]+(?:\.\d{2})?)"
+NET_TOTAL = r"(?i)\bNet\s*:\s*([\d,]+\.\d{2})"
+TAXABLE_TOTAL = r"(?i)(?:taxable\s*amt|taxable\s*value|taxable\s*amount|total\s*taxable|sub\s*total)\s*[:=]?\s*₹?\s*([\d,]+\.\d{2})"
+GST_TOTAL = r"(?i)(?:total\s*tax\s*(?:amt)?|total\s*gst|gst\s*amount|tax\s*amount|gst\s*tax)\s*[:=]?\s*₹?\s*([\d,]+\.\d{2})"
+
+# fixed values: dosage forms that name no product by themselves
+FORM_WORDS = ["tab", "tabs", "cap", "caps", "cream", "gel", "syp", "inj", "ml", "gm", "mg"]

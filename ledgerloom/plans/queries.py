@@ -282,4 +282,4 @@ def tally_xml_export(spark, sf_dir):
     return exports.tally_xml(line_items(spark, sf_dir))
 
 
-from . import accuracy, documents, tables  # noqa: E402, F401 (register their queries)
+from . import accuracy, documents, tables, texts  # noqa: E402, F401 (register their queries)

@@ -97,7 +97,7 @@ def test_exports(spark):
     df = spark.createDataFrame([(1, 1, "A & B", "B1", 10, 2, 5.0, 0.0, 10.0, 12.0, 0.0), (1, 2, " ", "B2", 1, 0, 1.0, 1.0, 0.0, 0.0, 1.0)], "invoice int, line_no int, item string, batch string, quantity int, free int, rate double, gross double, discount double, gst double, net double")
     [m] = exports.marg(df).collect()
     assert m.GROSS_AMOUNT == 50 and round(m.NET_AMOUNT, 2) == 50.4
-    assert "A &amp; B" in exports.tally_xml(df).first().xml and "<ACTUALQTY>12<" in exports.tally_xml(df).first().xml
+    assert "A &amp; B" in exports.tally_xml(df).first().xml and "<ACTUALQTY> 12 Nos<" in exports.tally_xml(df).first().xml
     assert '"total_received_stock":12.0' in exports.canonical_json(df).first().json
 
 
