@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fuzzy import partial, ratio, token_set, token_sort
+from ..functions.fixed import STRENGTH_UNIT
+from ..functions.fuzzy import partial, token_set, token_sort
 from ..functions.text import collapsed, drug_name
 
 
@@ -31,27 +34,63 @@ def best_alias(names: DataFrame, aliases: DataFrame) -> DataFrame:
     return ranked.select(F.col("n.name"), F.col("n.supplier"), F.col("a.item"), F.when(own, "SUPPLIER_ALIAS").otherwise("GLOBAL_ALIAS").alias("source"))
 
 
-def score(a: str, b: str) -> float:
-    """Best of the scorers; a partial match counts from 95 on."""
-    p = partial(a, b)
-    return max(ratio(a, b), token_sort(a, b), token_set(a, b), p if p >= 95 else 0.0)
+def score(raw: str, core: str, master: str, master_core: str) -> float:
+    """Best of the scorers over an item's name and its core against a master's; a partial match counts from 95 on."""
+    bare = lambda x: re.sub(STRENGTH_UNIT, "", x).strip()
+    p = partial(core, master_core)
+    units = token_sort(bare(core), bare(master_core)) if bare(core) and bare(master_core) else 0.0
+    return max(token_sort(raw.upper(), master.upper()), token_sort(core, master_core), token_set(raw.upper(), master.upper()), token_set(core, master_core), units, p if p >= 95 else 0.0)
+
+
+def fuzzy_match(names: DataFrame, masters: DataFrame, threshold: float = 75.0, block: int = 5000) -> DataFrame:
+    """Distinct names (name) against masters (code, item_name): code and match_type of the best one, and its score; the first
+    by item name and code wins among equals, and below the threshold none does.
+
+    Masters go to the names in blocks of `block`, each sent by itself, so a master list of any size is compared whole."""
+    distinct = names.select("name").where(F.trim("name") != "").distinct().select(collapsed(F.col("name")).alias("name")).distinct().withColumn("core", drug_name(F.col("name")))
+    ordered = masters.select("code", "item_name", F.upper(collapsed(F.col("item_name"))).alias("own")).orderBy("item_name", "code")
+    every, rows = None, []
 
+    def compared(part: list[tuple[int, str, str, str]]) -> DataFrame:
+        @F.pandas_udf("pos long, code string, score double")
+        def run(raw: pd.Series, core: pd.Series) -> pd.DataFrame:
+            out = []
+            for n, c in zip(raw, core):
+                s, at, code = max((score(n, c, m, own), -k, x) for k, x, m, own in part)
+                out.append((-at, code, s))
+            return pd.DataFrame(out, columns=["pos", "code", "score"])
 
-def fuzzy_match(names: DataFrame, masters: list[tuple[str, str]], threshold: float = 75.0, most: int = 5000) -> DataFrame:
-    """Distinct names against a master list of at most `most` (code, name): best code and score.
+        return distinct.withColumn("m", run("name", "core")).select("name", "core", "m.*")
 
-    The first of equals wins. names: name."""
-    if len(masters) > most:
-        raise ValueError(f"a master list of over {most} items needs a blocking key")
-    ready = [(code, name) for code, name in masters]
+    for k, r in enumerate(ordered.toLocalIterator()):
+        rows.append((k, r.code, r.item_name, r.own))
+        if len(rows) == block:
+            every = compared(rows) if every is None else every.unionByName(compared(rows))
+            rows = []
+    if rows:
+        every = compared(rows) if every is None else every.unionByName(compared(rows))
+    if every is None:
+        return distinct.withColumns({"code": F.lit(None).cast("string"), "score": F.lit(0.0), "match_type": F.lit("UNRESOLVED")})
+    best = every.groupBy("name", "core").agg(F.max(F.struct("score", (-F.col("pos")).alias("p"), "code")).alias("x")).select("name", "core", "x.score", "x.code")
+    kind = F.when(F.col("score") >= 99, "EXACT_NAME_MATCH").when(F.col("score") >= threshold, "FUZZY_MATCH").otherwise("UNRESOLVED")
+    return best.select("name", "core", F.when(F.col("score") >= threshold, F.col("code")).alias("code"), F.round("score", 1).alias("score"), kind.alias("match_type"))
 
-    @F.pandas_udf("code string, score double")
-    def run(x: pd.Series) -> pd.DataFrame:
-        rows = []
-        for n in x:
-            found = max(((score(n, m), -i, c) for i, (c, m) in enumerate(ready)), default=(0.0, 0, None)) if n else (0.0, 0, None)
-            rows.append((found[2] if found[0] >= threshold else None, found[0]))
-        return pd.DataFrame(rows, columns=["code", "score"])
 
-    distinct = names.select(drug_name(F.col("name")).alias("core"), "name").distinct()
-    return distinct.withColumn("m", run("core")).select("name", "core", "m.code", "m.score")
+def resolve_items(rows: DataFrame, aliases: DataFrame, masters: DataFrame, threshold: float = 75.0) -> DataFrame:
+    """rows with name and supplier -> with code, match_type and match_score: by an alias of the name, else of its core
+    (the supplier's own before others'), else by likeness to a master. aliases: alias, supplier, item (a code),
+    confidence, matches; a blank name is unresolved with score 0."""
+    keys = rows.select("name", "supplier").distinct().withColumn("core", drug_name(F.col("name")))
+    tried = keys.select("name", "supplier", F.explode(F.array(F.struct(F.lit(0).alias("tier"), F.col("name").alias("key")), F.struct(F.lit(1).alias("tier"), F.col("core").alias("key")))).alias("t")).select("name", "supplier", "t.*")
+    a = aliases.alias("a")
+    met = tried.alias("t").join(a, F.upper(collapsed(F.col("t.key"))) == F.upper(collapsed(F.col("a.alias"))))
+    own = F.coalesce(F.col("t.supplier") == F.col("a.supplier"), F.lit(False))
+    order = F.struct(-F.col("t.tier"), own, F.when(own, F.col("a.confidence")), F.when(own, F.col("a.matches")), F.col("a.matches"), F.col("a.confidence"))
+    found = met.groupBy("t.name", "t.supplier").agg(F.max(F.struct(order.alias("o"), F.col("a.item").alias("item"), F.col("a.confidence").alias("c"), own.alias("own"))).alias("x"))
+    left = keys.join(found.select("name", "supplier"), (keys["name"] == found["name"]) & keys["supplier"].eqNullSafe(found["supplier"]), "left_anti").select("name").distinct()
+    like = fuzzy_match(left, masters, threshold).select(F.col("name").alias("__name"), F.col("code").alias("__code"), "score", F.col("match_type").alias("__type"))
+    by_alias = found.select(F.col("name").alias("__n"), F.col("supplier").alias("__s"), "x")
+    out = rows.join(by_alias, (F.col("name") == F.col("__n")) & F.col("supplier").eqNullSafe(F.col("__s")), "left").join(like, collapsed(F.col("name")) == F.col("__name"), "left")
+    has = F.col("x").isNotNull()
+    kind = F.when(has & F.col("x.own"), "SUPPLIER_ALIAS").when(has, "GLOBAL_ALIAS").otherwise(F.coalesce("__type", F.lit("UNRESOLVED")))
+    return out.select(*rows.columns, F.when(has, F.col("x.item")).otherwise(F.col("__code")).alias("code"), kind.alias("match_type"), F.when(has, F.round(F.col("x.c") * 100, 1)).otherwise(F.coalesce("score", F.lit(0.0))).alias("match_score"))

@@ -215,11 +215,27 @@ def alias_top1(spark, sf_dir):
 MASTERS = [("MED-1001", "AMARYL 1MG"), ("MED-1003", "TELMA 40MG"), ("MED-1009", "DOLO 650"), ("MED-1011", "PAN D"), ("MED-1012", "AUGMENTIN 625"), ("MED-1013", "AZITHRAL 500MG")]
 
 
-@query(None)
+_NAMES = {0: ("AMARYL 1MG STRIP", "MED-1001"), 1: ("TELMA 40 TABLETS (1X15)", "MED-1003"), 2: ("DOLO 650 TABLET", "MED-1009"), 3: ("PAN-D CAPSULE", "MED-1011")}
+
+
+@query("WITH n AS (SELECT DISTINCT CASE p_partkey % 6 " + " ".join(f"WHEN {k} THEN '{n}'" for k, (n, _) in _NAMES.items()) + " ELSE p_name END AS name FROM part) SELECT name, CASE name " + " ".join(f"WHEN '{n}' THEN '{c}'" for n, c in _NAMES.values()) + " END AS code, CASE WHEN name IN ('DOLO 650 TABLET', 'AMARYL 1MG STRIP', 'PAN-D CAPSULE', 'TELMA 40 TABLETS (1X15)') THEN 'EXACT_NAME_MATCH' ELSE 'UNRESOLVED' END AS match_type FROM n")
 def fuzzy_master_match(spark, sf_dir):
     k = F.col("p_partkey") % 6
-    n = F.when(k == 0, "AMARYL 1MG STRIP").when(k == 1, "TELMA 40 TABLETS (1X15)").when(k == 2, "DOLO 650 TABLET").when(k == 3, "PAN-D CAPSULE").otherwise(F.col("p_name"))
-    return identities.fuzzy_match(table(spark, sf_dir, "part").select(n.alias("name")), MASTERS)
+    n = F.col("p_name")
+    for at, (name, _) in _NAMES.items():
+        n = F.when(k == at, name).otherwise(n)
+    masters = spark.createDataFrame(MASTERS, "code string, item_name string")
+    return identities.fuzzy_match(table(spark, sf_dir, "part").select(n.alias("name")), masters).select("name", "code", "match_type")
+
+
+@query("WITH p AS (SELECT p_partkey, p_partkey % 4 AS k, p_partkey % 3 AS supplier FROM part) SELECT p_partkey, CASE k WHEN 0 THEN CASE WHEN supplier = 1 THEN 'MED-1001' ELSE 'MED-1003' END WHEN 1 THEN 'MED-1009' WHEN 2 THEN 'MED-1011' END AS code, CASE k WHEN 0 THEN CASE WHEN supplier = 1 THEN 'SUPPLIER_ALIAS' ELSE 'GLOBAL_ALIAS' END WHEN 1 THEN 'EXACT_NAME_MATCH' WHEN 2 THEN 'GLOBAL_ALIAS' ELSE 'UNRESOLVED' END AS match_type FROM p")
+def item_resolution(spark, sf_dir):
+    k = F.col("p_partkey") % 4
+    name = F.when(k == 0, "TL40 TAB 15S").when(k == 1, "DOLO 650 TABLET").when(k == 2, "PANTOX  TABLETS").otherwise("  ")
+    rows = table(spark, sf_dir, "part").select("p_partkey", name.alias("name"), (F.col("p_partkey") % 3).cast("int").alias("supplier"))
+    aliases = spark.createDataFrame([("TL40 TAB 15S", 1, "MED-1001", 0.9, 1), ("TL40 TAB 15S", None, "MED-1003", 1.0, 5), ("PANTOX", None, "MED-1011", 1.0, 1)], "alias string, supplier int, item string, confidence double, matches int")
+    masters = spark.createDataFrame(MASTERS, "code string, item_name string")
+    return identities.resolve_items(rows, aliases, masters).select("p_partkey", "code", "match_type")
 
 
 @query(", m AS (SELECT part, flag, row_number() OVER (PARTITION BY part ORDER BY shipped, invoice, line_no, supplier, quantity) AS seq, CASE WHEN flag = 'R' THEN -quantity ELSE quantity + free END AS delta FROM lines), s AS (SELECT *, max(CASE WHEN delta > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY part ORDER BY seq) AS started FROM m), t AS (SELECT *, sum(delta) OVER (PARTITION BY part ORDER BY seq) AS s FROM s WHERE started = 1), b AS (SELECT *, s + greatest(0, max(-s) OVER (PARTITION BY part ORDER BY seq)) AS balance FROM t) SELECT part, CAST(max_by(balance, seq) AS DOUBLE) AS stock, count(*) AS n_moves FROM b GROUP BY part")

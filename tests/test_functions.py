@@ -82,7 +82,7 @@ def test_fuzzy(spark):
         assert fuzzy.common(a, b) == slow(a, b)
     assert fuzzy.token_sort("b a", "a b") == 100 and fuzzy.token_set("TELMA 40", "TELMA 40 MG") == 100 and fuzzy.partial("abc", "xxabcxx") == 100
     df = spark.createDataFrame([("AMARYL 1MG STRIP",), ("TELMA 40MG TAB",), ("DOLO 650 TABLET",), ("zzz",)], "name string")
-    got = {r.name: r.code for r in identities.fuzzy_match(df, MASTERS).collect()}
+    got = {r.name: r.code for r in identities.fuzzy_match(df, spark.createDataFrame(MASTERS, 'code string, item_name string'), block=2).collect()}
     assert got == {"AMARYL 1MG STRIP": "MED-1001", "TELMA 40MG TAB": "MED-1003", "DOLO 650 TABLET": "MED-1009", "zzz": None}
     one = spark.createDataFrame([(["a", "b", "c"], ["a", "c", "d"]), ([], ["a"])], "x array<string>, y array<string>").select(fuzzy.header_similarity(F.col("x"), F.col("y")).alias("s")).collect()
     assert [r.s for r in one] == [0.667, 0.0]
