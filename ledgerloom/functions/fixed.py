@@ -158,3 +158,20 @@ GST_TOTAL = r"(?i)(?:total\s*tax\s*(?:amt)?|total\s*gst|gst\s*amount|tax\s*amoun
 
 # fixed values: dosage forms that name no product by themselves
 FORM_WORDS = ["tab", "tabs", "cap", "caps", "cream", "gel", "syp", "inj", "ml", "gm", "mg"]
+
+# fixed values: words of table headers, in letters, digits and the signs % . /
+HEADER_VOCABULARY = [
+    "sno", "s.no", "sr", "sr.no", "sn", "sl", "slno", "s", "item", "code", "mfg", "mfgby", "mfr", "make", "mfg.", "product", "productname", "description", "itemdescription", "particulars", "name", "pack", "packing", "pk", "pkg", "unit", "boxs", "case", "size",
+    "hsn", "hsncode", "hsn/sac", "sac", "batch", "batchno", "batch.no", "lot", "b.no", "bno", "exp", "expiry", "exp.", "expdate", "e.x.p", "dt", "date", "mrp", "m.r.p", "m.r.p.", "ptr", "p.t.r", "p.t.r.", "pts", "p.t.s", "rate", "price", "unitprice", "pur.rate",
+    "qty", "quantity", "billed", "free", "freeqty", "fr", "sch", "scheme", "f.qty", "b.qty", "disc", "disc%", "discount", "dis", "dis%", "sch%", "cd", "cd%", "td", "td%", "taxable", "taxableval", "taxablevalue", "taxableamt", "baseamt", "value",
+    "gst", "gst%", "cgst", "cgst%", "sgst", "sgst%", "igst", "igst%", "tax", "tax%", "amount", "amt", "net", "netamt", "netamount", "total", "val", "gross", "old", "r.mar", "mktby", "rack",
+]
+
+# fixed values: marks of lines that are no table header (regular expressions)
+META_KEY = r"(?i)\b(phone|ph|ph\.no|contact|email|dlno|dl|d\.l|d\.l\.no|lic|licence|license|foodlic|fssai|gstin|pan|irn|irnno|ack|ackno|ack\s*dt|cin|tan|invno|inv\s*no|invoice\s*no|inv\s*date|invoice\s*date|date|time|page|page\s*no|remby|repname|sales\s*man|sales\s*exec|salesman|route|veh|vehicle|order|po\s*no|cust|customer|buyer|consignee|patient|doctor|dr)\s*[:.]"
+PAGE_NUMBER = r"(?i)(\bpage\s*(no|no\.)?\s*[:.]?\s*\d+\s*(of|/)\s*\d+|\bpage\s*[:.]?\s*\d+|\b\d+\s*/\s*\d+\b)"
+PHONE_NUMBER = r"\b\d{10}\b|\b\d{3,5}[-\s]?\d{6,8}\b|\b\d{10}/\d{10}\b"
+STREET_WORDS = r"(?i)\b(road|street|mandal|dist|floor|beside|near|opp|colony|nagar|bazar|market|complex|building|shop|pincode|state\s*code|state|telangana|andhra|hyderabad|mumbai|delhi|bangalore|chennai)\b"
+SUBTOTAL_WORDS = r"(?i)\b(total|b/?f|c/?f|brought|carried|subtotal|balance|contd|continued)\b"
+PAGE_END = ["bank", "terms", "condition", "signatory", "authorised", "authorized", "subtotal", "sub-total", "continue", "continued", "contd", "outstanding", "declaration"]
+NUMERIC_FIELDS = ["rate", "mrp", "amount", "taxableAmount", "netAmount", "quantity", "freeQuantity", "discountPercent", "gstPercent", "hsnCode"]

@@ -5,6 +5,8 @@ pages without columns are left out; nulls in a coordinate leave a word without a
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,24 @@ NUMERIC = ["rate", "mrp", "amount", "taxableAmount", "netAmount", "quantity", "f
 PAGE = ["doc", "page"]
 
 
+def affinity_of(text: str, x0: float, x1: float, field: str | None, c0: float, c1: float) -> float:
+    """_affinity() of one word against one column."""
+    width, middle = max(0.5, x1 - x0), (x0 + x1) / 2
+    inside, away = c0 <= middle <= c1, abs(middle - (c0 + c1) / 2)
+    t, field = text.strip(), field or ""
+    digits, words = re.fullmatch(r"[-+]?\d+(\.\d+)?%?", t), re.fullmatch(r"[A-Za-z\s()/+-]+", t)
+    kind = 0
+    if words and width > 25 and (field in NUMERIC or field == "itemName"):
+        kind = 20 if field == "itemName" else -40
+    elif digits and (field in NUMERIC or field == "hsnCode"):
+        kind = 15
+    elif digits and field == "itemName" and not inside:
+        kind = -15
+    pull = max(0.0, 12 - away * 0.25) if digits and not inside and away < 40 else 0.0
+    dated = 25 if field == "expiryDate" and re.fullmatch(r"\d{1,2}[/.-]\d{2,4}", t) else 0
+    return max(0.0, min(x1, c1) - max(x0, c0)) / width * 60 + 30 * inside - away * 0.15 + pull + kind + dated
+
+
 def _affinity(w: Column, c: Column) -> Column:
     """Overlap, centre and kind of a word against a column; structs with x0, x1, text or field."""
     width = F.greatest(F.lit(0.5), w["x1"] - w["x0"])

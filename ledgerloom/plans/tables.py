@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import accounting
-from ..operators import headers, invoices, rows, state
+from ..operators import headers, invoices, pages, rows, state
 from .lines import line_items, table
 from .queries import doubles, query
 
@@ -176,3 +176,24 @@ def _ingested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query("WITH z AS (SELECT 1) SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'a') OR contains(lower(p_brand), 'a') ORDER BY p_name, p_partkey LIMIT 100")
 def master_listing(spark, sf_dir):
     return state.listing(table(spark, sf_dir, "part"), [F.asc("p_name"), F.asc("p_partkey")], 100, "A", ("p_name", "p_brand")).select("p_partkey", "p_name")
+
+
+# ---- pages
+
+_HEADS = [("Product", 30, 70), ("Name", 74, 100), ("Batch", 200, 230), ("Exp", 260, 280), ("Qty", 300, 320), ("Ra", 350, 362), ("te", 363, 372), ("Amount", 430, 470)]
+_CELL_AT = [30, 200, 258, 305, 345, 432]
+
+
+@query("WITH z AS (SELECT p_partkey // 20 AS doc, row_number() OVER (PARTITION BY p_partkey // 20 ORDER BY p_partkey) - 1 AS row_no, 'DRUG' || CAST(p_partkey AS VARCHAR) || '|B' || CAST(p_size AS VARCHAR) || '|' || lpad(CAST(p_size % 12 + 1 AS VARCHAR), 2, '0') || '/' || CAST(24 + p_size % 5 AS VARCHAR) || '|' || CAST(p_size AS VARCHAR) || '|' || CAST(CAST(p_retailprice AS DECIMAL(10,2)) AS VARCHAR) || '|' || CAST(CAST(round(CAST(p_retailprice AS DECIMAL(10,2)) * p_size, 2) AS DECIMAL(18,2)) AS VARCHAR) AS cells FROM part) SELECT doc, row_no, cells, 'itemName|batchNo|expiryDate|quantity|rate|amount' AS fields FROM z")
+def coordinate_tables(spark, sf_dir):
+    """Parts on pages of twenty, as words with coordinates, read back as rows under fields."""
+    k, size, price = F.col("p_partkey"), F.col("p_size"), F.col("p_retailprice").cast("decimal(10,2)")
+    cells = [F.concat(F.lit("DRUG"), k.cast("string")), F.concat(F.lit("B"), size.cast("string")), F.concat(F.lpad((size % 12 + 1).cast("string"), 2, "0"), F.lit("/"), (24 + size % 5).cast("string")), size.cast("string"), price.cast("string"), F.round(price * size, 2).cast("decimal(18,2)").cast("string")]
+    y = (k % 20 * 14 + 120).cast("double")
+    word = lambda t, x0, x1, top: F.struct(t.alias("text"), x0.cast("double").alias("x0"), x1.cast("double").alias("x1"), top.cast("double").alias("top"), (top + 8).cast("double").alias("bottom"))
+    part = table(spark, sf_dir, "part").select(F.floor(k / 20).alias("doc"), F.lit(1).alias("page"), *(c.alias(f"c{n}") for n, c in enumerate(cells)), y.alias("y"))
+    body = part.select("doc", "page", F.explode(F.array(*(word(F.col(f"c{n}"), F.lit(x), F.lit(x) + F.length(f"c{n}") * 5, F.col("y")) for n, x in enumerate(_CELL_AT)))).alias("w"))
+    sheets = part.select("doc", "page").distinct().select("doc", "page", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"))
+    head = sheets.select("doc", "page", F.explode(F.array(*(word(F.lit(t), F.lit(a), F.lit(b), F.lit(100.0)) for t, a, b in _HEADS))).alias("w"))
+    got = pages.page_rows(body.unionByName(head).select("doc", "page", "w.*"), sheets)
+    return got.select("doc", F.col("row_no").cast("long").alias("row_no"), F.array_join("cells", "|").alias("cells"), F.array_join("fields", "|").alias("fields"))
