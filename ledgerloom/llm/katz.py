@@ -43,6 +43,8 @@ from ._arrays import LOWER, WHITE, blocks, mix, words
 from ._cluster import Scratch, partitions
 
 CUTOFF, CHUNK_TOKENS, HOT, SALTS = 5, 1 << 20, 256, 32
+BUCKET_TOKENS = 8 << 20
+"""Tokens for each bucket, which one call holds: there are more buckets than shuffle partitions where these are too few."""
 END = np.uint64(0)
 BEGIN, OTHERS, FIRST = 0, 1, 2
 """Numbers of a text's beginning, the class of others and the first word."""
@@ -401,8 +403,8 @@ def _send_pairs(m: Model, buckets: int):
 def train(scratch: Scratch, docs: DataFrame, vocabulary: int | None, cutoff: int, chunk_tokens: int) -> tuple[DataFrame, DataFrame, DataFrame, Model, int]:
     """(chunks, answers on words, counted bigrams, model, buckets). docs: id, text, held."""
     spark = docs.sparkSession
-    buckets = partitions(spark)
     chunks = scratch.save(docs.mapInArrow(_chunks(chunk_tokens), CHUNK), "chunks")
+    buckets = max(partitions(spark), chunks.count() * chunk_tokens // BUCKET_TOKENS)
     counted = _counted(scratch, chunks.mapInArrow(_send_words(buckets), SENT), buckets, "words")
     repeats = _repeats(counted)
     m = Model(sum(r * n for r, n in repeats.items()), sum(repeats.values()))
