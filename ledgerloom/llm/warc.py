@@ -70,9 +70,16 @@ def parse(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     return own, dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:]), payload
 
 
+def file_system(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a shared folder and the path in it; S3's schemes of Hadoop are read as s3."""
+    if folder.startswith(("s3a://", "s3n://")):
+        folder = "s3://" + folder.split("://", 1)[1]
+    return fs.FileSystem.from_uri(folder)
+
+
 def _write(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, root = fs.FileSystem.from_uri(folder)
+        where, root = file_system(folder)
         where.create_dir(root, recursive=True)
         task, part = TaskContext.get(), 0
         out = at = None
@@ -136,7 +143,7 @@ def read_archives(index: DataFrame, folder: str, range_bytes: int = RANGE_BYTES,
     ranges = ranges.groupBy("file", "range").agg(F.array_sort(F.collect_list(F.struct("offset", "length"))).alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, root = fs.FileSystem.from_uri(folder)
+        where, root = file_system(folder)
         for batch in batches:
             for file, at in zip(batch.column("file").to_pylist(), batch.column("at").to_pylist()):
                 rows, begin = [], at[0]["offset"]
