@@ -89,22 +89,22 @@ def sieve(names: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def hot(counted: DataFrame, key: str, n: str, total: int, parts: int = 1000) -> DataFrame:
-    """The keys that hold a share of over 1 / parts of the total (and over 64): at most `parts` rows."""
-    return counted.where(F.col(n) > max(64, total // parts)).select(key)
+def hot(counted: DataFrame, key: str, n: str, total: int, parts: int = 1000) -> list:
+    """The keys that hold a share of over 1 / parts of the total (and over 64): fewer than `parts`, whatever the input."""
+    return [r[0] for r in counted.where(F.col(n) > max(64, total // parts)).select(key).collect()]
 
 
 SALTS = 32
 
 
-def join_salted(many: DataFrame, few: DataFrame, key: str, frequent: DataFrame, spread: str) -> DataFrame:
+def join_salted(many: DataFrame, few: DataFrame, key: str, frequent: list, spread: str) -> DataFrame:
     """many joined with few by key, which few has once; rows of frequent keys are dealt to SALTS parts by
-    the column `spread`. frequent: a bounded number of keys, which are broadcast."""
-    frequent = F.broadcast(frequent.select(key, F.lit(True).alias("__hot")))
-    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0).cast("int")
-    left = many.join(frequent, key, "left").withColumn("__salt", salt).drop("__hot")
-    salts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right = few.join(frequent, key, "left").withColumn("__salt", F.explode(salts)).drop("__hot")
+    the column `spread`."""
+    if not frequent:
+        return many.join(few, key)
+    often = F.col(key).isin(frequent)
+    left = many.withColumn("__salt", F.when(often, F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0).cast("int"))
+    right = few.withColumn("__salt", F.explode(F.when(often, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     return left.join(right, [key, "__salt"]).drop("__salt")
 
 

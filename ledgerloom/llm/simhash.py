@@ -264,6 +264,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     own = [F.col("c").alias(group)] if group else []
     named = scratch.save(named.join(least, "c").select(F.col("f").alias("fingerprint"), "component_id", *own), "named")
     # documents of a frequent fingerprint, such as empty ones, are spread by their row
-    often = hot(prints, "f", "n", marked.count()).select(F.col("f").alias("fingerprint"))
+    often = hot(prints, "f", "n", marked.count())
     rows = marked.withColumn("__row", F.monotonically_increasing_id())
     return join_salted(rows, named, "fingerprint", often, "__row").select("doc_id", *also, "fingerprint", "component_id", *([group] if group else []))
