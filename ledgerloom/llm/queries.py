@@ -106,6 +106,12 @@ def minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import mine
+
+    return mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding,
     "op2_line_dedup": line_dedup,
@@ -119,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": toxicity,
     "op11_source_divergence": source_divergence,
     "op12_minhash": minhash,
+    "op13_collocations": collocations,
 }
 
 SQL: dict[str, str] = {
@@ -180,4 +187,17 @@ e AS (SELECT a, b FROM o JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * k >
 t AS (SELECT r AS a, r AS b FROM d UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a),
 c AS (SELECT t.a AS r, min(x.doc_id) AS component_id FROM t JOIN d x ON x.r = t.b GROUP BY t.a)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM d JOIN c USING (r) LEFT JOIN n USING (r)""",
+    "op13_collocations": r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+g AS (SELECT lang, k, w[i:i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest(range(1, 5)) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, g, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, g, f AS a FROM f WHERE k > 1 AND f >= 30),
+i AS (SELECT lang, g[s:s + m - 1] AS g, max(a) AS most FROM (SELECT c.*, m, unnest(range(1, k - m + 2)) AS s FROM c, (SELECT unnest([2, 3]) AS m) WHERE m < k) GROUP BY ALL),
+l AS (SELECT c.* FROM c LEFT JOIN i ON i.lang = c.lang AND i.g = c.g WHERE most IS NULL OR 100 * most < 80 * a),
+u AS (SELECT l.lang, l.g, l.k, a, x.cut, b.f AS l, e.f AS r, (2000000::HUGEINT * a) // (b.f + e.f) AS score FROM l JOIN (SELECT unnest(range(1, 4)) AS cut) x ON cut < l.k JOIN f b ON b.lang = l.lang AND b.g = l.g[1:cut] JOIN f e ON e.lang = l.lang AND e.g = l.g[cut + 1:]),
+b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+o AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, CAST(score AS BIGINT) AS score FROM b)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) QUALIFY rank <= 2000""",
 }
