@@ -43,7 +43,7 @@ from ._arrays import LOWER, blocks, words
 from ._cluster import Scratch, hot, join_salted, partitions
 
 LEAST_DOCS, TOP = 3, 200
-HELD_RUNS, HELD_BYTES = 1 << 20, 64 << 20
+HELD_RUNS, HELD_BYTES = 1 << 19, 24 << 20
 """Runs that a task holds before it sends them."""
 SMALL_GROUPS = 50_000
 """Groups up to which their sums are broadcast; more are joined."""
@@ -83,58 +83,59 @@ def _strings(buf: np.ndarray, keep: np.ndarray, size: np.ndarray) -> pa.Array:
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of (lang, term, source) over what the task holds; documents are whole in it."""
-    names = [x.split()[0] for x in RUN.split(", ")]
-    kinds = pa.schema([("lang", pa.string()), ("term", pa.string()), ("source", pa.string()), ("document", pa.int64()), ("docs", pa.int64()), ("n", pa.int64())])
+    names = ["group", "term", "document", "docs", "n"]
+    kinds = pa.schema([("group", pa.int32()), ("term", pa.large_string()), ("document", pa.int64()), ("docs", pa.int64()), ("n", pa.int64())])
+    groups: dict[tuple[str, str], int] = {}
     held: list[pa.Table] = []
     size = space = 0
 
     def added() -> pa.Table:
-        t = pa.concat_tables(held).group_by(["lang", "term", "source"], use_threads=False).aggregate([("document", "min"), ("docs", "sum"), ("n", "sum")])
-        return t.rename_columns(names)
+        t = pa.concat_tables(held)
+        held.clear()
+        t = t.group_by(["group", "term"], use_threads=False).aggregate([("document", "min"), ("docs", "sum"), ("n", "sum")]).rename_columns(names)
+        pa.default_memory_pool().release_unused()
+        return t
+
+    def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        by = list(groups)
+        lang, source = pa.array([x[0] for x in by], pa.string()), pa.array([x[1] for x in by], pa.string())
+        for b in t.to_batches(max_chunksize=1 << 15):
+            g = b.column("group")
+            yield pa.RecordBatch.from_arrays([lang.take(g), b.column("term").cast(pa.string()), source.take(g), *b.columns[2:]], names=[x.split()[0] for x in RUN.split(", ")])
 
     for batch in batches:
+        own = [groups.setdefault(x, len(groups)) for x in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist())]
+        own, documents = np.array(own, np.int64), batch.column("document").to_numpy()
         for rows, buf, at in blocks(batch):
-            part = batch.slice(rows.start, rows.stop - rows.start)
             low = LOWER[buf]
             found = words(low, at, LETTERS)
             if not len(found.start):
                 continue
             coded = _strings(low, LETTERS[low], found.end - found.start).dictionary_encode()
             term, doc = coded.indices.to_numpy().astype(np.int64), found.text_of()
-            m = len(part)
+            m = rows.stop - rows.start
             each, n = np.unique(term * m + doc, return_counts=True)
-            group = pa.StructArray.from_arrays([part.column("lang"), part.column("source")], ["lang", "source"])
-            keys, code = np.unique([f"{len(x['lang'])} {x['lang']}{x['source']}" for x in group.to_pylist()], return_inverse=True)
-            first = np.full(len(keys), m, np.int64)
-            np.minimum.at(first, code, np.arange(m))
-            run = (each // m) * len(keys) + code[each % m]
+            run = (each // m) << 32 | own[rows][each % m]
             order = np.argsort(run, kind="stable")
             run, place, n = run[order], (each % m)[order], n[order]
             cut = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
             docs = np.diff(np.append(cut, len(run)))
-            owner = pa.array(first[run[cut] % len(keys)])
-            held.append(
-                pa.table(
-                    [
-                        part.column("lang").take(owner).cast(pa.string()),
-                        coded.dictionary.take(pa.array(run[cut] // len(keys))).cast(pa.string()),
-                        part.column("source").take(owner).cast(pa.string()),
-                        pa.array(part.column("document").to_numpy()[place[cut]]),
-                        pa.array(docs),
-                        pa.array(np.add.reduceat(n, cut)),
-                    ],
-                    schema=kinds,
-                )
-            )
+            group = pa.array((run[cut] & 0xFFFFFFFF).astype(np.int32))
+            held.append(pa.table([group, coded.dictionary.take(pa.array(run[cut] >> 32)), pa.array(documents[rows][place[cut]]), pa.array(docs), pa.array(np.add.reduceat(n, cut))], schema=kinds))
             size, space = size + len(cut), space + held[-1].nbytes
             if size > HELD_RUNS or space > HELD_BYTES:
-                held = [added()]
+                held.append(added())
                 size, space = held[0].num_rows, held[0].nbytes
                 if size > HELD_RUNS // 2 or space > HELD_BYTES // 2:
-                    yield from held[0].to_batches(max_chunksize=1 << 16)
-                    held, size, space = [], 0, 0
+                    yield from out(held.pop())
+                    size = space = 0
+        if len(groups) > 1 << 20:  # very many groups: forget them with what was held
+            if held:
+                yield from out(added())
+                size = space = 0
+            groups.clear()
     if held:
-        yield from added().to_batches(max_chunksize=1 << 16)
+        yield from out(added())
 
 
 def _changes(*columns: pa.ChunkedArray) -> np.ndarray:
