@@ -175,3 +175,42 @@ STREET_WORDS = r"(?i)\b(road|street|mandal|dist|floor|beside|near|opp|colony|nag
 SUBTOTAL_WORDS = r"(?i)\b(total|b/?f|c/?f|brought|carried|subtotal|balance|contd|continued)\b"
 PAGE_END = ["bank", "terms", "condition", "signatory", "authorised", "authorized", "subtotal", "sub-total", "continue", "continued", "contd", "outstanding", "declaration"]
 NUMERIC_FIELDS = ["rate", "mrp", "amount", "taxableAmount", "netAmount", "quantity", "freeQuantity", "discountPercent", "gstPercent", "hsnCode"]
+
+# fixed values: header texts of each column of stated tables, in order of precedence
+STATED_ALIASES = {
+    "line_number": ["S.", "S.NO", "SR.", "SL", "SL.NO", "ITEM NO"],
+    "billed_qty": ["QTY", "QUANTITY", "BILLED", "BILLED QTY", "B.QTY", "QTY.", "B QTY", "QTY+FREE PACK", "SALE QTY"],
+    "free_qty": ["FREE", "SCHEME", "SCH", "F.QTY", "FREE QTY", "SCM", "FR.QTY", "F QTY"],
+    "mfg": ["MFG", "MFGBY", "MFR", "MFAC", "MFAC/RACK", "MKT BY", "MFR.", "COMPANY"],
+    "rack": ["RACK", "RACK NO", "RACK/NO", "SHELF"],
+    "pack": ["PACK", "PKG", "BOXS", "PACKING", "UNIT", "PK"],
+    "product_name": ["PRODUCT NAME", "ITEM DESCRIPTION", "DESCRIPTION", "PARTICULARS", "ITEM NAME", "PRODUCT", "ITEM"],
+    "hsn_code": ["HSN", "HSNCODE", "HSN/SAC", "HSN CODE", "HSN NO", "SAC"],
+    "batch_number": ["BATCH", "BATCH NO", "BATCH NO.", "B.NO", "B.NO.", "LOT", "LOT NO"],
+    "expiry_date": ["EXP", "EXPIRY", "EXP DT", "EXP.DATE", "EXP. DT", "E.X.P", "EXP DATE", "EXPIRY DATE", "E.X", "EX"],
+    "mrp": ["MRP", "M.R.P", "M.R.P.", "M. R. P."],
+    "ptr": ["PTR", "P.T.R", "P.T.R.", ".P P.T", "P PT", "P.T"],
+    "rate": ["RATE", "PUR.RATE", "P.RATE", "PRICE", "UNIT RATE", "P RATE", ".R RA", "R RA", "R.RA"],
+    "discount": ["DISC", "DIS", "DIS%", "DISCOUNT", "SCH.DISC", "DIS.AMT", "LESS", "SCH DISC", "DIS AMT", "UNT D", "UNT.D"],
+    "taxable_amount": ["AMOUNT", "TAXABLE", "TAXABLE AMT", "ASS.VAL", "ASS VAL", "AMT", "VALUE", "TAXABLE VALUE", "NET AMOUNT", "TE AMO", "TE.AMO"],
+    "gst_rate": ["GST", "GST%", "GST RATE", "TAX%", "TAX RATE", "ISC GST", "ISCGST"],
+    "cgst_rate": ["CGST%", "CGST %"],
+    "sgst_rate": ["SGST%", "SGST %"],
+    "cgst_amount": ["CGST", "CGST AMT", "CGST PAYBLE", "CGST AMOUNT"],
+    "sgst_amount": ["SGST", "SGST AMT", "SGST PAYBLE", "SGST AMOUNT"],
+    "igst_amount": ["IGST", "IGST AMT", "IGST AMOUNT"],
+    "net_amount": ["NET", "NET AMOUNT", "NET VALUE", "TOTAL", "NET AMT", "NET VAL", "TOTAL VALUE"],
+}
+
+# fixed values: columns of which a stated table's header names two, GST rates as printed, and what lines of no goods say
+STATED_ESSENTIALS = ["product_name", "billed_qty", "batch_number", "rate", "mrp", "taxable_amount"]
+PRINTED_SLABS = ["5", "5.0", "5.00", "12", "12.0", "18", "18.0", "28", "28.0"]
+NO_STATED_ITEM = ["MFAC/", "ITEM DESCRIPTION", "QUANTITY", "BILLED", "SUB TOTAL", "TAXABLE", "TOTAL BILLS", "AMOUNT IN WORDS", "ROUND OFF", "BANK NAME"]
+
+# fixed values: labels of a stated document's figures (regular expressions)
+STATED_GSTIN = r"\b\d{2}[A-Z]{5}\d{4}[A-Z]{1}[1-9A-Z]{1}Z[0-9A-Z]{1}\b"
+STATED_NUMBER = r"(?i)(?:Inv(?:oice)?\s*No\.?|Tax\s*Inv\.No\.?)\s*[:.-]?\s*([A-Za-z0-9\/-]+)"
+STATED_DATE = r"(?i)(?:Inv(?:oice)?\s*Date|Date)\s*[:.-]?\s*(\d{1,2}[-\/][A-Za-z0-9]{2,3}[-\/]\d{2,4})"
+STATED_TOTAL = r"(?i)(?:Grand\s*Total|NETAmount|Net\s*Amount|Net\s*Payable|Bill\s*Amount)\s*[:.-]?\s*(?:Rs\.?)?\s*([0-9,]+\.\d{2})"
+STATED_ROUND_OFF = r"(?i)Round\s*off\s*[:.-]?\s*([0-9.-]+)"
+STATED_TAX = r"(?i)(?:Total\s*Tax\s*Amt\.?|Total\s*GST)\s*[:.-]?\s*([0-9,]+\.\d{2})"

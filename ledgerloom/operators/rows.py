@@ -78,7 +78,9 @@ def filled(cells):
 def with_fields(rows: DataFrame) -> DataFrame:
     """Adds fields: the canonical field that each cell names as a header, or null; texts are matched once each."""
     cells = rows.select("doc", "row_no", F.posexplode("cells").alias("at", "header"))
-    found = match(cells).where("field is not null").groupBy("doc", "row_no").agg(F.map_from_entries(F.collect_set(F.struct("at", "field"))).alias("__named"))
+    # a filter on field would be pushed below the distinct texts, and evaluated for each cell
+    named = F.collect_set(F.when(F.col("field").isNotNull(), F.struct("at", "field")))
+    found = match(cells).groupBy("doc", "row_no").agg(F.map_from_entries(named).alias("__named"))
     met = rows.join(found, ["doc", "row_no"], "left")
     return met.withColumn("fields", F.transform(F.sequence(F.lit(0), F.size("cells") - 1), lambda k: F.try_element_at("__named", k))).drop("__named")
 
