@@ -9,10 +9,11 @@ sketch is in the other's but for a chance of 4e-10 a pair at a similarity of exa
 least values of the union is in both with that probability); so a node stands only in the lists of its
 rarest values, one more than half of them, and such a pair still meets in one. Sets of up to k shingles meet for certain.
 
-Pairs: the members of a list meet one leader, then `leaders` others for those that aren't in one component
-with them yet, in `rounds` rounds, each over all lists. In lists that still hold several components, all members outside the
-largest meet every member of another one: so no link between components is lost, and groups in which most link
-cost a few pairs a member, however large they are.
+Pairs: the members of a list meet its most central one, then `leaders` others, if they aren't in one component
+with them: groups in which most link cost a few pairs a member, however large they are. Nodes in lists that still hold
+several components meet by their whole sets: in the lists of their rarest shingles, as many as it takes to lose no pair of
+the similarity asked for, they meet leaders again; then all members outside a list's largest component
+meet every member of another one. So no link between components is lost.
 
 Estimation: of the k least values of the union of two sketches the share that both hold must be a half. Exact: what is left is
 compared on the full sets, which are made from the texts again, for members of lists only. Both send a member's
@@ -37,7 +38,7 @@ from ._arrays import LOWER, WHITE, blocks, grams, mix, words
 from ._cluster import SALTS, Scratch, components, hot, join_salted, partitions, sieve
 
 K, SHINGLE, PERCENT = 64, 5, 85
-ROUNDS, LEADERS = 3, 8
+ROUNDS, LEADERS = 2, 8
 SIEVE_BITS = 26
 _U = np.uint64
 _SECOND = _U(0xA0761D6478BD642F)
@@ -187,15 +188,15 @@ def meet(pairs: DataFrame, values: DataFrame, test) -> DataFrame:
     return rows.select("lead", "kind", "x", "values").mapInArrow(_meet(test), "lead long, x long")
 
 
-def inverted_lists(nodes: DataFrame) -> DataFrame:
-    """(key, id, n): the nodes in the lists of their rarest retained values; lists of one are left out."""
-    values = nodes.select("id", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("key"))
+def inverted_lists(values: DataFrame, percent: int) -> DataFrame:
+    """values: id, n, s (how many values the node has here) and key -> (key, id, n, core, pos): each node in the lists of its rarest
+    values, as many as it takes to meet every node that shares `percent` of its s values; values that no other node
+    has are the rarest and make no list. core: how many of a node's values others have, too; pos: the place of the key among the node's, rarest first."""
     counts = values.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     shared = join_salted(values, counts, "key", hot(counts, "key", "df", values.count()), "id")
     mine = Window.partitionBy("id")
-    shared = shared.withColumn("rank", F.row_number().over(mine.orderBy("df", "key"))).withColumn("shared", F.count("*").over(mine))
-    # the values that no other node has are the rarest; of s values, s - ceil(s / 2) + 1 stand for the node
-    return shared.where("s - shared + rank <= s - ceil(s / 2) + 1").select("key", "id", "n")
+    shared = shared.withColumn("rank", F.row_number().over(mine.orderBy("df", "key"))).withColumn("core", F.count("*").over(mine))
+    return shared.where(f"s - core + rank <= s - (s * {percent} + 99) div 100 + 1").select("key", "id", "n", "core", F.expr("s - core + rank").alias("pos"))
 
 
 class _Search:
@@ -204,6 +205,7 @@ class _Search:
     def __init__(self, scratch: Scratch, lists: DataFrame, sketches: DataFrame, sets: DataFrame, k: int, percent: int):
         self.scratch, self.lists, self.sketches, self.sets, self.k, self.percent = scratch, lists, sketches, sets, k, percent
         self.total = lists.count()
+        self.whole = False
         self.links: DataFrame | None = None
         self.tested: DataFrame | None = None
         self.parts: DataFrame | None = None
@@ -213,29 +215,35 @@ class _Search:
         rows = self.lists.withColumn("c", F.col("id"))
         if self.parts is not None:
             named = self.parts.select(F.col("node").alias("id"), F.col("component").alias("own"))
-            rows = self.lists.join(named, "id", "left").select("key", "id", "n", F.coalesce("own", "id").alias("c"))
+            rows = self.lists.join(named, "id", "left").select("key", "id", "n", "core", "pos", F.coalesce("own", "id").alias("c"))
         state = rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size"))
         self.hot = hot(state, "key", "size", self.total)
         return join_salted(rows, state.where("low < high").select("key"), "key", self.hot, "id")
 
-    def close_enough(self, a: str, b: str):
-        return F.expr(f"100 * least({a}, {b}) >= {self.percent} * greatest({a}, {b})")
+    def close_enough(self, a: str, b: str, pos_a: str, pos_b: str):
+        """Whether sizes allow a link: a common part is no larger than either set; and, of whole sets that have this key as
+        the first in common, no larger than what follows it in either. (Those that have one before it meet there.)"""
+        sizes = f"100 * least({a}, {b}) >= {self.percent} * greatest({a}, {b})"
+        common = f"(1 + least({a} - {pos_a}, {b} - {pos_b}))"
+        return F.expr(f"{sizes} and 100 * {common} >= {self.percent} * ({a} + {b} - {common})" if self.whole else sizes)
 
     def led(self, members: DataFrame, round: int, leaders: int) -> DataFrame:
-        """Pairs of the members of lists with a few leaders of these that aren't in one component with them."""
-        order = lambda j: F.col("id") if round == 0 else F.xxhash64("id", F.lit(round * leaders + j))
-        own = members.groupBy("key").agg(*(F.min(F.struct(order(j).alias("o"), F.col("id").alias("lead"), F.col("n").alias("m"), F.col("c").alias("d"))).alias(f"l{j}") for j in range(leaders)))
+        """Pairs of the members of lists with a few leaders of these that aren't in one component with them: the most
+        central member (copies of one text share most values with it) of each of `leaders` parts of a list, dealt anew each round."""
+        part = F.pmod(F.xxhash64("id", F.lit(round)), F.lit(leaders))
+        lead = F.struct("core", (-F.col("id")).alias("o"), F.col("id").alias("lead"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("c").alias("d"))
+        own = members.groupBy("key").agg(*(F.max(F.when(part == j, lead)).alias(f"l{j}") for j in range(leaders)))
         rows = join_salted(members, own, "key", self.hot, "id")
-        rows = rows.select("id", "n", "c", F.explode(F.array_distinct(F.array(*(f"l{j}" for j in range(leaders))))).alias("l"))
-        return rows.where(self.close_enough("n", "l.m") & F.expr("c != l.d")).select(F.col("l.lead").alias("lead"), F.col("id").alias("x"))
+        rows = rows.select("id", "n", "pos", "c", F.explode(F.array_compact(F.array(*(f"l{j}" for j in range(leaders))))).alias("l"))
+        return rows.where(self.close_enough("n", "l.m", "pos", "l.q") & F.expr("c != l.d")).select(F.col("l.lead").alias("lead"), F.col("id").alias("x"))
 
     def rest(self, members: DataFrame) -> DataFrame:
         """Pairs of all members outside their list's largest component with all members of others."""
         sizes = members.groupBy("key", "c").agg(F.count("*").alias("size"))
         large = sizes.groupBy("key").agg(F.max(F.struct("size", "c")).alias("l")).select("key", F.col("l.c").alias("large"))
         rows = join_salted(members, large, "key", self.hot, "id")
-        outside = rows.where("c != large").select("key", F.col("id").alias("lead"), F.col("n").alias("m"), F.col("c").alias("d"))
-        pairs = join_salted(rows, outside, "key", self.hot, "id").where(self.close_enough("n", "m") & F.expr("c != d and (c = large or id < lead)"))
+        outside = rows.where("c != large").select("key", F.col("id").alias("lead"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("c").alias("d"))
+        pairs = join_salted(rows, outside, "key", self.hot, "id").where(self.close_enough("n", "m", "pos", "q") & F.expr("c != d and (c = large or id < lead)"))
         return pairs.select("lead", F.col("id").alias("x"))
 
     def verify(self, pairs: DataFrame, name: str) -> int:
@@ -247,19 +255,33 @@ class _Search:
         pairs = self.scratch.save(pairs, f"pairs-{name}")
         own = pairs.select("a", "b")
         self.tested = own if self.tested is None else self.tested.unionByName(own)
-        near = self.scratch.save(meet(pairs.select("lead", "x"), self.sketches, estimate(self.k)), f"near-{name}")
+        near = pairs.select("lead", "x")
+        if not self.whole:  # pairs that whole sets brought together need no estimate
+            near = self.scratch.save(meet(near, self.sketches, estimate(self.k)), f"near-{name}")
         found = self.scratch.save(meet(near, self.sets, jaccard(self.percent)), f"links-{name}").select(F.col("lead").alias("a"), F.col("x").alias("b"))
         self.links = found if self.links is None else self.links.unionByName(found)
         self.parts = self.scratch.save(components(self.scratch, self.links, f"parts-{name}"), f"named-{name}")
         return pairs.count()
 
-    def run(self, rounds: int, leaders: int) -> DataFrame:
-        for r in range(rounds):
-            members = self.scratch.save(self.open(), f"open-{r}")
+    def led_rounds(self, name: str, leaders: list[int]) -> DataFrame:
+        """One round for each number of leaders; members of lists that still hold several components."""
+        for r, n in enumerate(leaders):
+            members = self.scratch.save(self.open(), f"open-{name}-{r}")
             if members.isEmpty():
-                return self.parts
-            self.verify(self.led(members, r, 1 if r == 0 else leaders), str(r))
-        members = self.scratch.save(self.open(), "open-rest")
+                return members
+            self.verify(self.led(members, r, n), f"{name}-{r}")
+        return self.scratch.save(self.open(), f"open-{name}")
+
+    def run(self, rounds: int, leaders: int) -> DataFrame | None:
+        members = self.led_rounds("sketch", [1, *[leaders] * (rounds - 1)][:rounds])
+        if members.isEmpty():
+            return self.parts
+        # who is left meets by whole sets: lists of their rarest shingles, so many that no link is missed
+        left = self.sets.join(members.select("id").distinct(), "id")
+        shingles = left.select("id", F.size("values").cast("long").alias("n"), F.size("values").cast("long").alias("s"), F.explode("values").alias("key"))
+        self.lists = self.scratch.save(inverted_lists(shingles, self.percent), "shingle-lists")
+        self.total, self.whole = self.lists.count(), True
+        members = self.led_rounds("shingle", [leaders])
         if not members.isEmpty():
             self.verify(self.rest(members), "rest")
         return self.parts
@@ -276,7 +298,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     some = marked.where("n > 0")
     nodes = some.groupBy("h1", "h2").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("first"), F.count("*").alias("rows"))
     nodes = scratch.save(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
-    lists = scratch.save(inverted_lists(nodes), "lists")
+    values = nodes.select("id", "n", F.size("sketch").cast("long").alias("s"), F.explode("sketch").alias("key"))
+    lists = scratch.save(inverted_lists(values, 50), "lists")
     in_lists = lists.select("id").distinct()
     asked = scratch.save(nodes.select("id", "h1", "h2", "n").join(in_lists, "id", "left_semi"), "asked")
     bits = sieve(asked.select(F.col("h1").alias("name")), SIEVE_BITS)
