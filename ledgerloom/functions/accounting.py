@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .bleeding import repair
 from .fixed import GST_SLABS, PHARMA_CHAPTERS
-from .quantities import number, scheme
+from .quantities import number, scheme_read, scheme_text
 
 
 def money(c: Column) -> Column:
@@ -66,19 +66,22 @@ def solve_rows(df: DataFrame, preferred: str = "AUTO") -> DataFrame:
     raw = {c: F.col(f"raw_{c}") for c in ("quantity", "freeQuantity")}
     df = df.withColumns({f"raw_{c}": F.col(c) for c in raw})
     df = repair(df)
-    money_of = lambda c: F.round(number(F.col(c)), 4).cast("decimal(18,4)")
-    q, f = scheme(raw["quantity"]), scheme(raw["freeQuantity"])
+    # texts are read once, in projections of their own; what follows works on numbers
     whole = lambda c: F.round(c, 4).cast("decimal(18,4)")
-    billed = F.when(q["is_compound"], whole(q["billed"])).otherwise(money_of("quantity"))
-    free = F.when(f["is_compound"], whole(f["free"])).when(q["is_compound"], whole(q["free"])).otherwise(F.coalesce(money_of("freeQuantity"), F.lit(0).cast("decimal(18,4)")))
+    read = ["quantity", "freeQuantity", "rate", "discountPercent", "gstPercent", "cgstPercent", "sgstPercent", "mrp"]
+    df = df.withColumns({**{f"__n_{c}": whole(number(F.col(c))) for c in read}, **{f"__n_{c}": money(number(F.col(c))) for c in ("amount", "taxableAmount", "netAmount")}, **{f"__s_{c}": scheme_text(x) for c, x in raw.items()}})
+    df = df.withColumns({f"__s_{c}": scheme_read(F.col(f"__s_{c}")) for c in raw})
+    n, q, f = (lambda c: F.col(f"__n_{c}")), F.col("__s_quantity"), F.col("__s_freeQuantity")
+    billed = F.when(q["is_compound"], whole(q["billed"])).otherwise(n("quantity"))
+    free = F.when(f["is_compound"], whole(f["free"])).when(q["is_compound"], whole(q["free"])).otherwise(F.coalesce(n("freeQuantity"), F.lit(0).cast("decimal(18,4)")))
     billed = F.coalesce(billed, F.when(f["is_compound"] & (f["billed"] > 0), whole(f["billed"])))
-    halves = F.when(F.coalesce("cgstPercent", "sgstPercent").isNotNull(), F.coalesce(money_of("cgstPercent"), F.lit(0)) + F.coalesce(money_of("sgstPercent"), F.lit(0)))
-    apart = money_of("gstPercent").isNotNull() & money_of("cgstPercent").isNotNull() & money_of("sgstPercent").isNotNull() & (F.abs(halves - money_of("gstPercent")) > F.lit("0.05").cast("decimal(3,2)"))
+    halves = F.when(F.coalesce("cgstPercent", "sgstPercent").isNotNull(), F.coalesce(n("cgstPercent"), F.lit(0)) + F.coalesce(n("sgstPercent"), F.lit(0)))
+    apart = n("gstPercent").isNotNull() & n("cgstPercent").isNotNull() & n("sgstPercent").isNotNull() & (F.abs(halves - n("gstPercent")) > F.lit("0.05").cast("decimal(3,2)"))
     unread = F.coalesce(raw["quantity"].contains("+"), F.lit(False)) & ~q["is_compound"]
     small = lambda c: c.cast("decimal(12,4)")
     df = df.withColumns({
-        "__quantity": small(billed), "__free": small(free), "__rate": small(money_of("rate")), "__discount": money_of("discountPercent").cast("decimal(7,4)"), "__gst": F.coalesce(money_of("gstPercent"), halves).cast("decimal(7,4)"),
-        "__amount": money(number(F.col("amount"))), "__taxable": money(number(F.col("taxableAmount"))), "__net": money(number(F.col("netAmount"))), "__mrp": small(money_of("mrp")), "__apart": F.coalesce(apart, F.lit(False)), "__unread": unread,
+        "__quantity": small(billed), "__free": small(free), "__rate": small(n("rate")), "__discount": n("discountPercent").cast("decimal(7,4)"), "__gst": F.coalesce(n("gstPercent"), halves).cast("decimal(7,4)"),
+        "__amount": n("amount"), "__taxable": n("taxableAmount"), "__net": n("netAmount"), "__mrp": small(n("mrp")), "__apart": F.coalesce(apart, F.lit(False)), "__unread": unread,
     })
     own = ["quantity", "free", "rate", "discount", "gst", "amount", "taxable", "net", "mrp"]
     kept = [c for c in df.columns if c not in own and not c.startswith("__") and c not in ("rate", "amount", "mrp", "quantity")]

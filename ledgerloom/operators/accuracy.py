@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.compare import close, digits_number, match_type, normal_date, normal_text, number_of, separated_text
+from ..functions.compare import cell, cell_match, close, digits_number, normal_date, normal_text, read_cells, separated_text
 from ..functions.fixed import AUXILIARY_HEADERS, COMPOSITE_HEADERS, CRITICAL_FIELDS, FINANCIAL_FIELDS, TOLERANCES, TORN_HEADERS
 from ..functions.text import cleaned, contains_any, found
 
@@ -29,16 +29,21 @@ def accounting_status(quantity: Column, rate: Column, amount: Column, discount:
     )
 
 
-def swaps(got: dict[str, Column], true: dict[str, Column], raw: Column) -> Column:
-    """Names of the mix-ups that a row shows."""
-    p, t = ({f: number_of(c) for f, c in x.items() if f in TOLERANCES} for x in (got, true))
+WATCHED = ["quantity", "freeQuantity", "rate", "mrp", "batchNo", "expiryDate", "hsnCode", "amount", "gstPercent", "discountPercent", "netAmount"]
+"""Fields that mix-ups and the accounting look at, judged or not."""
+
+
+def swaps(read: dict[str, Column], raw: Column) -> Column:
+    """Names of the mix-ups that a row shows. read: the cells of read_cells() by field."""
+    t, p = ({f: F.get(c["numbers"], F.lit(k)) for f, c in read.items()} for k in (0, 1))
     both = lambda a, b, d: close(p[a], t[b], d) & close(p[b], t[a], d) & (t[a] != t[b])
     apart = r"(\d+(?:\.\d+)?)\s*\+\s*(\d+(?:\.\d+)?)"
+    expiry = F.get(read["expiryDate"]["texts"], F.lit(0))
     tests = [
         ("QUANTITY_FREE_SWAP", both("quantity", "freeQuantity", 0.01)),
         ("RATE_MRP_SWAP", both("rate", "mrp", 0.05)),
-        ("BATCH_EXPIRY_SWAP", (normal_date(got["batchNo"]) == normal_date(true["expiryDate"])) & (normal_text(got["expiryDate"]) == normal_text(true["batchNo"]))),
-        ("EXPIRY_HSN_SWAP", normal_date(got["hsnCode"]) == normal_date(true["expiryDate"])),
+        ("BATCH_EXPIRY_SWAP", (normal_date(read["batchNo"]["got"]) == expiry) & (normal_text(read["expiryDate"]["got"]) == F.get(read["batchNo"]["texts"], F.lit(0)))),
+        ("EXPIRY_HSN_SWAP", normal_date(read["hsnCode"]["got"]) == expiry),
         ("AMOUNT_GST_CONFUSION", close(p["amount"], t["gstPercent"], 0.05) & ~close(p["amount"], t["amount"], 0.05)),
         ("COMPOUND_QUANTITY_COLLAPSED", (p["quantity"] == found(raw, apart, 1).cast("double")) & (F.coalesce(p["freeQuantity"], F.lit(0.0)) == 0)),
     ]
@@ -47,16 +52,19 @@ def swaps(got: dict[str, Column], true: dict[str, Column], raw: Column) -> Colum
 
 def evaluate_rows(rows: DataFrame, fields: list[str], raw: str = "raw") -> DataFrame:
     """Adds matches (field, match), n_known, n_correct, critical (fields), mixed_up, accounting, classification
-    and root_cause. Rows with is_extra have no true row."""
+    and root_cause. Rows with is_extra have no true row. Cells are rows of an array, read once and compared by one rule."""
     none = F.lit(None).cast("string")
-    side = lambda x: {f: F.col(f"{x}_{f}") if f in fields else none for f in [*fields, "quantity", "freeQuantity", "rate", "mrp", "batchNo", "expiryDate", "hsnCode", "amount", "gstPercent", "discountPercent", "netAmount"]}
-    got, true = side("p"), side("t")
-    known = F.array_compact(F.array(*(F.when(true[f].isNotNull(), F.struct(F.lit(f).alias("field"), match_type(f, true[f], got[f]).alias("match"))) for f in fields)))
-    df = rows.withColumn("matches", known).withColumn("mixed_up", swaps(got, true, F.col(raw)))
+    every = [*fields, *(f for f in WATCHED if f not in fields)]
+    side = lambda x, f: F.col(f"{x}_{f}") if f in fields else none
+    df = rows.withColumn("__cells", F.array(*(cell(f, side("t", f), side("p", f)) for f in every)))
+    df = df.withColumn("__cells", read_cells(F.col("__cells")))
+    read = {f: F.get("__cells", F.lit(k)) for k, f in enumerate(every)}
+    judged = F.filter(F.slice("__cells", 1, len(fields)), lambda c: c["truth"].isNotNull())
+    df = df.withColumn("matches", F.transform(judged, lambda c: F.struct(c["field"].alias("field"), cell_match(c).alias("match")))).withColumn("mixed_up", swaps(read, F.col(raw)))
     right = lambda x: x["match"].isin(*GOOD)
     df = df.withColumn("n_known", F.size("matches")).withColumn("n_correct", F.size(F.filter("matches", right)))
     df = df.withColumn("critical", F.transform(F.filter("matches", lambda x: ~right(x) & x["field"].isin(*CRITICAL_FIELDS)), lambda x: x["field"]))
-    df = df.withColumn("accounting", accounting_status(*(number_of(got[f]) for f in ("quantity", "rate", "amount", "discountPercent", "gstPercent", "netAmount"))))
+    df = df.withColumn("accounting", accounting_status(*(F.get(read[f]["numbers"], F.lit(1)) for f in ("quantity", "rate", "amount", "discountPercent", "gstPercent", "netAmount")))).drop("__cells")
     swapped = F.exists("mixed_up", lambda x: x.endswith("_SWAP"))
     wrong, full = F.size("critical") > 0, (F.col("n_correct") == F.col("n_known")) & (F.col("n_known") > 0)
     classes = F.when(F.col("is_extra"), "EXTRA_ROW").when(wrong, "CRITICAL_FIELD_ERROR").when(full, "FULLY_CORRECT").when(F.col("n_correct") > 0, "PARTIALLY_CORRECT").otherwise("CRITICAL_FIELD_ERROR")
@@ -64,6 +72,17 @@ def evaluate_rows(rows: DataFrame, fields: list[str], raw: str = "raw") -> DataF
     return df.withColumn("classification", classes).withColumn("root_cause", causes)
 
 
+def matches(evaluated: DataFrame, *keys: str) -> DataFrame:
+    """keys, field and match: a row for each known cell."""
+    # explode() would let Spark test for emptiness below, where it reads the cells anew for each use
+    return evaluated.select(*keys, F.explode_outer("matches").alias("m")).where("m is not null").select(*keys, "m.field", "m.match")
+
+
+def mix_ups(evaluated: DataFrame, *keys: str) -> DataFrame:
+    """keys and kind: a row for each mix-up of a row."""
+    return evaluated.select(*keys, F.explode_outer("mixed_up").alias("kind")).where("kind is not null")
+
+
 def document_accuracy(rows: DataFrame, confidence: str = "confidence", decision: str = "decision") -> DataFrame:
     """Evaluated rows with doc, confidence and decision -> cell accuracy (all, critical, financial), accounting
     status and safety of each document."""

@@ -51,13 +51,13 @@ _WITH = f"WITH {LINES}, {_PAIRS}"
 @query(_WITH + " SELECT field, match, count(*) AS n FROM (SELECT unnest(['itemName', 'batchNo', 'expiryDate', 'quantity', 'freeQuantity', 'rate', 'mrp', 'amount', 'gstPercent', 'discountPercent']) AS field, unnest(every) AS match FROM e) GROUP BY ALL")
 def typed_cell_comparison(spark, sf_dir):
     df = accuracy.evaluate_rows(pairs(spark, sf_dir), FIELDS)
-    return df.select(F.explode("matches").alias("m")).groupBy("m.field", "m.match").agg(F.count("*").alias("n"))
+    return accuracy.matches(df).groupBy("field", "match").agg(F.count("*").alias("n"))
 
 
 @query(_WITH + " SELECT kind, count(*) AS n FROM (SELECT unnest(mixed) AS kind FROM e) GROUP BY kind")
 def swap_detection(spark, sf_dir):
     df = accuracy.evaluate_rows(pairs(spark, sf_dir), FIELDS)
-    return df.select(F.explode("mixed_up").alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+    return accuracy.mix_ups(df).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query(_WITH + ", r AS (SELECT *, CASE WHEN n_bad > 0 THEN 'CRITICAL_FIELD_ERROR' WHEN n_good = 10 THEN 'FULLY_CORRECT' ELSE 'PARTIALLY_CORRECT' END AS classification, CASE WHEN n_bad > 0 AND len(list_filter(mixed, lambda y: y LIKE '%\\_SWAP' ESCAPE '\\')) > 0 THEN 'SEMANTIC_MAPPING' WHEN n_bad > 0 THEN 'LOGICAL_SUBCOLUMN_SPLIT' WHEN n_good = 10 THEN NULL ELSE 'VALUE_NORMALIZATION' END AS root_cause FROM e) SELECT classification, root_cause, accounting, count(*) AS n, CAST(sum(n_good) AS BIGINT) AS n_correct FROM r GROUP BY ALL")
