@@ -214,3 +214,6 @@ STATED_DATE = r"(?i)(?:Inv(?:oice)?\s*Date|Date)\s*[:.-]?\s*(\d{1,2}[-\/][A-Za-z
 STATED_TOTAL = r"(?i)(?:Grand\s*Total|NETAmount|Net\s*Amount|Net\s*Payable|Bill\s*Amount)\s*[:.-]?\s*(?:Rs\.?)?\s*([0-9,]+\.\d{2})"
 STATED_ROUND_OFF = r"(?i)Round\s*off\s*[:.-]?\s*([0-9.-]+)"
 STATED_TAX = r"(?i)(?:Total\s*Tax\s*Amt\.?|Total\s*GST)\s*[:.-]?\s*([0-9,]+\.\d{2})"
+
+# fixed values: free quantities that are printed without their leading point
+LOST_POINTS = [100, 200, 250, 300, 400, 500, 600, 700, 750, 800, 900]

@@ -320,4 +320,4 @@ def tally_xml_export(spark, sf_dir):
     return exports.tally_xml(line_items(spark, sf_dir))
 
 
-from . import accuracy, documents, stated, tables, texts  # noqa: E402, F401 (register their queries)
+from . import accuracy, documents, memory, stated, tables, texts  # noqa: E402, F401 (register their queries)

@@ -26,3 +26,14 @@ def ship(spark: SparkSession) -> SparkSession:
     context.addPyFile(target)
     context._ledgerloom_shipped = True
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only where that is unset and all runs on this machine."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+    if not hasattr(spark, "_ledgerloom_shared"):
+        spark._ledgerloom_shared = f"file://{tempfile.mkdtemp(prefix='ledgerloom-')}"
+    return spark._ledgerloom_shared
