@@ -45,13 +45,11 @@ from ._cluster import Scratch
 
 TOXIC, ORDINARY = 1200, 3600
 WINDOW, OVERLAP = 32, 8
-SHARED, OWN_BYTES, ORDINARY_WINDOWS = 16384, 8192, 20_000
+SHARED, OWN_BYTES = 16384, 8192
 SIZES, FOLDS, GAINS = (6, 8), 4, 8
 BANDS, BAND = 16, 3
 """Sampled texts with one label that share the least hashes of a band's permutations, over shingles
 of five words, are near copies: all but surely from a similarity of 0.8 on, hardly ever below 0.2."""
-STRINGS = 50_000
-"""The most telling strings that a dictionary's passages are looked up by."""
 FIGURES = 2 * GAINS + 5
 
 
@@ -144,7 +142,7 @@ def _least_gain(tested: int) -> float:
     return hi
 
 
-def telling(sample: DataFrame, scratch: Scratch, sizes: dict[tuple[int, int], int], ratio: float = 2.0, least: int = 3, strings: int = STRINGS) -> list[np.ndarray]:
+def telling(sample: DataFrame, scratch: Scratch, sizes: dict[tuple[int, int], int], ratio: float = 2.0, least: int = 3) -> list[np.ndarray]:
     """The telling strings of the texts outside each fold, and at the end of all texts.
 
     sizes: how many texts there are by (fold, label)."""
@@ -165,7 +163,7 @@ def telling(sample: DataFrame, scratch: Scratch, sizes: dict[tuple[int, int], in
         share = (F.col("a") + F.col("b")) / (n1 + n0)
         gain = 2 * (term(F.col("a"), n1, share) + term(F.col("b"), n0, share) + term(n1 - F.col("a"), n1, 1 - share) + term(n0 - F.col("b"), n0, 1 - share))
         good = own.withColumn("gain", gain).where((F.col("a") / n1 > ratio * (F.col("b") + 0.5) / n0) & (F.col("gain") >= _least_gain(own.count())))
-        got = good.orderBy(F.desc("gain"), "g").limit(strings).select("g").toArrow()
+        got = good.select("g").toArrow()
         out.append(np.sort(got.column("g").to_numpy().view(np.uint64)))
     return out
 
@@ -188,19 +186,19 @@ def passages(s: bytes, strings: np.ndarray) -> list[bytes]:
     return [s[a:b] for a, b in np.flatnonzero(np.diff(cover)).reshape(-1, 2).tolist()]
 
 
-def _material(sent, rate: int):
+def _material(sent):
     """What dictionaries are trained on: passages of toxic texts for each fold left out (the last: none),
-    and every rate-th window of ordinary ones by hash."""
+    and ordinary texts whole, cut into windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[int, int, bytes]] = []
-            for t, y, fold, at in zip(batch.column("t"), batch.column("y").to_pylist(), batch.column("fold").to_pylist(), batch.column("o").to_pylist()):
+            for t, y, fold in zip(batch.column("t"), batch.column("y").to_pylist(), batch.column("fold").to_pylist()):
                 s = plain(t.as_py())
                 if y:
                     out += [(without, 1, x) for without, own in enumerate(sent.value) if without != fold for x in passages(s, own)]
                 else:
-                    out += [(fold, 0, s[i : i + 64]) for i in range(-at % rate * 64, len(s), rate * 64)]
+                    out += [(fold, 0, s[i : i + 64]) for i in range(0, len(s), 64)]
             fold, y, data = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(fold, pa.int32()), pa.array(y, pa.int32()), pa.array(data, pa.binary())], names=["fold", "y", "data"])
 
@@ -337,15 +335,14 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     met = docs.select(F.col(doc_id).alias("i"), F.struct(F.coalesce(F.xxhash64(text), F.lit(0)).alias("h"), F.col(text).alias("t")).alias("x")).join(F.broadcast(some), "i")
     met = met.groupBy("i", "y", "o").agg(F.min("x").alias("x")).select("i", "y", "o", F.pmod(F.xxhash64("o", F.lit(1)), F.lit(FOLDS)).cast("int").alias("fold"), F.col("x.t").alias("t"))
     sample = scratch.save(distinct(scratch.save(met, "labelled")), "sample")
-    known = sample.groupBy("fold", "y").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.length("t"), F.lit(0))).alias("size")).collect()
+    known = sample.groupBy("fold", "y").agg(F.count("*").alias("n")).collect()
     n = {y: sum(r.n for r in known if r.y == y) for y in (0, 1)}
     if not n[0] or not n[1]:
         p = float(np.clip(n[1] / (n[0] + n[1]), 0.001, 0.999)) if n[0] + n[1] else 0.5
         scratch.remove()
         return Model(b"", b"", weights=(math.log(p / (1 - p)), *(0.0,) * FIGURES))
     strings = telling(sample, scratch, {(r.fold, r.y): r.n for r in known})
-    rate = max(1, sum(r["size"] for r in known if r.y == 0) // 64 // ORDINARY_WINDOWS)
-    got = sample.mapInArrow(_material(send(strings), rate), "fold int, y int, data binary").orderBy("fold", "y", "data").toArrow()
+    got = sample.mapInArrow(_material(send(strings)), "fold int, y int, data binary").orderBy("fold", "y", "data").toArrow()
     fold, y, data = (got.column(c).to_numpy(zero_copy_only=False) for c in ("fold", "y", "data"))
     pairs = [dictionaries(list(data[(y == 1) & (fold == f)]), list(data[(y == 0) & (fold != f)])) for f in range(FOLDS + 1)]
     seen = sample.mapInArrow(_measured(send(pairs[:FOLDS])), "o long, y int, x array<double>").orderBy("o", "y").toArrow()
