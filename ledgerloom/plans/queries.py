@@ -19,6 +19,8 @@ KEY = ["invoice", "line_no", "part", "supplier"]
 
 def query(sql: str | None = None):
     def add(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries named {f.__name__}")
         QUERIES[f.__name__] = f
         if sql:
             SQL[f.__name__] = sql if sql.lstrip().startswith("WITH") else f"WITH {LINES} {sql}"
