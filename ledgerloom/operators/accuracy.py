@@ -99,6 +99,27 @@ def document_accuracy(rows: DataFrame, confidence: str = "confidence", decision:
     return df.select("doc", "decision", "confidence", "n_rows", "overall", F.col("critical"), F.col("financial"), status.alias("accounting"), safety.alias("safety"))
 
 
+ROW_CLASSES = ["FULLY_CORRECT", "PARTIALLY_CORRECT", "CRITICAL_FIELD_ERROR", "EXTRA_ROW"]
+DECISIONS = ["AUTO_ACCEPT", "REVIEW_REQUIRED", "UNRESOLVED", "FAILED"]
+
+
+def run_evaluation(rows: DataFrame) -> DataFrame:
+    """Evaluated rows with doc, confidence and decision -> section, line_no, label, value: rows by class, shares of right cells,
+    accounting, documents by decision; one plan, one row of sums. Shares of nothing are 0. texts.report() prints it."""
+    share = lambda among: (F.sum(F.size(F.filter("matches", lambda x: among(x) & x["match"].isin(*GOOD)))), F.sum(F.size(F.filter("matches", among))))
+    percent = lambda x: F.coalesce(F.try_divide(x[0] * 100.0, x[1]), F.lit(0.0))
+    docs = lambda d: F.countDistinct(F.when(F.col("decision") == d, F.col("doc")))
+    lines = [
+        ("Rows", "rows", F.count("*")), *(("Rows", c.lower(), F.count_if(F.col("classification") == c)) for c in ROW_CLASSES), ("Rows", "mixed_up", F.count_if(F.size("mixed_up") > 0)),
+        ("Cells", "overall", percent(share(lambda x: F.lit(True)))), ("Cells", "critical", percent(share(lambda x: x["field"].isin(*CRITICAL_FIELDS)))), ("Cells", "financial", percent(share(lambda x: x["field"].isin(*FINANCIAL_FIELDS)))),
+        ("Accounting", "consistent", percent((F.count_if(F.col("accounting") == "ACCOUNTING_CONSISTENT"), F.count("*")))),
+        ("Documents", "documents", F.countDistinct("doc")), *(("Documents", d.lower(), docs(d)) for d in DECISIONS), ("Documents", "least_confidence", F.min("confidence")),
+    ]
+    sums = rows.agg(*(c.cast("double").alias(f"m{k}") for k, (_, _, c) in enumerate(lines)))
+    told = F.array(*(F.struct(F.lit(s).alias("section"), F.lit(k + 1).alias("line_no"), F.lit(n).alias("label"), F.col(f"m{k}").alias("value")) for k, (s, n, _) in enumerate(lines)))
+    return sums.select(F.explode(told).alias("x")).select("x.*")
+
+
 def positional_metrics(extracted: DataFrame, truth: DataFrame) -> DataFrame:
     """doc, row_no, field, value of both sides, row against row -> counts and precision, recall, F1 by field."""
     both = extracted.select("doc", "row_no", "field", F.col("value").alias("p")).join(truth.select("doc", "row_no", "field", F.col("value").alias("t")), ["doc", "row_no", "field"], "full")

@@ -72,6 +72,16 @@ def document_field_accuracy(spark, sf_dir):
     return accuracy.document_accuracy(df.join(documents(spark, sf_dir).select("doc", "decision", "confidence"), "doc"))
 
 
+@query(_WITH + """, rr AS (SELECT *, CASE WHEN n_bad > 0 THEN 'CRITICAL_FIELD_ERROR' WHEN n_good = 10 THEN 'FULLY_CORRECT' ELSE 'PARTIALLY_CORRECT' END AS class, CASE o_orderstatus WHEN 'F' THEN 'AUTO_ACCEPT' WHEN 'O' THEN 'REVIEW_REQUIRED' ELSE 'UNRESOLVED' END AS decision, o_custkey % 101 AS confidence FROM e JOIN orders ON invoice = o_orderkey),
+told AS (SELECT unnest(['Rows', 'Rows', 'Rows', 'Rows', 'Rows', 'Rows', 'Cells', 'Cells', 'Cells', 'Accounting', 'Documents', 'Documents', 'Documents', 'Documents', 'Documents', 'Documents']) AS section, unnest(['rows', 'fully_correct', 'partially_correct', 'critical_field_error', 'extra_row', 'mixed_up', 'overall', 'critical', 'financial', 'consistent', 'documents', 'auto_accept', 'review_required', 'unresolved', 'failed', 'least_confidence']) AS label, unnest(range(1, 17)) AS line_no,
+unnest([count(*)::DOUBLE, count(*) FILTER (class = 'FULLY_CORRECT'), count(*) FILTER (class = 'PARTIALLY_CORRECT'), count(*) FILTER (class = 'CRITICAL_FIELD_ERROR'), 0, count(*) FILTER (len(mixed) > 0), 100.0 * sum(n_good) / (10 * count(*)), 100.0 * sum(4 - n_bad) / (4 * count(*)), 100.0 * sum(len(list_filter(fin, lambda y: y IN ('EXACT', 'NORMALIZED', 'TOLERANCE')))) / (5 * count(*)), 100.0 * count(*) FILTER (accounting = 'ACCOUNTING_CONSISTENT') / count(*), count(DISTINCT invoice), count(DISTINCT invoice) FILTER (decision = 'AUTO_ACCEPT'), count(DISTINCT invoice) FILTER (decision = 'REVIEW_REQUIRED'), count(DISTINCT invoice) FILTER (decision = 'UNRESOLVED'), 0, min(confidence)]) AS value FROM rr)
+SELECT section, CAST(line_no AS INTEGER) AS line_no, label, value FROM told""")
+def evaluation_run(spark, sf_dir):
+    """The whole evaluation: rows, cells, accounting and documents."""
+    df = accuracy.evaluate_rows(pairs(spark, sf_dir), FIELDS).withColumnRenamed("invoice", "doc")
+    return accuracy.run_evaluation(df.join(documents(spark, sf_dir).select("doc", "decision", "confidence"), "doc"))
+
+
 @query(_WITH + """, t AS (SELECT row_number() OVER () AS id, k, every[4:5] AS x, q, p_q, r, p_r, item, p_item FROM e), u AS (SELECT unnest(['quantity', 'rate', 'itemName']) AS field, unnest([q, r, item]) AS t, unnest([CASE WHEN k <> 1 THEN p_q END, p_r, p_item]) AS p FROM t),
 w AS (SELECT *, p = t AS exact, upper(trim(p)) = upper(trim(t)) AS norm, CASE field WHEN 'quantity' THEN abs(try_cast(p AS DOUBLE) - try_cast(t AS DOUBLE)) <= 0.01 WHEN 'rate' THEN abs(try_cast(p AS DOUBLE) - try_cast(t AS DOUBLE)) <= greatest(0.05, abs(try_cast(t AS DOUBLE)) * 0.005) ELSE false END AS near FROM u),
 m AS (SELECT field, count(*) FILTER (exact) AS exact, count(*) FILTER (norm) AS normalized, count(*) FILTER (norm OR near) AS tolerance, count(*) FILTER (p IS NOT NULL AND NOT (norm OR near)) AS incorrect, count(*) FILTER (p IS NULL) AS missing, 0 AS unexpected FROM w GROUP BY field),
