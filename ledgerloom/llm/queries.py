@@ -14,18 +14,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-ARRIVAL_DOCS = 2048
-
-
 def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents arrive ARRIVAL_DOCS ids at a time; each is returned with its shard after compaction."""
+    """Documents arrive in runs that get larger (of ids below 4, 16, 36, ...), even runs in a first commit and odd ones in a second, each
+    of them compacted; every document is returned with its shard after that."""
     from ._cluster import Scratch
     from .sharding import ShardStore
 
-    store = ShardStore(spark, Scratch(spark, "shards").path)
-    store.append(table(spark, sf_dir, "documents"), F.floor(F.col("doc_id") / ARRIVAL_DOCS))
-    version = store.compact()
-    store.vacuum()
+    store, docs = ShardStore(spark, Scratch(spark, "shards").path), table(spark, sf_dir, "documents")
+    run = F.floor(F.sqrt("doc_id") / 2)
+    even = F.pmod(F.coalesce(run, F.lit(-1)), F.lit(2)) == 0
+    for part in (even, ~even):
+        store.append(docs.where(part), run)
+        version = store.compact()
+        store.vacuum()
     shards = store.manifest(version)
     rows = store.read(version).select("doc_id", "run", "shard", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
     return rows.join(shards.select("shard", F.col("tier"), F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes")), "shard")
@@ -128,14 +129,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_collocations": collocations,
 }
 
+# one compaction in SQL: what a manifest's shards are merged into
+_MERGED = """r{n} AS (SELECT shard, min(run) AS run, sum(b) AS bytes, CAST(floor(ln(greatest(sum(b) / 262144, 1.0)) / ln(4.0) + 1e-9) AS INTEGER) AS tier FROM ({made}) GROUP BY shard),
+s{n} AS (SELECT *, coalesce(sum(bytes) OVER (PARTITION BY tier ORDER BY run, shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 67108864 AS bin FROM r{n} WHERE bytes < 67108864 OR bytes > 134217728),
+g{n} AS (SELECT tier, bin, greatest(1, sum(bytes) // 67108864) AS pieces, count(*) AS n FROM s{n} GROUP BY ALL),
+m{n} AS (SELECT shard, 'v{version}-t' || CAST(tier AS VARCHAR) || '-' || CAST(CAST(bin AS BIGINT) AS VARCHAR) AS name, pieces FROM s{n} JOIN g{n} USING (tier, bin) WHERE n > 1 OR pieces > 1)"""
+
 SQL: dict[str, str] = {
-    "op1_sharding": """
-WITH d AS (SELECT doc_id, coalesce(CAST(floor(doc_id / 2048) AS BIGINT), -1) AS run, sha256(coalesce(text, '')) AS text_sha256, coalesce(strlen(text), 0) AS b FROM documents),
-r AS (SELECT run, sum(b) AS bytes, CAST(floor(ln(greatest(sum(b) / 262144, 1.0)) / ln(4.0) + 1e-9) AS INTEGER) AS tier FROM d GROUP BY run),
-s AS (SELECT *, coalesce(sum(bytes) OVER (PARTITION BY tier ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 67108864 AS bin FROM r WHERE bytes < 67108864 OR bytes > 134217728),
-g AS (SELECT tier, bin, greatest(1, sum(bytes) // 67108864) AS pieces, count(*) AS n FROM s GROUP BY ALL),
-m AS (SELECT s.run, 'v2-t' || CAST(tier AS VARCHAR) || '-' || CAST(CAST(bin AS BIGINT) AS VARCHAR) AS name, pieces FROM s JOIN g USING (tier, bin) WHERE n > 1 OR pieces > 1),
-o AS (SELECT doc_id, run, text_sha256, b, CASE WHEN name IS NULL THEN 'v1-run-' || CAST(run AS VARCHAR) WHEN pieces > 1 THEN name || '.' || CAST(coalesce(doc_id % CAST(pieces AS BIGINT), 0) AS VARCHAR) ELSE name END AS shard FROM d LEFT JOIN m USING (run)),
+    "op1_sharding": f"""
+WITH d AS (SELECT doc_id, coalesce(CAST(floor(sqrt(doc_id) / 2) AS BIGINT), -1) AS run, sha256(coalesce(text, '')) AS text_sha256, coalesce(strlen(text), 0) AS b FROM documents),
+{_MERGED.format(n=1, made="SELECT 'v1-run-' || CAST(run AS VARCHAR) AS shard, run, b FROM d WHERE abs(run) % 2 = 0", version=2)},
+d2 AS (SELECT doc_id, run, text_sha256, b, CASE WHEN abs(run) % 2 = 1 THEN 'v3-run-' || CAST(run AS VARCHAR) WHEN name IS NULL THEN 'v1-run-' || CAST(run AS VARCHAR) WHEN pieces > 1 THEN name || '.' || CAST(coalesce(doc_id % CAST(pieces AS BIGINT), 0) AS VARCHAR) ELSE name END AS shard FROM d LEFT JOIN m1 ON m1.shard = 'v1-run-' || CAST(run AS VARCHAR) AND abs(run) % 2 = 0),
+{_MERGED.format(n=2, made="SELECT shard, run, b FROM d2", version=4)},
+o AS (SELECT doc_id, run, text_sha256, b, CASE WHEN name IS NULL THEN d2.shard WHEN pieces > 1 THEN name || '.' || CAST(coalesce(doc_id % CAST(pieces AS BIGINT), 0) AS VARCHAR) ELSE name END AS shard FROM d2 LEFT JOIN m2 ON m2.shard = d2.shard),
 z AS (SELECT shard, count(*) AS shard_rows, CAST(sum(b) AS BIGINT) AS shard_bytes, CAST(floor(ln(greatest(sum(b) / 262144, 1.0)) / ln(4.0) + 1e-9) AS INTEGER) AS tier FROM o GROUP BY shard)
 SELECT doc_id, run, text_sha256, shard, shard_rows, shard_bytes, tier FROM o JOIN z USING (shard)""",
     "op3_decontamination": r"""

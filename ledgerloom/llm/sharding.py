@@ -198,7 +198,7 @@ class ShardStore:
         return version
 
     def vacuum(self, keep: int = 1, older_than: float = 24 * 3600.0) -> list[str]:
-        """Deletes versions but the last `keep`, and data folders that none of these uses. A folder that no
+        """Deletes versions but the last `keep`, with their manifests, and data folders that none of these uses. A folder that no
         version ever used may belong to a writer who has not committed yet, and goes only once
         nothing was added to it for `older_than` seconds."""
         known = self.versions()
@@ -212,5 +212,7 @@ class ShardStore:
                 self._fs.delete(x.getPath(), True)
                 gone.append(name)
         for v in known[:-keep]:
+            name = self._get(f"commits/{v:012d}")
             self._fs.delete(self._at(f"commits/{v:012d}"), False)
+            self._fs.delete(self._at(f"manifests/{name}"), True)
         return gone
