@@ -139,7 +139,9 @@ SUPPLIER_WORDS = ["medi", "medical", "medicare", "medihub", "pharma", "pharmaceu
 
 # fixed values: labels, titles and buyers, which are no supplier's name, and marks of addresses (regular expressions)
 NOT_SUPPLIER = r"(?i)pharma\s*hubb\b|bill\s*to|ship\s*to|sold\s*to|consignee|buyer|customer|party\s*name|gst\s*invoice|tax\s*invoice|original\s*for\s*recipient|^page\s*\d|^invoice\s*(no|number|date)|^date\s*:|^gstin|^phone|^email|^mobile|^tel\.?|^dl\.?\s*no|^fssai|^due\s*date|^credit|^debit|^irn\b|^ack\b|^einvoice|^e-?invoice|^taxable|^hsn|^particulars|^description|^s\.?\s*no|^qty\b|^mrp\b|^rate\b|^amount\b|^net\s*amount|^grand\s*total|^authori[sz]ed\s*sign|\bmfgby\b|\bhsncode\b|\bproduct\s*name\b|\bbatch\s*no\b|\bc/s\s*qty\b"
-ADDRESS = r"(?i)\b(plot|street|road|road\.|rd\.|floor|flr|nagar|colony|sector|phase|block|building|bldg|near|opp\.?|beside|pin\s*:?|pincode|dist\.?|district|state|india)\b|\b\d{6}\b|@|www\.|http|\+?\d[\d\s-]{8,}"
+PLACE = r"(?i)\b(plot|street|road|road\.|rd\.|floor|flr|nagar|colony|sector|phase|block|building|bldg|near|opp\.?|beside|pin\s*:?|pincode|dist\.?|district|state|india)\b|@|www\.|http|\+?\d[\d\s-]{8,}"
+PIN = r"\b\d{6}\b"
+ADDRESS = f"{PLACE}|{PIN}"
 BARCODE_FONT = r"(?i)free\s*3\s*of\s*9|barcode|code\s*39|code128"
 BOLD_FONT = r"(?i)bold|black|heavy|semibold|demi"
 SELLER_CUT = r"(?i)\b(gst\s*invoice|tax\s*invoice|m/s\.?\s*pharma\s*hubb|m/s\.?\s*pharma|pharma\s*hubb|pharma\s*hub|original\s*for\s*recipient|inv\s*no|party\s*name|bill\s*to|ship\s*to)\b"
