@@ -24,9 +24,10 @@ def sessions(documents: DataFrame, columns: DataFrame) -> DataFrame:
 def corrections(columns: DataFrame, proposed: DataFrame) -> DataFrame:
     """columns and proposed: doc, header, field -> the headers whose field a person changed: doc, header, old_field,
     new_field, status. A header that nobody proposes a field for loses its own."""
+    # Spark takes a distinct key of many documents for small, and would send it through the driver
     asked = proposed.select("doc").distinct()
     p = proposed.select("doc", "header", F.col("field").alias("new_field"))
-    met = columns.join(asked, "doc", "left_semi").join(p, ["doc", "header"], "left").where(~F.col("field").eqNullSafe(F.col("new_field")))
+    met = columns.join(asked.hint("merge"), "doc", "left_semi").join(p.hint("merge"), ["doc", "header"], "left").where(~F.col("field").eqNullSafe(F.col("new_field")))
     return met.select("doc", "header", F.col("field").alias("old_field"), "new_field", F.when(F.col("new_field").isNotNull(), "user_confirmed").otherwise("unresolved").alias("status"))
 
 
