@@ -99,13 +99,13 @@ SALTS = 32
 
 def join_salted(many: DataFrame, few: DataFrame, key: str, frequent: list, spread: str) -> DataFrame:
     """many joined with few by key, which few has once; rows of frequent keys are dealt to SALTS parts by
-    the column `spread`."""
+    the column `spread`. Joined by merging: `few` grows with the input, and a broadcast of it would be held by the driver."""
     if not frequent:
-        return many.join(few, key)
+        return many.join(few.hint("merge"), key)
     often = F.col(key).isin(frequent)
     left = many.withColumn("__salt", F.when(often, F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0).cast("int"))
     right = few.withColumn("__salt", F.explode(F.when(often, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    return left.join(right, [key, "__salt"]).drop("__salt")
+    return left.join(right.hint("merge"), [key, "__salt"]).drop("__salt")
 
 
 def components(scratch: Scratch, links: DataFrame, name: str = "components") -> DataFrame:

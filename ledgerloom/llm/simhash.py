@@ -248,7 +248,7 @@ def links(scratch: Scratch, prints: DataFrame, distance: int = 4, crowd: int = C
     hot = found.where("kind = 1").select(F.col("a").alias("f")).distinct()
     met = hot.mapInArrow(_middles(distance // 2), "m long, f long")
     least = met.groupBy("m").agg(F.min("f").alias("a"), F.count("*").alias("n")).where("n > 1")
-    met = met.join(least.select("m", "a"), "m").where("a != f").select("a", F.col("f").alias("b"))
+    met = met.join(least.select("m", "a").hint("merge"), "m").where("a != f").select("a", F.col("f").alias("b"))
     return found.where("kind = 0").select("a", "b").unionByName(met).distinct()
 
 
@@ -259,10 +259,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     marked = scratch.save(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *also), "text", shingle), "fingerprints")
     prints = scratch.save(marked.groupBy(F.col("fingerprint").alias("f")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
     parts = components(scratch, links(scratch, prints.select("f"), distance, crowd))
-    named = prints.join(parts, F.col("f") == F.col("node"), "left").select("f", "first", F.coalesce("component", "f").alias("c"))
+    named = prints.join(parts.hint("merge"), F.col("f") == F.col("node"), "left").select("f", "first", F.coalesce("component", "f").alias("c"))
     least = named.groupBy("c").agg(F.min("first").alias("component_id"))
     own = [F.col("c").alias(group)] if group else []
-    named = scratch.save(named.join(least, "c").select(F.col("f").alias("fingerprint"), "component_id", *own), "named")
+    named = scratch.save(named.join(least.hint("merge"), "c").select(F.col("f").alias("fingerprint"), "component_id", *own), "named")
     # documents of a frequent fingerprint, such as empty ones, are spread by their row
     often = hot(prints, "f", "n", marked.count())
     rows = marked.withColumn("__row", F.monotonically_increasing_id())
