@@ -1,6 +1,7 @@
 """How far a document's columns can be trusted, and whether it is accepted, reviewed or left unresolved.
 
-Columns are doc, col_no, header, field, status; cells are doc, row_no, col_no, value. A null or empty
+Columns are doc, col_no, header, field, status; cells are doc, row_no, col_no, value, or doc and cells (an array of
+col_no, value) for each row. A null or empty
 value is a missing one; a column without cells has quality zero; a document without columns or rows is
 still decided (UNRESOLVED)."""
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import expiry
 from ..functions.fixed import FORM_ONLY, HSN_STARTS
 from ..functions.quantities import number, scheme
+from .inference import rows_of
 
 MONEY = ["rate", "mrp", "amount", "taxableAmount", "netAmount"]
 AUTO, REVIEW = 80.0, 55.0
@@ -42,16 +44,21 @@ def _valid(field: Column, v: Column) -> tuple[Column, Column]:
 def field_quality(cells: DataFrame, columns: DataFrame) -> DataFrame:
     """One row for each mapped column: shares present and valid, contradictions, odd values, quality from 0 to 1."""
     v = F.trim("value")
-    mapped = columns.where("field is not null").select("doc", "col_no", "field")
-    df = cells.select("doc", "col_no", F.when(v != "", v).alias("v")).join(mapped, ["doc", "col_no"], "right")
+    mapped = columns.where("field is not null").select("doc", F.col("col_no").cast("int").alias("col_no"), "field")
+    of = mapped.groupBy("doc").agg(F.collect_list(F.struct("col_no", "field")).alias("fields"))
+    # whole rows are dealt out by document, and equal values looked at once
+    df = rows_of(cells).join(of, "doc").select("doc", F.explode("cells").alias("c"), "fields").select("doc", "c.col_no", F.col("c.value").alias("value"), F.filter("fields", lambda x: x["col_no"] == F.col("c.col_no")).alias("x"))
+    df = df.where(F.size("x") > 0).groupBy("doc", "col_no", F.col("x.field").alias("x"), F.when(v != "", v).alias("v")).agg(F.count("*").alias("k")).select("doc", "col_no", F.explode("x").alias("field"), "v", "k")
     ok, odd = _valid(F.col("field"), F.col("v"))
     has = F.col("v").isNotNull()
     malformed = F.col("field").isin("quantity", "freeQuantity") & F.col("v").contains("+") & ~scheme(F.col("v"))["is_compound"]
     form = (F.col("field") == "itemName") & F.col("v").rlike(FORM_ONLY) & (F.length(F.regexp_replace("v", "[^A-Za-z]", "")) <= 12)
-    count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    count = lambda c: F.sum(F.when(c, F.col("k")).otherwise(0))
     got = df.groupBy("doc", "col_no", "field").agg(
-        F.count("*").alias("n"), F.count("v").alias("n_present"), count(has & ok).alias("n_valid"), count(has & ~ok & ~((F.col("field") == "hsnCode") & odd)).alias("contradictions"), count(has & odd).alias("odd"), count(malformed).alias("malformed_schemes"), count(form).alias("form_only"),
+        F.sum("k").alias("n"), count(has).alias("n_present"), count(has & ok).alias("n_valid"), count(has & ~ok & ~((F.col("field") == "hsnCode") & odd)).alias("contradictions"), count(has & odd).alias("odd"), count(malformed).alias("malformed_schemes"), count(form).alias("form_only"),
     )
+    # a mapped column without cells is one empty cell
+    got = got.join(mapped.distinct(), ["doc", "col_no", "field"], "right").withColumns({c: F.coalesce(c, F.lit(int(c == "n"))) for c in ("n", "n_present", "n_valid", "contradictions", "odd", "malformed_schemes", "form_only")})
     present, valid = F.col("n_present") / F.greatest("n", F.lit(1)), F.col("n_valid") / F.greatest("n_present", F.lit(1))
     quality = F.least(F.lit(1.0), F.greatest(F.lit(0.0), valid * 0.6 + present * 0.4 - F.col("contradictions") * 0.1))
     return got.withColumns({"present": F.round(present, 3), "valid": F.round(valid, 3), "quality": F.when(F.col("n_present") > 0, F.round(quality, 3)).otherwise(0.0)})
