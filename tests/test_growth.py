@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.dates import MAYBE, expiry
-from ledgerloom.operators import decisions, inference
+from ledgerloom.operators import accuracy, inference, stated
 
 
 def _plan(df):
@@ -29,3 +29,21 @@ def test_dates_are_told_before_they_are_read(spark):
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.col("t").rlike(MAYBE).alias("maybe"), expiry(F.col("t")).isNotNull().alias("read")).collect()
     assert {r.t for r in got if r.read} == {"MAY 29", "12/25", "/01-2030", "25/12/2028", "0428", "042028", "202804", "2a0b2c8d0e4", "0025/4"}
     assert all(r.maybe for r in got if r.read) and not any(r.maybe for r in got if r.t in ("900.00", "DRUG 500 MG", ""))
+
+
+def test_values_are_counted_not_gathered(spark):
+    rows = [("d", 0, "Exp", v) for v in ("01/26", "02-2027", " 03/26\t", "x", "__", "", None)] + [("d", 1, "zz", "12"), ("d", 1, "zz", "5"), ("d", 2, "Qty", "7"), ("e", 0, "Exp", None), ("e", 1, "HSN", "x"), ("e", 1, "HSN", "300490"), ("f", 0, None, "-1.5")]
+    cells = spark.createDataFrame(rows, "doc string, col int, header string, value string")
+    columns = cells.groupBy("doc", "col", "header").agg(F.collect_list("value").alias("values"))
+    old = {tuple(r) for r in stated.classify_columns(columns).select("doc", "col", "header", "field", "by").collect()}
+    got = stated.classify_cells(cells, "doc", "col")
+    assert {tuple(r) for r in got.collect()} == old and ("d", 0, "Exp", "expiry_date", "CONTENT") in old
+    assert "collect_list" not in _plan(got)
+
+
+def test_mappings_meet_by_document(spark):
+    predicted = spark.createDataFrame([("d", 1, "Qty.", "b"), ("d", 0, "QTY", "a"), ("d", 2, "Rate", None), ("d", 3, "", "z"), ("d", 4, "Rat", "r")], "doc string, pos long, header string, field string")
+    expected = spark.createDataFrame([("d", 0, "Qty.", "b"), ("d", 1, "qty", "a"), ("d", 2, "Rate", "r"), ("d", 3, "Zone", None), ("e", 0, "Qty", "q")], "doc string, pos long, header string, field string")
+    got = accuracy.compare_mappings(predicted, expected)
+    assert {(r.doc, r.pos): r.predicted for r in got.collect()} == {("d", 0): "b", ("d", 1): "a", ("d", 2): "r", ("d", 3): None, ("e", 0): None}
+    assert "Window" not in _plan(got) and "Broadcast" not in _plan(got)
