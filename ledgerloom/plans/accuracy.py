@@ -114,9 +114,9 @@ t AS (SELECT *, CASE WHEN p_field IS NULL THEN NULL WHEN header = p_header THEN
 r AS (SELECT header, field AS expected, CASE WHEN tier IS NOT NULL THEN p_field END AS predicted FROM k WHERE k = 1) SELECT header, expected, predicted, CASE WHEN predicted IS NOT DISTINCT FROM expected THEN NULL WHEN starts_with(upper(header), 'S.') THEN 'AUXILIARY_COLUMN' WHEN expected IS NULL THEN 'UNMAPPED_NON_CANONICAL_COLUMN' WHEN header = 'M R P' THEN 'HEADER_RECONSTRUCTION' WHEN header = 'AMOUNT GST' THEN 'LOGICAL_SUBCOLUMN_SPLIT' WHEN predicted IS NOT NULL THEN 'SEMANTIC_MAPPING' ELSE 'TRUE_COLUMN_BOUNDARY_ERROR' END AS root_cause, count(*) AS n FROM r GROUP BY ALL""")
 def mapping_root_causes(spark, sf_dir):
     docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), (F.col("o_custkey") % 8).alias("lost"))
-    spec = lambda rows: F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("pos"), F.lit(h).alias("header"), F.lit(f).cast("string").alias("field")) for k, (h, f) in enumerate(rows))))
-    side = lambda rows: docs.select("doc", "lost", spec(rows).alias("c")).select("doc", "lost", "c.*")
-    got = accuracy.compare_mappings(side(_PREDICTED).where("pos <> lost"), side(_EXPECTED).drop("lost"))
+    spec = lambda rows: F.array(*(F.struct(F.lit(k).cast("long").alias("pos"), F.lit(h).alias("header"), F.lit(f).cast("string").alias("field")) for k, (h, f) in enumerate(rows)))
+    predicted = docs.select("doc", F.filter(spec(_PREDICTED), lambda c: c["pos"] != F.col("lost")).alias("columns"))
+    got = accuracy.compare_columns(predicted, docs.select("doc", spec(_EXPECTED).alias("columns")))
     return got.groupBy("header", "expected", "predicted", "root_cause").agg(F.count("*").alias("n"))
 
 
