@@ -1,9 +1,14 @@
 """Steps whose shuffles or seconds grew too fast: what they deal out, and the same results."""
 
+import tempfile
+
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from ledgerloom.functions.dates import MAYBE, expiry
+from ledgerloom.llm import divergence
 from ledgerloom.operators import accuracy, inference, stated
+from ledgerloom.plans import texts
 
 
 def _plan(df):
@@ -47,3 +52,20 @@ def test_mappings_meet_by_document(spark):
     got = accuracy.compare_mappings(predicted, expected)
     assert {(r.doc, r.pos): r.predicted for r in got.collect()} == {("d", 0): "b", ("d", 1): "a", ("d", 2): "r", ("d", 3): None, ("e", 0): None}
     assert "Window" not in _plan(got) and "Broadcast" not in _plan(got)
+
+
+def test_vouchers_are_read_twice_at_most(spark):
+    plan = texts.tally_voucher_ledgers(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xpath") == 2
+
+
+def test_runs_are_sorted_by_terms_first(spark):
+    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp())
+    sorted_by, sort = [], DataFrame.sortWithinPartitions
+    try:
+        DataFrame.sortWithinPartitions = lambda self, *c, **k: sorted_by.append(c) or sort(self, *c, **k)
+        docs = spark.createDataFrame([("l", s, "b a") for s in "xyxy"] + [("m", "x", "a b a")] * 3, "lang string, source string, text string")
+        got = {(r.lang, r.source, r.item): r.value for r in divergence.audit(docs).where("part = 'pair'").collect()}
+    finally:
+        DataFrame.sortWithinPartitions = sort
+    assert {c[:2] for c in sorted_by} == {("term", "lang")} and got == {("l", "x", "y"): 0, ("l", "y", "x"): 0}
