@@ -11,7 +11,7 @@ all kept terms between a group and each other source of its language, and `term`
 the group uses and more than its language does.
 
 Runs: tasks write (lang, term, source, document) runs with the number of documents and occurrences, added up
-over what a task holds. They are dealt by (lang, term) and sorted by all four; one scan of the runs adds up
+over what a task holds. They are dealt by (lang, term) and sorted by all four, terms first; one scan of the runs adds up
 document frequency and counts and keeps or drops a term. A second scan, with the groups' sums beside the
 counts, emits partial sums of pairs of sources that have a term in common, and partial best terms, per
 run. Nothing is held but one term's sources, and sums of bounded number.
@@ -48,6 +48,8 @@ HELD_RUNS, HELD_BYTES = 1 << 19, 24 << 20
 SMALL_GROUPS = 50_000
 """Groups up to which their sums are broadcast; more are joined."""
 SCALE = 10**9
+ORDER = ["term", "lang", "source"]
+"""Terms come first: rows are compared by the first bytes of the first column, and languages are few."""
 
 LETTERS = np.ones(256, bool)
 LETTERS[0x00:0x41] = LETTERS[0x5B:0x61] = LETTERS[0x7B:0x80] = False
@@ -236,7 +238,7 @@ def _best(t: pa.Table, top: int) -> pa.Table:
 
 
 def _emit(top: int):
-    """Partial sums of pairs and partial best terms of rows sorted by (lang, term, source)."""
+    """Partial sums of pairs and partial best terms of rows sorted by ORDER."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, best, size = _Sums(), [], 0
@@ -321,7 +323,7 @@ def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
     scratch, n = Scratch(spark, "divergence"), partitions(spark)
     own = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((lang, "lang"), (source, "source"), (text, "text"))))
     runs = own.withColumn("document", F.monotonically_increasing_id()).mapInArrow(_runs, RUN)
-    sorted_runs = runs.repartition(n, "lang", "term").sortWithinPartitions("lang", "term", "source", "document")
+    sorted_runs = runs.repartition(n, "lang", "term").sortWithinPartitions(*ORDER, "document")
     kept = scratch.save(sorted_runs.mapInArrow(_scan(least_docs), KEPT), "kept")
 
     langs = kept.groupBy("lang").agg(F.sum("n").alias("all_n"), F.sum("first").alias("v"))
@@ -340,7 +342,7 @@ def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
         joined = join_salted(keyed, named, "g", hot(sizes, "g", "m", kept.count()), "term")
         joined = joined.withColumn("own", F.expr("filter(own, x -> x.lang = lang and x.source = source)[0]")).select("*", "own.whole", "own.all_whole")
     joined = joined.select("lang", "term", "source", "n", "total", "whole", "all_whole")
-    joined = joined.repartition(n, "lang", "term").sortWithinPartitions("lang", "term", "source")
+    joined = joined.repartition(n, "lang", "term").sortWithinPartitions(*ORDER)
     found = scratch.save(joined.mapInArrow(_emit(top), FOUND), "found")
 
     # pairs: all terms as if neither had them, corrected by the terms of one and by those of both
