@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
 from ledgerloom.functions.dates import MAYBE, expiry
+from ledgerloom.functions.fuzzy import ratio
 from ledgerloom.llm import divergence
 from ledgerloom.operators import accuracy, inference, stated
 from ledgerloom.plans import texts
@@ -66,3 +67,34 @@ def test_runs_are_sorted_by_terms_first(spark):
     finally:
         DataFrame.sortWithinPartitions = sort
     assert {c[:2] for c in sorted_by} == {("term", "lang")} and got == {("l", "x", "y"): 0, ("l", "y", "x"): 0}
+
+
+def test_headers_are_told_in_their_rows(spark):
+    head, block = ["Item Name", "Batch", "Qty", None, "zz"], ["A\nB", "B1\nB2", "1\n2", "", "Qty"]
+    rows = spark.createDataFrame([(1, 0, 0, 0, ["ACME", None]), (1, 0, 0, 1, head), (1, 0, 0, 2, head[:2]), (2, 0, 0, 0, block), (3, 0, 0, 0, []), (3, 0, 0, 1, None), (4, 0, 0, 5, head), (5, 0, 0, 0, ["Qty", "Qty.", "Quantity"])], "doc int, page int, table_no int, row_no int, cells array<string>")
+    got = stated.header_rows(rows)
+    plan = _plan(got)
+    assert "explode" not in plan and plan.count("Exchange") == 1
+    assert [(r.doc, r.row_no, r.fields) for r in got.collect()] == [(1, 1, {0: "product_name", 1: "batch_number", 2: "billed_qty"})]
+
+
+def test_headers_are_scored_only_where_likeness_is_possible():
+    words = [a for x in stated.STATED_ALIASES.values() for a in x] + ["", "12.50 99.10", "GOODS RATE", "zz", "Descripton", "Expirry", "M R P", "B1\nB2", "....", "S", "NO.", "QTYS", "AMOUNTS TAXABLE", "REMARKS", "RATE12"]
+
+    def by_all(text):
+        best, name = 0.0, None
+        for field, aliases in stated.STATED_ALIASES.items():
+            for a in aliases:
+                if (score := ratio(text, a)) > best and score >= stated.LIKE:
+                    best, name = score, field
+        return name
+
+    for w in words:
+        for text in {w.upper(), w.upper()[1:], w.upper()[:-1], f"{w}X".upper(), f"1{w}0".upper()} - {""}:
+            assert stated._likest(text) == by_all(text), text
+    scored, own = [], stated.ratio
+    try:
+        stated.ratio = lambda a, b: scored.append(a) or own(a, b)
+        assert stated.field_of("12.50\n99.10\n1.00") is None and not scored
+    finally:
+        stated.ratio = own
