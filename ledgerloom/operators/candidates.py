@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
 from . import rows as R
+from .headers import fields_of
 
 TABLE = ["doc", "page", "candidate", "table_no"]
 HEADER_WITHIN, ROW_BONUS = 25, 80
@@ -20,13 +22,24 @@ def segment(words: DataFrame, gaps: list[float], line_gap: float = 4.0) -> DataF
     page = ["doc", "page"]
     lines = words.where("text is not null").withColumn("__new", F.coalesce(F.col("top") - F.lag("top").over(Window.partitionBy(*page).orderBy("top", "x0")) > line_gap, F.lit(False)).cast("int"))
     lines = lines.withColumn("row_no", F.sum("__new").over(Window.partitionBy(*page).orderBy("top", "x0").rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    tried = F.array(*(F.struct(F.lit(k).alias("candidate"), F.lit(float(g)).alias("gap")) for k, g in enumerate(gaps)))
-    every = lines.select(*page, "row_no", "text", "x0", "x1", F.explode(tried).alias("g")).select(*page, "row_no", "text", "x0", "x1", "g.*")
-    along = Window.partitionBy(*page, "candidate", "row_no").orderBy("x0", "x1", "text")
-    far = F.coalesce(F.col("x0") - F.max("x1").over(along.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("gap"), F.lit(False))
-    cells = every.withColumn("__far", far.cast("int")).withColumn("__cell", F.sum("__far").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    one = cells.groupBy(*page, "candidate", "row_no", "__cell").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "x1", "text"))), lambda w: w["text"]), " ").alias("cell"))
-    return one.groupBy(*page, "candidate", F.lit(0).alias("table_no"), "row_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("__cell", "cell"))), lambda c: c["cell"]).alias("cells"))
+    # a page is dealt out once: how far a word stands from those before it is the same at every gap
+    along = Window.partitionBy(*page, "row_no").orderBy("x0", "x1", "text")
+    spaced = lines.select(*page, "row_no", "text", F.row_number().over(along).alias("at"), (F.col("x0") - F.max("x1").over(along.rowsBetween(Window.unboundedPreceding, -1))).alias("space"))
+    one = spaced.groupBy(*page, "row_no").agg(F.array_sort(F.collect_list(F.struct("at", "text", "space"))).alias("words"))
+    tried = F.array(*(F.struct(F.lit(k).alias("candidate"), cells_at("words", g).alias("cells")) for k, g in enumerate(gaps)))
+    return one.select(*page, "row_no", F.explode(tried).alias("c")).select(*page, "c.candidate", F.lit(0).alias("table_no"), "row_no", "c.cells")
+
+
+def cells_at(words: str, gap: float) -> Column:
+    """Words of a line (text and the space before each, null for the first) as cells: a new one from each space of `gap` on."""
+    state = lambda done, cell: F.struct(done.alias("done"), cell.alias("cell"))
+    none = state(F.array().cast("array<string>"), F.lit(None).cast("string"))
+
+    def step(s, w):
+        far = F.coalesce(w["space"] >= float(gap), F.lit(False))
+        return F.when(s["cell"].isNull(), state(s["done"], w["text"])).when(far, state(F.concat(s["done"], F.array(s["cell"])), w["text"])).otherwise(state(s["done"], F.concat(s["cell"], F.lit(" "), w["text"])))
+
+    return F.aggregate(words, none, step, lambda s: F.concat(s["done"], F.array(s["cell"])))
 
 
 def long_cell_penalty(longest: Column) -> Column:
@@ -43,19 +56,26 @@ def width_bonus(width: Column, expected: Column) -> Column:
 def score_tables(tables: DataFrame, expected: DataFrame | None = None) -> DataFrame:
     """A row for each table: its first header row, the place of the item column, fields, primary and continuation rows,
     the longest cell and score; null where the table is not usable. expected: doc and expected_columns."""
-    spaced = tables.withColumn("__shown", F.transform("cells", lambda c: R.normal_cell(c, True))).withColumn("__plain", R.normal_row(F.col("cells")))
-    key = F.struct(*TABLE)
-    as_rows = lambda c: spaced.select(key.alias("doc"), "row_no", F.col(c).alias("cells")).where(F.size("cells") > 0)
-    # headers by their joined lines, within the first rows
-    heads = R.with_fields(as_rows("__shown").where(F.col("row_no") < HEADER_WITHIN))
-    first = heads.where(R.is_header()).groupBy("doc").agg(F.min("row_no").alias("header_row"), F.min_by("fields", "row_no").alias("fields"))
-    items = F.filter(F.transform("fields", lambda f, k: F.when(f == "itemName", k)), lambda k: k.isNotNull())
-    first = first.withColumn("item_at", F.try_element_at(items, F.lit(-1))).withColumn("n_fields", F.size(F.array_distinct(F.filter("fields", lambda f: f.isNotNull())))).where("item_at is not null").drop("fields")
-    body = R.with_fields(as_rows("__plain")).join(first, "doc").where("row_no > header_row")
-    kinds = body.select("doc", R.is_primary_row("cells", "fields", F.col("item_at")).alias("primary"), R.is_item_row("cells", "fields", F.col("item_at")).alias("item"))
-    counted = kinds.groupBy("doc").agg(F.count_if("primary").alias("n_primary"), F.count_if(~F.col("primary") & F.col("item")).alias("n_continued"))
-    whole = spaced.groupBy(*TABLE).agg(F.count("*").alias("n_rows"), F.min_by(F.size("cells"), "row_no").alias("width"), F.coalesce(F.max(F.array_max(F.transform("cells", lambda c: F.length(F.coalesce(c, F.lit("")))))), F.lit(0)).alias("longest"))
-    met = whole.join(first.join(counted, "doc").select("doc.*", "header_row", "item_at", "n_fields", "n_primary", "n_continued"), TABLE, "left")
+    ship(tables.sparkSession)
+    shown, plain = F.transform("cells", lambda c: R.normal_cell(c, True)), R.normal_row(F.col("cells"))
+    spaced = tables.select(*TABLE, "row_no", F.size("cells").alias("__width"), F.array_max(F.transform("cells", lambda c: F.length(F.coalesce(c, F.lit(""))))).alias("__longest"), F.when(F.col("row_no") < HEADER_WITHIN, shown).otherwise(F.array().cast("array<string>")).alias("__shown"), plain.alias("__plain"))
+    # both readings of a row are told at once; headers by their joined lines, within the first rows
+    told = spaced.withColumn("__told", fields_of(F.concat("__shown", "__plain"))).withColumn("__head", F.slice("__told", 1, F.size("__shown"))).withColumn("__fields", F.slice("__told", F.size("__shown") + 1, F.size("__plain")))
+    told = told.select(*TABLE, "row_no", "__width", "__longest", "__plain", "__fields", "__head", F.when(R.is_header("__head"), F.col("row_no")).alias("__at"))
+    own = Window.partitionBy(*TABLE)
+    met = told.withColumn("__first", F.min_by("__head", "__at").over(own)).withColumn("header_row", F.min("__at").over(own))
+    items = F.filter(F.transform("__first", lambda f, k: F.when(f == "itemName", k)), lambda k: k.isNotNull())
+    met = met.withColumn("item_at", F.try_element_at(items, F.lit(-1)))
+    body = F.coalesce(F.col("item_at").isNotNull() & (F.col("row_no") > F.col("header_row")) & (F.size("__plain") > 0), F.lit(False))
+    met = met.withColumn("__body", body).withColumn("__item", F.when(F.col("__body"), R.is_item_row("__plain", "__fields", F.col("item_at"))))
+    met = met.withColumn("__primary", F.col("__item") & R.begins_item(F.col("__plain"), F.col("item_at")))
+    n_fields = F.size(F.array_distinct(F.filter(F.first("__first"), lambda f: f.isNotNull())))
+    met = met.groupBy(*TABLE).agg(
+        F.count("*").alias("n_rows"), F.min_by("__width", "row_no").alias("width"), F.coalesce(F.max("__longest"), F.lit(0)).alias("longest"), F.count_if("__body").alias("__n"), F.first("header_row").alias("header_row"),
+        F.first("item_at").alias("item_at"), n_fields.alias("n_fields"), F.count_if("__primary").alias("n_primary"), F.count_if(~F.col("__primary") & F.col("__item")).alias("n_continued"),
+    )
+    told_of = ["header_row", "item_at", "n_fields", "n_primary", "n_continued"]  # of tables with rows below their header
+    met = met.withColumns({c: F.when(F.col("__n") > 0, F.col(c)) for c in told_of})
     if expected is not None:
         met = met.join(expected.select("doc", "expected_columns"), "doc", "left")
     bonus = F.lit(0) if expected is None else width_bonus(F.col("width"), F.col("expected_columns"))
@@ -67,6 +87,6 @@ def score_tables(tables: DataFrame, expected: DataFrame | None = None) -> DataFr
 def best_tables(tables: DataFrame, expected: DataFrame | None = None) -> DataFrame:
     """The tables of each page's best candidate, of equals the first: those with a positive score add up to the candidate's."""
     scored = score_tables(tables, expected).where("score > 0")
-    sums = scored.groupBy("doc", "page", "candidate").agg(F.sum("score").alias("page_score"))
-    best = sums.groupBy("doc", "page").agg(F.max(F.struct("page_score", (-F.col("candidate")).alias("o"))).alias("b")).select("doc", "page", (-F.col("b.o")).alias("candidate"), F.col("b.page_score").alias("page_score"))
-    return scored.join(best, ["doc", "page", "candidate"])
+    pages = scored.withColumn("page_score", F.sum("score").over(Window.partitionBy("doc", "page", "candidate")))
+    best = F.max(F.struct("page_score", -F.col("candidate"))).over(Window.partitionBy("doc", "page"))
+    return pages.withColumn("__best", best).where(F.struct("page_score", -F.col("candidate")) == F.col("__best")).drop("__best")

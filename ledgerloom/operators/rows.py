@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.accounting import solve_rows
 from ..functions.fixed import CONTACT, FOOTER, HEADER_COMPANIONS, HEADER_PHRASES, LETTERHEAD, NOT_ITEM, REPEATED_HEADERS, RETURN_SECTION, SCHEME_SECTION, SECTION_META
 from ..functions.text import cleaned, contains_any, is_footer, is_letterhead, row_reason
-from .headers import match
+from ..session import ship
+from .headers import fields_of, match
 
 
 def joined(cells: str = "cells"):
@@ -62,7 +63,8 @@ def normal_cell(c, item: bool = False):
     lines = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(c, F.lit("")), r"\r", "\n"), "\n"), F.trim), lambda x: x != "")
     text = F.array_join(lines, " ") if item else F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit(""))
     words = F.split(F.trim(text), r"\s+")
-    return F.when((F.size(words) == 2) & (F.upper(words[0]) == F.upper(words[1])), words[0]).otherwise(text)
+    # what has no blank is one word on one line
+    return F.when(~c.rlike(r"\s"), c).when((F.size(words) == 2) & (F.upper(words[0]) == F.upper(words[1])), words[0]).otherwise(text)
 
 
 def normal_row(cells, item_at=None):
@@ -76,13 +78,9 @@ def filled(cells):
 
 
 def with_fields(rows: DataFrame) -> DataFrame:
-    """Adds fields: the canonical field that each cell names as a header, or null; texts are matched once each."""
-    cells = rows.select("doc", "row_no", F.posexplode("cells").alias("at", "header"))
-    # a filter on field would be pushed below the distinct texts, and evaluated for each cell
-    named = F.collect_set(F.when(F.col("field").isNotNull(), F.struct("at", "field")))
-    found = match(cells).groupBy("doc", "row_no").agg(F.map_from_entries(named).alias("__named"))
-    met = rows.join(found, ["doc", "row_no"], "left")
-    return met.withColumn("fields", F.transform(F.sequence(F.lit(0), F.size("cells") - 1), lambda k: F.try_element_at("__named", k))).drop("__named")
+    """Adds fields: the canonical field that each cell names as a header, or null; told in the rows, no text is dealt out."""
+    ship(rows.sparkSession)
+    return rows.withColumn("fields", fields_of(F.col("cells")))
 
 
 def is_header(fields="fields"):
@@ -115,8 +113,13 @@ def is_item_row(cells="cells", fields="fields", item_at=None):
 
 def is_primary_row(cells="cells", fields="fields", item_at=None):
     cells = F.col(cells) if isinstance(cells, str) else cells
+    return is_item_row(cells, fields, item_at) & begins_item(cells, item_at)
+
+
+def begins_item(cells, item_at=None):
+    """Whether an item row is a primary one: by the item, else by the first cells."""
     near = filled(F.slice(cells, 1, 3)) >= 2
-    return is_item_row(cells, fields, item_at) & (near if item_at is None else F.when(item_at < F.size(cells), _item(cells, item_at).rlike("[A-Za-z]{3,}")).otherwise(near))
+    return near if item_at is None else F.when(item_at < F.size(cells), _item(cells, item_at).rlike("[A-Za-z]{3,}")).otherwise(near)
 
 
 def is_product_row(cells="cells", fields="fields", item_at=None):

@@ -7,7 +7,8 @@ from ledgerloom.functions import compare
 from ledgerloom.functions.dates import MAYBE, expiry
 from ledgerloom.functions.fuzzy import ratio
 from ledgerloom.llm import divergence
-from ledgerloom.operators import accuracy, inference, stated
+from ledgerloom.operators import accuracy, candidates, headers, inference, stated
+from ledgerloom.operators import rows as rows_
 from ledgerloom.plans import texts
 
 
@@ -141,3 +142,26 @@ def test_values_of_a_kind_are_read_as_one_array(spark):
         ({"quantity": "EXACT", "rate": "MISMATCH", "expiryDate": "MISMATCH", "batchNo": "MISMATCH"}, ["BATCH_EXPIRY_SWAP"]),
     ]
     assert "kind, text" not in _plan(got)  # no struct for each cell
+
+
+def test_pages_are_dealt_out_once(spark):
+    line = lambda y, *words: [(t, float(a), float(b), y) for t, a, b in words]
+    page = line(10.0, ("Item", 0, 20), ("Name", 24, 40), ("Batch", 90, 110), ("Qty", 160, 170), ("Amount", 200, 240)) + line(30.0, ("DOLO", 0, 20), ("DOLO", 0, 20), ("B1", 90, 99), ("5", 160, 164), ("9.50", 200, 220))
+    words = spark.createDataFrame([(d, 1, *w) for d in (1, 2) for w in page], "doc int, page int, text string, x0 double, x1 double, top double")
+    tables = candidates.segment(words, [2.0, 8.0, 99.0])
+    assert {(r.candidate, r.row_no): r.cells for r in tables.where("doc = 1").collect()}[1, 1] == ["DOLO DOLO", "B1", "5", "9.50"]
+    best = candidates.best_tables(tables)
+    # words by page, and rows and tables after Python, which leaves no partitioning
+    assert _plan(best).count("Exchange") == 3 and "Join" not in _plan(best)
+    assert [(r.doc, r.candidate, r.score, r.n_primary, r.item_at) for r in best.orderBy("doc").collect()] == [(d, 0, 20 + 3 * 4 + 2, 1, 0) for d in (1, 2)]
+
+
+def test_fields_are_told_in_their_rows(spark):
+    texts = ["M R P", "m. r. p.", " M\tR\nP ", "M\u00a0R P", "Q T Y Free", "S.No", "Rack", "Prodct Name", "Qty", "qty.", "AMOUNT GST", "900.00", "DRUG12 B3", "", " ", "12", "Item Name Batch Qty Rate Amount Disc GST", "Straße", "Rte", "R\u00e4te", "x" * 40, None]
+    df = spark.createDataFrame([(1, 0, texts), (1, 1, []), (1, 2, None), (1, 2, ["Qty", None, "Qty"])], "doc int, row_no int, cells array<string>")
+    got = rows_.with_fields(df)
+    assert "Exchange" not in _plan(got) and _plan(got.where(rows_.is_header())).count("ArrowEvalPython") == 1
+    want = {r.header: r.field for r in headers.match(spark.createDataFrame([(t,) for t in texts if t is not None], "header string")).collect()}
+    found = [r.fields for r in got.collect()]
+    assert dict(zip(texts, found[0])) == {**want, None: None} and sum(f is not None for f in found[0]) >= 7
+    assert found[1:] == [[], None, ["quantity", None, "quantity"]]
