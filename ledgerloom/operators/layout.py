@@ -6,6 +6,7 @@ pages without columns are left out; nulls in a coordinate leave a word without a
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,14 +16,27 @@ from ..functions.text import cleaned
 
 NUMERIC = ["rate", "mrp", "amount", "taxableAmount", "netAmount", "quantity", "freeQuantity", "discountPercent", "gstPercent"]
 PAGE = ["doc", "page"]
+_FIGURE, _LETTERS, _DATE = re.compile(r"[-+]?\d+(\.\d+)?%?"), re.compile(r"[A-Za-z\s()/+-]+"), re.compile(r"\d{1,2}[/.-]\d{2,4}")
+
+
+@lru_cache(4096)
+def kinds_of(text: str) -> tuple[bool, bool, bool]:
+    """Whether a text is a figure, words or a date."""
+    t = text.strip()
+    return bool(_FIGURE.fullmatch(t)), bool(_LETTERS.fullmatch(t)), bool(_DATE.fullmatch(t))
 
 
 def affinity_of(text: str, x0: float, x1: float, field: str | None, c0: float, c1: float) -> float:
     """_affinity() of one word against one column."""
+    return affinity_to(kinds_of(text), x0, x1, field, c0, c1)
+
+
+def affinity_to(kinds: tuple[bool, bool, bool], x0: float, x1: float, field: str | None, c0: float, c1: float) -> float:
+    """affinity_of() of a word whose kinds are known."""
     width, middle = max(0.5, x1 - x0), (x0 + x1) / 2
     inside, away = c0 <= middle <= c1, abs(middle - (c0 + c1) / 2)
-    t, field = text.strip(), field or ""
-    digits, words = re.fullmatch(r"[-+]?\d+(\.\d+)?%?", t), re.fullmatch(r"[A-Za-z\s()/+-]+", t)
+    field = field or ""
+    digits, words, date = kinds
     kind = 0
     if words and width > 25 and (field in NUMERIC or field == "itemName"):
         kind = 20 if field == "itemName" else -40
@@ -31,7 +45,7 @@ def affinity_of(text: str, x0: float, x1: float, field: str | None, c0: float, c
     elif digits and field == "itemName" and not inside:
         kind = -15
     pull = max(0.0, 12 - away * 0.25) if digits and not inside and away < 40 else 0.0
-    dated = 25 if field == "expiryDate" and re.fullmatch(r"\d{1,2}[/.-]\d{2,4}", t) else 0
+    dated = 25 if field == "expiryDate" and date else 0
     return max(0.0, min(x1, c1) - max(x0, c0)) / width * 60 + 30 * inside - away * 0.15 + pull + kind + dated
 
 

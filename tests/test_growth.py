@@ -1,5 +1,7 @@
 """Steps whose shuffles or seconds grew too fast: what they deal out, and the same results."""
 
+import random
+
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
@@ -7,7 +9,7 @@ from ledgerloom.functions import compare
 from ledgerloom.functions.dates import MAYBE, expiry
 from ledgerloom.functions.fuzzy import ratio
 from ledgerloom.llm import divergence
-from ledgerloom.operators import accuracy, candidates, headers, inference, stated
+from ledgerloom.operators import accuracy, candidates, headers, inference, pages, stated
 from ledgerloom.operators import rows as rows_
 from ledgerloom.plans import texts
 
@@ -165,3 +167,33 @@ def test_fields_are_told_in_their_rows(spark):
     found = [r.fields for r in got.collect()]
     assert dict(zip(texts, found[0])) == {**want, None: None} and sum(f is not None for f in found[0]) >= 7
     assert found[1:] == [[], None, ["quantity", None, "quantity"]]
+
+
+def test_lines_that_cannot_be_headers_are_not_scored():
+    dice = random.Random(1)
+    texts = ["Product", "Batch", "Qty", "Rate", "Amount", "12", "9.50", "DRUG1", "GSTIN:", "Phone:", "9876543210", "Page", "Road", "B7"]
+    scored, own = [], pages.header_score
+    for n in range(300):
+        lines = [[pages.Word(dice.choice(texts), 40.0 * k, 40.0 * k + dice.choice((20, 60)), 14.0 * y, 14.0 * y + 8) for k in range(dice.randint(0, 9))] for y in range(dice.randint(0, 12))]
+        rated = [(own(x, lines[k + 1 :]), -k) for k, x in enumerate(lines) if x and x[0].top <= 100 * 0.65]
+        score, at = max(rated, default=(0.0, 0))
+        assert pages.best_header(lines, 100.0) == (score, -at)
+    try:
+        pages.header_score = lambda line, below: scored.append(line) or own(line, below)
+        goods = [[pages.Word(t, x, x + 20.0, 120.0 + 14 * k, 128.0 + 14 * k) for t, x in (("DRUG1", 30.0), ("12", 200.0), ("9.50", 300.0), ("7", 350.0))] for k in range(20)]
+        head = [pages.Word(t, x, x + 20.0, 100.0, 108.0) for t, x in (("Product", 30.0), ("Qty", 200.0), ("Rate", 300.0), ("Amount", 350.0))]
+        assert pages.best_header([*goods[:2], head, *goods[2:]], 792.0)[1] == 2 and len(scored) == 1
+    finally:
+        pages.header_score = own
+
+
+def test_texts_of_pages_are_scored_together():
+    asked, own = [], headers.likest
+    try:
+        headers.likest = lambda x: asked.append(len(x)) or own(x)
+        pages.learn(f"{t}{k}" for k in range(50) for t in ("ZZQ", "7.", "ZX "))
+        line = [pages.Word(f"ZZQ{k}", 40.0 * k, 40.0 * k + 10, 1.0, 9.0) for k in range(8)]
+        assert [w.text for w in pages.joined_line(line)] == [w.text for w in line]  # words apart are not put together
+    finally:
+        headers.likest = own
+    assert asked == [100] and pages.field_of("Prodct Name") == "itemName"
