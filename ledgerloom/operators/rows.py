@@ -38,11 +38,14 @@ def with_reason(rows: DataFrame, text: str = "text", is_header=None) -> DataFram
 
 
 def column_profile(cells: DataFrame) -> DataFrame:
-    """Shares and sizes by column of doc, col_no, value."""
-    v = F.trim("value")
-    share = lambda p: F.avg(F.when(v != "", v.rlike(p).cast("int"))).alias
-    return cells.groupBy("doc", "col_no").agg(
-        F.count("*").alias("n"), F.avg((v != "").cast("int")).alias("fill"), F.countDistinct(F.when(v != "", v)).alias("n_distinct"), F.min(F.when(v != "", F.length(v))).alias("min_len"), F.max(F.length(v)).alias("max_len"),
+    """Shares and sizes by column of doc, col_no, value. Equal values are counted first, so that each is dealt out and looked at once."""
+    v, n = F.col("value"), F.col("n")
+    counted = cells.groupBy("doc", "col_no", F.trim("value").alias("value")).agg(F.count("*").alias("n"))
+    some, known = F.when(v != "", n), F.when(v.isNotNull(), n)
+    passed = lambda p: F.coalesce(F.sum(F.when((v != "") & v.rlike(p), n)), F.when(F.sum(some).isNotNull(), 0))
+    share = lambda p: (passed(p).cast("double") / F.sum(some)).alias
+    return counted.groupBy("doc", "col_no").agg(
+        F.sum(n).alias("n"), (F.coalesce(F.sum(some), F.when(F.sum(known).isNotNull(), 0)).cast("double") / F.sum(known)).alias("fill"), F.count_if(v != "").alias("n_distinct"), F.min(F.when(v != "", F.length(v))).alias("min_len"), F.max(F.length(v)).alias("max_len"),
         share(r"^\d+$")("int_share"), share(r"^\d+\.\d+$")("decimal_share"), share(r"[A-Za-z]{3,}")("text_share"), share(r"^(\d{4}|\d{6}|\d{8})$")("hsn_share"), share(r"^\d{1,2}[/-]\d{2,4}$")("expiry_share"), share(r"^(?=.*\d)(?=.*[A-Za-z])[A-Za-z0-9-]{3,14}$")("batch_share"),
     )
 

@@ -197,3 +197,16 @@ def test_texts_of_pages_are_scored_together():
     finally:
         headers.likest = own
     assert asked == [100] and pages.field_of("Prodct Name") == "itemName"
+
+
+def test_equal_values_are_profiled_once(spark):
+    rows = [("d", 0, v) for v in ("12", "12", " 12 ", "", None, "1.5", "3004", "300490")] + [("d", 1, v) for v in ("05/26", "5-2026", "B12", "B12", "abc")] + [("e", 0, ""), ("e", 0, " "), ("f", 0, None)]
+    cells = spark.createDataFrame(rows, "doc string, col_no int, value string")
+    got = rows_.column_profile(cells)
+    v = F.trim("value")
+    share = lambda p: F.avg(F.when(v != "", v.rlike(p).cast("int")))
+    tests = [r"^\d+$", r"^\d+\.\d+$", r"[A-Za-z]{3,}", r"^(\d{4}|\d{6}|\d{8})$", r"^\d{1,2}[/-]\d{2,4}$", r"^(?=.*\d)(?=.*[A-Za-z])[A-Za-z0-9-]{3,14}$"]
+    want = cells.groupBy("doc", "col_no").agg(F.count("*"), F.avg((v != "").cast("int")), F.countDistinct(F.when(v != "", v)), F.min(F.when(v != "", F.length(v))), F.max(F.length(v)), *map(share, tests))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
+    # beside each value only its number is dealt out
+    assert "avg(" not in _plan(got) and "avg(" in _plan(want)
