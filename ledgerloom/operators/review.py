@@ -60,17 +60,19 @@ def committable(reviewed: DataFrame) -> DataFrame:
 def column_swaps(rows: DataFrame) -> DataFrame:
     """doc and text columns rate, mrp, quantity, freeQuantity, amount, gstPercent, batchNo, expiryDate, hsnCode ->
     doc, swaps: the pairs of columns that hold each other's values."""
-    n = lambda c: number(F.col(c))
+    money = ["rate", "mrp", "quantity", "freeQuantity", "amount", "gstPercent"]
     text = lambda c: F.nullif(F.trim(c), F.lit(""))
-    dated = lambda c: F.coalesce(expiry(text(c)).isNotNull() | text(c).rlike(r"\d{1,2}[/-]\d{2,4}"), F.lit(False))
-    share = lambda test, of: F.coalesce(F.sum((test & of).cast("int")) / F.sum(of.cast("int")), F.lit(0.0))
-    has = lambda c: text(c).isNotNull()
+    # each text is read once, in a projection of its own: its number, or whether it is a date
+    told = lambda c: F.coalesce(text(c).rlike(r"\d{1,2}[/-]\d{2,4}") | expiry(text(c)).isNotNull(), F.lit(False))
+    rows = rows.select("doc", *(number(F.col(c)).alias(c) for c in money), *(told(c).alias(f"__dated_{c}") for c in ("batchNo", "expiryDate", "hsnCode")), *(text(c).alias(c) for c in ("batchNo", "expiryDate", "hsnCode")))
+    n, dated, has = F.col, (lambda c: F.col(f"__dated_{c}")), (lambda c: F.col(c).isNotNull())
+    share = lambda test, of: F.coalesce(F.try_divide(F.sum((test & of).cast("int")), F.sum(of.cast("int"))), F.lit(0.0))
     priced = F.coalesce((n("rate") > 0) & (n("mrp") > 0), F.lit(False))
     tests: dict[str, Column] = {
         "rate <-> mrp": share(F.coalesce(n("rate") > n("mrp") * 1.05, F.lit(False)), priced) >= 0.8,
         "quantity <-> freeQuantity": (F.count_if(F.coalesce(n("quantity") > 0, F.lit(False))) == 0) & (F.count_if(F.coalesce(n("freeQuantity") > 0, F.lit(False))) > 0),
         "amount <-> gstPercent": (share(F.coalesce(n("amount").isin(*GST_RATES), F.lit(False)), n("amount").isNotNull()) >= 0.9) & (F.max(n("amount")) <= 28) & (F.max(n("gstPercent")) > 50),
         "batchNo <-> expiryDate": (share(dated("batchNo"), has("batchNo")) >= 0.8) & (share(dated("expiryDate"), has("expiryDate")) <= 0.2),
-        "expiryDate <-> hsnCode": (share(F.coalesce(text("expiryDate").rlike(r"^(30|21|38|90)(\d{2}|\d{4}|\d{6})$"), F.lit(False)), has("expiryDate")) >= 0.8) & (share(dated("hsnCode"), has("hsnCode")) >= 0.8),
+        "expiryDate <-> hsnCode": (share(F.coalesce(F.col("expiryDate").rlike(r"^(30|21|38|90)(\d{2}|\d{4}|\d{6})$"), F.lit(False)), has("expiryDate")) >= 0.8) & (share(dated("hsnCode"), has("hsnCode")) >= 0.8),
     }
     return rows.groupBy("doc").agg(F.array_compact(F.array(*(F.when(test, name) for name, test in tests.items()))).alias("swaps"))
