@@ -88,10 +88,13 @@ m AS (SELECT field, count(*) FILTER (exact) AS exact, count(*) FILTER (norm) AS
 f AS (SELECT *, CASE WHEN field = 'itemName' THEN normalized ELSE tolerance END AS tp FROM m), g AS (SELECT *, tp / (tp + incorrect) AS precision, tp / (tp + missing) AS recall FROM f) SELECT field, exact, normalized, tolerance, incorrect, missing, unexpected, precision, recall, 2 * precision * recall / (precision + recall) AS f1 FROM g""")
 def positional_field_metrics(spark, sf_dir):
     df = pairs(spark, sf_dir).withColumn("k", F.col("line_no") % 7).withColumn("row_no", F.xxhash64("line_no", "part", *[f"t_{c}" for c in FIELDS]))
-    df = df.groupBy("invoice", "row_no").agg(F.first("k").alias("k"), F.first("t_quantity").alias("q"), F.first("p_quantity").alias("pq"), F.first("t_rate").alias("r"), F.first("p_rate").alias("pr"), F.first("t_itemName").alias("i"), F.first("p_itemName").alias("pi"), F.count("*").alias("n"))
-    df = df.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).withColumn("row_no", F.xxhash64("row_no", "copy"))
-    long = lambda q, r, i: df.select(F.col("invoice").alias("doc"), "row_no", F.explode(F.array(*(F.struct(F.lit(n).alias("field"), v.alias("value")) for n, v in (("quantity", q), ("rate", r), ("itemName", i))))).alias("c")).select("doc", "row_no", "c.*")
-    return accuracy.positional_metrics(long(F.when(F.col("k") != 1, F.col("pq")), F.col("pr"), F.col("pi")), long(F.col("q"), F.col("r"), F.col("i")))
+    names = ["quantity", "rate", "itemName"]
+    side = lambda x: F.struct(*(F.col(f"{x}_{f}").alias(f) for f in names))
+    # rows are numbered once for both sides: each reads the same lines
+    df = df.groupBy("invoice", "row_no").agg(F.first(F.struct(F.col("k"), side("p").alias("p"), side("t").alias("t"))).alias("line"), F.count("*").alias("n"))
+    df = df.select(F.col("invoice").alias("doc"), "row_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"), "line").withColumn("row_no", F.xxhash64("row_no", "copy"))
+    told = df.select("doc", "row_no", F.when(F.col("line.k") != 1, F.col("line.p.quantity")).alias("quantity"), "line.p.rate", "line.p.itemName")
+    return accuracy.positional_rows(told, df.select("doc", "row_no", "line.t.*"), names)
 
 
 @query("SELECT supplier AS doc, CAST(sum(n) AS BIGINT) AS duplicate_rows FROM (SELECT supplier, upper(item) AS i, upper(batch) AS b, rate, count(*) - 1 AS n FROM lines GROUP BY ALL) GROUP BY supplier")

@@ -12,6 +12,7 @@ from ledgerloom.functions.quantities import NUMBER, number
 from ledgerloom.llm import divergence
 from ledgerloom.operators import accuracy, candidates, headers, inference, pages, review, stated
 from ledgerloom.operators import rows as rows_
+from ledgerloom.plans import accuracy as accuracy_
 from ledgerloom.plans import texts
 
 
@@ -224,3 +225,20 @@ def test_texts_of_columns_are_read_once(spark):
     assert {r.doc: r.swaps for r in got.collect()} == {"a": ["rate <-> mrp", "quantity <-> freeQuantity", "amount <-> gstPercent", "batchNo <-> expiryDate"], "b": ["batchNo <-> expiryDate", "expiryDate <-> hsnCode"], "c": []}
     sums = [x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate [" in x]
     assert len(sums) == 1 and "regexp_" not in sums[0]
+
+
+def test_rows_meet_whole(spark):
+    fields = ["quantity", "rate", "itemName"]
+    rows = lambda x: spark.createDataFrame(x, "doc string, row_no int, quantity string, rate string, itemName string")
+    told = rows([("d", 0, "10", "9.52", "dolo 650"), ("d", 1, None, "x", "Dolo-650"), ("d", 2, "1", "1", "y"), ("e", 0, "5", None, None)])
+    truth = rows([("d", 0, "10.0", "9.50", "DOLO  650"), ("d", 1, "3", "7", "dolo.650"), ("e", 0, "6", None, "z"), ("e", 1, "1", "1", "y")])
+    cells = lambda df: df.select("doc", "row_no", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields))).alias("c")).select("doc", "row_no", "c.*")
+    got = accuracy.positional_rows(told, truth, fields)
+    want = accuracy.positional_metrics(cells(told), cells(truth))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert {r.field: (r.exact, r.normalized, r.tolerance, r.incorrect, r.missing, r.unexpected) for r in got.collect()} == {"quantity": (0, 0, 1, 1, 2, 1), "rate": (0, 0, 1, 1, 1, 1), "itemName": (0, 2, 2, 0, 2, 1)}
+    # cells are dealt out neither to meet nor for their kinds, and both sides of the query read the same lines
+    assert _plan(got).index("Generate") < _plan(got).index("SortMergeJoin")
+    plan = accuracy_.positional_field_metrics(spark, "/root/testdata/sf0.001")
+    plan.collect()
+    assert "ReusedExchange" in _plan(plan)
