@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import expiry
 from ..functions.fixed import GST_RATES
-from ..functions.quantities import number
+from ..functions.quantities import mostly_number
 from ..functions.text import identity_status
 
 
@@ -64,7 +64,7 @@ def column_swaps(rows: DataFrame) -> DataFrame:
     text = lambda c: F.nullif(F.trim(c), F.lit(""))
     # each text is read once, in a projection of its own: its number, or whether it is a date
     told = lambda c: F.coalesce(text(c).rlike(r"\d{1,2}[/-]\d{2,4}") | expiry(text(c)).isNotNull(), F.lit(False))
-    rows = rows.select("doc", *(number(F.col(c)).alias(c) for c in money), *(told(c).alias(f"__dated_{c}") for c in ("batchNo", "expiryDate", "hsnCode")), *(text(c).alias(c) for c in ("batchNo", "expiryDate", "hsnCode")))
+    rows = rows.select("doc", *(mostly_number(F.col(c)).alias(c) for c in money), *(told(c).alias(f"__dated_{c}") for c in ("batchNo", "expiryDate", "hsnCode")), *(text(c).alias(c) for c in ("batchNo", "expiryDate", "hsnCode")))
     n, dated, has = F.col, (lambda c: F.col(f"__dated_{c}")), (lambda c: F.col(c).isNotNull())
     share = lambda test, of: F.coalesce(F.try_divide(F.sum((test & of).cast("int")), F.sum(of.cast("int"))), F.lit(0.0))
     priced = F.coalesce((n("rate") > 0) & (n("mrp") > 0), F.lit(False))

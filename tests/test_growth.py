@@ -8,7 +8,7 @@ from pyspark.sql.classic.dataframe import DataFrame
 from ledgerloom.functions import compare
 from ledgerloom.functions.dates import MAYBE, expiry
 from ledgerloom.functions.fuzzy import ratio
-from ledgerloom.functions.quantities import NUMBER, number
+from ledgerloom.functions.quantities import NUMBER, mostly_number
 from ledgerloom.llm import divergence
 from ledgerloom.operators import accuracy, candidates, headers, inference, pages, review, stated
 from ledgerloom.operators import rows as rows_
@@ -218,7 +218,7 @@ def test_texts_of_columns_are_read_once(spark):
     texts = ["12", "-12.", "+.5", "1e5", "1d", "5f", " 7", "7 ", "7\n", "1,000", "Rs. 12.50/-", "", ".", "-", "NaN", "Infinity", "12.5.6", "--3", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     whole = F.nullif(F.regexp_extract(F.regexp_replace("t", ",", ""), NUMBER, 0), F.lit("")).try_cast("double")
-    assert not [tuple(r) for r in df.select("t", number(F.col("t")).alias("new"), whole.alias("old")).collect() if r.new != r.old]
+    assert not [tuple(r) for r in df.select("t", mostly_number(F.col("t")).alias("new"), whole.alias("old")).collect() if r.new != r.old]
     names = "rate mrp quantity freeQuantity amount gstPercent batchNo expiryDate hsnCode".split()
     rows = [("a", "200", "100", "0", "5", "12", "99", "05/2026", "B1", "3004"), ("b", "9", "10", "1", "0", "50", "12", "MAY 26", "300490", "06/26"), ("c", None, None, None, None, None, None, None, None, None)]
     got = review.column_swaps(spark.createDataFrame(rows, "doc string, " + ", ".join(f"{c} string" for c in names)))
