@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.accounting import solve_rows
+from ..functions.dates import let
 from ..functions.fixed import CONTACT, FOOTER, HEADER_COMPANIONS, HEADER_PHRASES, LETTERHEAD, NOT_ITEM, REPEATED_HEADERS, RETURN_SECTION, SCHEME_SECTION, SECTION_META
-from ..functions.text import cleaned, contains_any, is_footer, is_letterhead, row_reason
+from ..functions.text import any_of, cleaned, contains_any, footer_read, footer_shaped, row_reason
 from ..session import ship
-from .headers import fields_of, match
+from .headers import fields_and_plain, match
 
 
 def joined(cells: str = "cells"):
@@ -80,10 +81,23 @@ def filled(cells):
     return F.size(F.filter(cells, lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""))
 
 
+_BLANK = r"[\s\x0b]*"
+_TOLD = any_of([*FOOTER, *LETTERHEAD, *NOT_ITEM, *REPEATED_HEADERS, *HEADER_PHRASES, *RETURN_SECTION, *SCHEME_SECTION, "thousand", "hundred", "lakh", "crore", "page", "@", "www."])
+WORDS = "|".join([_TOLD, *(x.replace(r"\b", "").replace(r"\s*", _BLANK) for x in (CONTACT, SECTION_META))]).replace(r"\ ", " ").replace(" ", " +")
+"""What a row has, in lower case, of which any of the predicates below tells footers, letterheads, headings or repeated headers;
+`terms` and `amount in words` are among the footers."""
+
+
 def with_fields(rows: DataFrame) -> DataFrame:
-    """Adds fields: the canonical field that each cell names as a header, or null; told in the rows, no text is dealt out."""
+    """Adds fields: the canonical field that each cell names as a header, or null; told in the rows, no text is dealt out. Adds plain:
+    nothing in the row is of WORDS, so that the predicates below, where they are given it, need not look for them one by one."""
     ship(rows.sparkSession)
-    return rows.withColumn("fields", fields_of(F.col("cells")))
+    return rows.withColumn("__told", fields_and_plain(F.col("cells"), WORDS)).select(*rows.columns, "__told.fields", "__told.plain")
+
+
+def _unless(plain, told):
+    """False where a row is plain."""
+    return told if plain is None else F.when(plain, False).otherwise(told)
 
 
 def is_header(fields="fields"):
@@ -92,26 +106,34 @@ def is_header(fields="fields"):
 
 
 def is_repeated_header(cells="cells", fields="fields"):
-    low = F.lower(joined(cells))
+    return is_header(fields) | let(F.lower(joined(cells)), _header_read)
+
+
+def _header_read(low):
     hits = sum((F.when(low.contains(w), 1).otherwise(0) for w in REPEATED_HEADERS), F.lit(0))
-    return is_header(fields) | (contains_any(low, HEADER_PHRASES) & contains_any(low, HEADER_COMPANIONS)) | (hits >= 3)
+    return (contains_any(low, HEADER_PHRASES) & contains_any(low, HEADER_COMPANIONS)) | (hits >= 3)
 
 
-def is_skippable(cells="cells"):
-    low = F.lower(joined(cells))
-    return (F.size(cells) == 0) | is_footer(low) | is_letterhead(low) | low.rlike(r"\b(terms\s*&?\s*conditions|amount in words)\b")
+def is_skippable(cells="cells", plain=None):
+    said = lambda low: footer_read(low) | contains_any(low, LETTERHEAD) | low.rlike(r"\b(terms\s*&?\s*conditions|amount in words)\b")
+    return (F.size(cells) == 0) | _unless(plain, let(F.lower(joined(cells)), said))
 
 
 def _item(cells, item_at):
     return F.lit("") if item_at is None else F.coalesce(F.get(cells, item_at), F.lit(""))
 
 
-def is_item_row(cells="cells", fields="fields", item_at=None):
+def is_item_row(cells="cells", fields="fields", item_at=None, plain=None):
     """Three filled cells with an item of three letters, or four with another such cell that is no header."""
     cells, fields = (F.col(x) if isinstance(x, str) else x for x in (cells, fields))
+    return _shaped(cells, fields, item_at) & ~_unless(plain, let(F.lower(joined(cells)), footer_read))
+
+
+def _shaped(cells, fields, item_at=None):
+    """What an item row is but for footers."""
     letters = F.exists(F.arrays_zip(cells.alias("c"), fields.alias("f")), lambda x: x["c"].rlike("[A-Za-z]{3,}") & x["f"].isNull())
     named = _item(cells, item_at).rlike("[A-Za-z]{3,}")
-    return ~is_footer(joined(cells)) & (filled(cells) >= 3) & (named | (letters & (filled(cells) >= 4)))
+    return let(filled(cells), lambda n: (n >= 3) & (named | (letters & (n >= 4))))
 
 
 def is_primary_row(cells="cells", fields="fields", item_at=None):
@@ -125,26 +147,28 @@ def begins_item(cells, item_at=None):
     return near if item_at is None else F.when(item_at < F.size(cells), _item(cells, item_at).rlike("[A-Za-z]{3,}")).otherwise(near)
 
 
-def is_product_row(cells="cells", fields="fields", item_at=None):
+def is_product_row(cells="cells", fields="fields", item_at=None, plain=None):
     """A line of goods: digits, an item of two letters, and nothing that headers, footers or addresses say."""
     cells, fields = (F.col(x) if isinstance(x, str) else x for x in (cells, fields))
-    text = joined(cells)
-    low = F.lower(text)
-    words = low.rlike(r"\b(thousand|hundred|lakh|crore)\b") & low.rlike(r"\b(only|rupees|rs\.?)\b")
-    chrome = is_footer(text) | is_letterhead(text) | is_repeated_header(cells, fields) | low.rlike(CONTACT) | low.contains("@") | low.contains("www.") | words | low.rlike(r"\b(continue|continued|contd)\b")
+
+    def chrome(low):
+        return contains_any(low, [*FOOTER, *LETTERHEAD, "@", "www."]) | footer_shaped(low) | _header_read(low) | low.rlike(CONTACT)
+
     other = F.filter(F.arrays_zip(cells.alias("c"), fields.alias("f")), lambda x: x["c"].rlike("[A-Za-z]{2,}") & x["f"].isNull())
     item = F.coalesce(F.try_element_at(F.transform(other, lambda x: x["c"]), F.lit(1)), F.lit("")) if item_at is None else _item(cells, item_at)
-    good = item.rlike("[A-Za-z]{2,}") & ~contains_any(F.lower(item), LETTERHEAD + FOOTER + NOT_ITEM)
-    return text.rlike(r"\d") & ~chrome & good & (F.lit(True) if item_at is None else is_primary_row(cells, fields, item_at))
+    named = let(item, lambda x: x.rlike("[A-Za-z]{2,}") & ~_unless(plain, contains_any(F.lower(x), LETTERHEAD + FOOTER + NOT_ITEM)))
+    good = F.exists(cells, lambda c: F.coalesce(c.rlike(r"\d"), F.lit(False))) & named & ~is_header(fields) & ~_unless(plain, let(F.lower(joined(cells)), chrome))
+    return good & (F.lit(True) if item_at is None else _shaped(cells, fields, item_at) & begins_item(cells, item_at))
 
 
 def in_sections(rows: DataFrame) -> DataFrame:
     """Rows with fields -> those that a section takes, with section: goods, and after the first of a section
     whatever continues it. Headings, footers and lines about notes are left out."""
-    text = joined("cells")
-    marked = sections(rows.withColumn("__text", text).where("__text <> ''"), "__text")
-    marked = marked.where(~F.col("is_heading") & ~is_footer(F.col("__text")) & ~F.lower("__text").rlike(SECTION_META))
-    goods = is_product_row() | is_item_row()
+    plain = F.col("plain")
+    marked = sections(rows.withColumn("__text", F.when(plain, F.when(filled("cells") > 0, "-").otherwise("")).otherwise(joined("cells"))).where("__text <> ''"), "__text")
+    marked = marked.where(~F.col("is_heading") & ~_unless(plain, let(F.lower("__text"), lambda low: footer_read(low) | low.rlike(SECTION_META))))
+    # no footers are left: an item row is told by its shape
+    goods = _shaped(F.col("cells"), F.col("fields")) | is_product_row(plain=plain)
     upto = Window.partitionBy("doc", "section").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
     return marked.withColumn("__begun", F.max(goods.cast("int")).over(upto)).where("__begun = 1").drop("__begun", "__text", "is_heading")
 
@@ -160,7 +184,7 @@ def merge_rows(rows: DataFrame, width: int, item_at: int | None, numeric: list[i
         number = F.lit(False)
         for k in numeric:
             number = number | digits(F.get("cells", F.lit(k)))
-    primary = number & is_item_row("cells", "fields", at)
+    primary = number & is_item_row("cells", "fields", at, F.col("plain"))
     upto = Window.partitionBy("doc").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
     grouped = rows.where(filled("cells") > 0).withColumn("group_no", F.greatest(F.sum(primary.cast("int")).over(upto), F.lit(1)))
     parts = grouped.groupBy("doc", "group_no").agg(F.min("row_no").alias("row_no"), F.count("*").alias("n_rows"), F.array_sort(F.collect_list(F.struct("row_no", "cells"))).alias("parts"))

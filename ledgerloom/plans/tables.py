@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import accounting
@@ -50,18 +50,20 @@ _COLUMNS = ["itemName", "batchNo", "quantity", "rate", "amount", None]
 
 
 def _table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each order as table rows: a header, its lines, some of which wrap, a subtotal, and a return section."""
-    li = line_items(spark, sf_dir).groupBy("invoice", "line_no").agg(F.first("item").alias("item"), F.first("batch").alias("batch"), F.min("quantity").alias("q"), F.min("rate").alias("r"))
+    """Each order as table rows: a header, its lines, some of which wrap, a subtotal, and a return section. An order's rows are
+    made where its lines are: keys alone are so small that Spark would put them, and all work on their rows, in a task or two."""
+    li = line_items(spark, sf_dir).select("invoice", "line_no", "item", "batch", "quantity", "rate").repartition("invoice").groupBy("invoice", "line_no").agg(F.first("item").alias("item"), F.first("batch").alias("batch"), F.min("quantity").alias("q"), F.min("rate").alias("r"))
     text = lambda c: F.col(c).cast("string")
     cells = lambda *x: F.array(*(F.lit(v) if isinstance(v, str) else v for v in x))
     amount = F.round(F.col("q") * F.col("r"), 2).cast("decimal(18,2)").cast("string")
     own = F.struct((F.col("line_no") * 10).alias("row_no"), cells(F.col("item"), F.col("batch"), F.when(F.col("line_no") % 2 == 0, F.concat(F.col("q").cast("int").cast("string"), F.lit("+1"))).otherwise(text("q")), text("r"), amount, "").alias("cells"))
     more = F.struct((F.col("line_no") * 10 + 1).alias("row_no"), cells(F.concat(F.lit("(wrapped "), text("line_no"), F.lit(")")), "", "", "", "", F.col("batch")).alias("cells"))
-    lines = li.select(F.col("invoice").alias("doc"), F.explode(F.when(F.col("line_no") % 3 == 0, F.array(own, more)).otherwise(F.array(own))).alias("x")).select("doc", F.col("x.row_no").cast("long").alias("row_no"), "x.cells")
     fixed = {0: ["Product Name", "Batch", "Qty", "Rate", "Amount", ""], 900: ["Sub Total", "", "", "", "99.00", ""], 910: ["Sales Return", "", "", "", "", ""], 920: ["OLDSTOCK TAB", "B1", "3", "7.00", "21.00", ""]}
-    extra = F.array(*(F.struct(F.lit(k).cast("long").alias("row_no"), cells(*v).alias("cells")) for k, v in fixed.items()))
-    docs = lines.select("doc").distinct().select("doc", F.explode(extra).alias("x")).select("doc", "x.*")
-    return lines.unionByName(docs)
+    extra = F.array(*(F.struct(F.lit(k).alias("row_no"), cells(*v).alias("cells")) for k, v in fixed.items()))
+    first = F.row_number().over(Window.partitionBy("invoice").orderBy("line_no")) == 1
+    lines = F.when(F.col("line_no") % 3 == 0, F.array(own, more)).otherwise(F.array(own))
+    found = li.withColumn("first", first).select(F.col("invoice").alias("doc"), F.explode(F.when(F.col("first"), F.concat(extra, lines)).otherwise(lines)).alias("x"))
+    return found.select("doc", F.col("x.row_no").cast("long").alias("row_no"), "x.cells")
 
 
 _TABLE = """WITH l AS (SELECT l_orderkey AS doc, l_linenumber AS n, first(p_name) AS item, min(CAST(l_quantity AS DECIMAL(10,2))) AS q, min(CAST(p_retailprice AS DECIMAL(10,2))) AS r FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)"""
@@ -76,7 +78,7 @@ def logical_rows(spark, sf_dir):
 @query(_TABLE + ", k AS (SELECT 'goods' AS kind, count(*) AS n FROM l UNION ALL SELECT 'wrapped', count(*) FILTER (n % 3 = 0) FROM l UNION ALL SELECT unnest(['header', 'footer', 'other', 'goods']), count(DISTINCT doc) FROM l) SELECT kind, CAST(sum(n) AS BIGINT) AS n FROM k GROUP BY kind")
 def row_predicates(spark, sf_dir):
     df = rows.with_fields(_table_rows(spark, sf_dir))
-    kind = F.when(rows.is_header(), "header").when(rows.is_skippable(F.col("cells")), "footer").when(rows.is_product_row(item_at=F.lit(0)), "goods").when(F.col("cells")[0].startswith("(wrapped"), "wrapped").otherwise("other")
+    kind = F.when(rows.is_header(), "header").when(rows.is_skippable(F.col("cells"), F.col("plain")), "footer").when(rows.is_product_row(item_at=F.lit(0), plain=F.col("plain")), "goods").when(F.col("cells")[0].startswith("(wrapped"), "wrapped").otherwise("other")
     return df.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 

@@ -13,6 +13,7 @@ from ledgerloom.llm import divergence
 from ledgerloom.operators import accuracy, candidates, headers, inference, pages, review, stated
 from ledgerloom.operators import rows as rows_
 from ledgerloom.plans import accuracy as accuracy_
+from ledgerloom.plans import tables as tables_
 from ledgerloom.plans import texts
 
 
@@ -242,3 +243,24 @@ def test_rows_meet_whole(spark):
     plan = accuracy_.positional_field_metrics(spark, "/root/testdata/sf0.001")
     plan.collect()
     assert "ReusedExchange" in _plan(plan)
+
+
+def test_rows_of_an_order_are_made_where_its_lines_are(spark):
+    """Keys alone are so small that all work on their rows went to a task or two."""
+    plan = tables_.row_predicates(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_linenumber") and plan.count("Relation [l_") == 1 and "Union" not in plan
+
+
+def test_plain_rows_are_told_as_without_the_shortcut(spark):
+    from ledgerloom.functions.fixed import FOOTER, HEADER_PHRASES, LETTERHEAD, NOT_ITEM, REPEATED_HEADERS, RETURN_SECTION, SCHEME_SECTION
+
+    told = [*FOOTER, *LETTERHEAD, *NOT_ITEM, *REPEATED_HEADERS, *HEADER_PHRASES, *RETURN_SECTION, *SCHEME_SECTION, "five hundred rupees only", "page ...x", "page  2  of 3", "pan  no", "pin- 411", "a@b", "www.x", "state code", "cr no", "ack date", "terms & conditions"]
+    odd = [[x.upper(), "B1", "3", "7.00"] for x in told] + [["", *x.split(" "), "5", None, "7"] for x in told] + [["GOODS TAB", x + " ", " 1", "2", "3"] for x in told]
+    odd += [["DOLO TAB", "B1", "3", "7.00"], ["DOLO TAB", None, "x", ""], [None, None], [], ["ÉCLAIR TAB", "SUB", "TOTAL", "3"], ["CREDIT", "KIT", "9", "1"], ["Item Name", "Qty", "Rate", "5"], ["a", "billed", "rate", "7 x"]]
+    df = rows_.with_fields(spark.createDataFrame([(1, k, x) for k, x in enumerate(odd)] + [(1, -1, None)], "doc int, row_no long, cells array<string>"))
+    plain, cells = F.col("plain"), F.col("cells")
+    pairs = [(rows_.is_skippable(cells), rows_.is_skippable(cells, plain)), (rows_.is_item_row(), rows_.is_item_row(plain=plain))]
+    pairs += [(rows_.is_product_row(item_at=at), rows_.is_product_row(item_at=at, plain=plain)) for at in (None, F.lit(0))]
+    got = df.select("plain", *(F.coalesce(x, F.lit(False)).alias(f"{side}{k}") for k, pair in enumerate(pairs) for side, x in zip("ab", pair))).collect()
+    assert all(r[f"a{k}"] == r[f"b{k}"] for r in got for k in range(len(pairs)))
+    assert sum(bool(r["plain"]) for r in got) == 5 and any(r["b3"] for r in got) and any(r["b0"] for r in got)
