@@ -264,3 +264,25 @@ def test_plain_rows_are_told_as_without_the_shortcut(spark):
     got = df.select("plain", *(F.coalesce(x, F.lit(False)).alias(f"{side}{k}") for k, pair in enumerate(pairs) for side, x in zip("ab", pair))).collect()
     assert all(r[f"a{k}"] == r[f"b{k}"] for r in got for k in range(len(pairs)))
     assert sum(bool(r["plain"]) for r in got) == 5 and any(r["b3"] for r in got) and any(r["b0"] for r in got)
+
+
+def test_workbooks_are_put_together_as_zipfile_does(spark):
+    import io
+    import zipfile
+
+    from ledgerloom.plans import documents
+    from ledgerloom.sources import sheets
+
+    content = sheets.workbook(["a", "b<"], [["x&\x01", 1.5], [None, 2], ["é", True]], ("b<",), "T<1>")
+    z = zipfile.ZipFile(io.BytesIO(content))
+    assert z.testzip() is None
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as own:
+        for i in z.infolist():
+            own.writestr(zipfile.ZipInfo(i.filename, (1980, 1, 1, 0, 0, 0)), z.read(i))
+    assert out.getvalue() == content and len(z.namelist()) == 6
+    files = spark.createDataFrame([("f", content), ("g", sheets.workbook(["x"], [])), ("h", content)], "path string, content binary")
+    got = sheets.workbook_rows(files, ends=True).where("row_no > first and row_no < last").collect()
+    assert sorted((r.path, r.row_no) for r in got) == [(p, n) for p in "fh" for n in (2, 3, 4)]
+    # the rows are not dealt out to find each sheet's last
+    assert "Window" not in _plan(documents.workbook_cells(spark, "/root/testdata/sf0.001"))
